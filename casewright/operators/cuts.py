@@ -108,8 +108,10 @@ def sequence_cut(flow: FlowSummary, nodes: list[str]) -> Groups | None:
     if len(groups) < 2:
         return None
     # Any member stands for its group: a group reaches all that come after it.
-    groups.sort(key=lambda g: -sum(1 for h in groups if h is not g and h[0] in reach[g[0]]))
-    return groups
+    def followers(g: list[str]) -> int:
+        return sum(1 for h in groups if h is not g and h[0] in reach[g[0]])
+
+    return sorted(groups, key=followers, reverse=True)
 
 
 def parallel_cut(flow: FlowSummary, nodes: list[str]) -> Groups | None:

@@ -1 +1,52 @@
+"""Lazy views that put the operators together."""
 
+from .aggregation import (
+    BaseAuxOp,
+    BaseCaseAggregator,
+    CaseAggView,
+    CaseDateAggregator,
+    CaseDurationAggregator,
+    CaseVariantAggregator,
+    DeriveCaseStartDateOp,
+    ExpressionAggregator,
+    NormalizeTimestampsOp,
+    build_aggregator_from_spec,
+    register_aggregator,
+)
+from .conformance import alignment_report, normative_net_from_log, normative_net_from_variants, replay_report
+from .event_log import EventLogView
+from .models import (
+    DFGModel,
+    PerformanceDFGModel,
+    PetriNetModel,
+    ProcessModel,
+    ProcessModelView,
+    generate_process_model,
+    resolve_model,
+)
+
+__all__ = [
+    "BaseAuxOp",
+    "BaseCaseAggregator",
+    "CaseAggView",
+    "CaseDateAggregator",
+    "CaseDurationAggregator",
+    "CaseVariantAggregator",
+    "DFGModel",
+    "DeriveCaseStartDateOp",
+    "EventLogView",
+    "ExpressionAggregator",
+    "NormalizeTimestampsOp",
+    "PerformanceDFGModel",
+    "PetriNetModel",
+    "ProcessModel",
+    "ProcessModelView",
+    "alignment_report",
+    "build_aggregator_from_spec",
+    "generate_process_model",
+    "normative_net_from_log",
+    "normative_net_from_variants",
+    "register_aggregator",
+    "replay_report",
+    "resolve_model",
+]
