@@ -106,9 +106,20 @@ SQL = {
 """,
 }
 
+# Logs derived from these: events of the AI and the system; resources as activities.
+SQL["ai_log"] = f"SELECT * FROM ({SQL['evt_log']}) WHERE lower(AGENTE) IN ('ai', 'syst')"
+SQL["resource_log"] = f"""
+  SELECT CASE_ID, EVENT_ID, unnest(tokens) AS ACTIVITY, START_TIMESTAMP, END_TIMESTAMP,
+         generate_subscripts(tokens, 1) - 1 AS position
+  FROM (SELECT *, list_filter(list_transform(string_split(RECURSO, ','), lambda t: trim(t)),
+                              lambda t: t <> '') AS tokens
+        FROM ({SQL['evt_log']}) WHERE lower(AGENTE) = 'ai' AND RECURSO IS NOT NULL)
+  WHERE len(tokens) > 0
+"""
+
 
 def with_log(name: str, body: str, **others: str) -> str:
     """``body`` over a common table expression ``log`` (and further ones)."""
     parts = [f"log AS ({SQL[name]})"]
     parts += [f"{alias} AS ({text})" for alias, text in others.items()]
-    return "WITH " + ",\n".join(parts) + "\n" + body
+    return "WITH RECURSIVE " + ",\n".join(parts) + "\n" + body

@@ -314,6 +314,9 @@ register("resource_dfg", "evt_log", lambda log: agents.resource_dfg(log).flows,
          **_RES_LOG, steps=_RES_STEPS, flows=q.FLOWS)
 register("resource_quality", "evt_log",
          lambda log: rounded(*rating.METRICS)(rating.dfg_quality(agents.resource_log(log), agents.RESOURCE_ORDER)))
+_POSITIONS = "END_TIMESTAMP, START_TIMESTAMP, EVENT_ID, position"
+ORACLE["resource_quality"] = with_log("resource_log", q.METRICS, steps=q.steps(_POSITIONS), flows=q.FLOWS,
+                                      **q.prefix_states(_POSITIONS))
 
 # -- directly-follows graphs -----------------------------------------------------------------------
 G = {"steps": q.STEPS, "flows": q.FLOWS}
@@ -355,18 +358,22 @@ register("dfg_net_size", "evt_log", lambda log: nets.net_from_dfg(dfg.discover_d
 # -- quality ----------------------------------------------------------------------------------------
 for _prefix, _log in (("", "evt_log"), ("item_", "item_log"), ("conv_", "conv_log")):
     register(f"{_prefix}quality_simplicity", _log,
-             lambda log: rounded("simplicity")(rating.dfg_simplicity(dfg.discover_dfg(log))),
-             "SELECT round(1 / (1 + greatest(4.0 * t / (a + 2 + t) - 2, 0)), 6) AS simplicity FROM "
-             "(SELECT count(*) AS t, (SELECT count(DISTINCT ACTIVITY) FROM log) AS a FROM flows)", **G)
+             lambda log: rounded("simplicity")(rating.dfg_simplicity(dfg.discover_dfg(log))), q.SIMPLICITY, **G)
     register(f"{_prefix}quality_generalization", _log,
              lambda log: rounded("generalization")(rating.dfg_generalization(dfg.discover_dfg(log))),
-             "SELECT round(1 - avg(1 / sqrt(frequency)), 6) AS generalization FROM flows", **G)
-    QUERIES[f"{_prefix}quality_precision"] = lambda spark, d, f=LOGS[_log]: rounded("precision")(
-        rating.dfg_precision(conformance.log_traces(f(spark, d)), dfg.discover_dfg(f(spark, d))))
-    ORACLE[f"{_prefix}quality_precision"] = with_log(_log, "").rstrip() + q.precision(q.BY_END)
+             q.GENERALIZATION, **G)
+    register(f"{_prefix}quality_precision", _log,
+             lambda log: rounded("precision")(rating.dfg_precision(conformance.log_traces(log), dfg.discover_dfg(log))),
+             q.PRECISION, **q.prefix_states(q.BY_END))
 register("quality_metrics", "evt_log",
          lambda log: rounded(*rating.METRICS)(
              plans.generate_process_model(plans.EventLogView(log).filter(AI), " DFG ").quality_metrics()))
+ORACLE["quality_metrics"] = with_log("ai_log", q.METRICS, **G, **q.prefix_states(q.BY_END))
+# The same figures from a full replay on the net tables.
+register("quality_metrics_replayed", "evt_log",
+         lambda log: rounded(*rating.METRICS)(rating.net_quality(
+             conformance.log_traces(log), nets.net_from_dfg(dfg.discover_dfg(log)))),
+         q.METRICS, **G, **q.prefix_states(q.BY_END))
 
 # -- given traces --------------------------------------------------------------------------------------
 register("manual_traces", "evt_log",
@@ -438,27 +445,45 @@ register("alignment_rollup_synthetic", "evt_log",
          "len(list_filter(string_split(variant, '>'), lambda a: a = 'view')) AS v FROM traces) GROUP BY variant",
          traces=q.TRACES)
 
-# -- conformance and discovery: beyond SQL ---------------------------------------------------------------------
+# -- conformance ------------------------------------------------------------------------------------------
+NORMATIVE_RANKS = 12
+
+
 def _normative(log: DataFrame) -> nets.PetriNet:
-    """Net of the graph of the AI's and the system's events."""
-    return nets.net_from_dfg(dfg.discover_dfg(AI.apply(log)))
+    """Net of the graph of the cases following one of the first variants."""
+    ids = [f"variant {k}" for k in range(1, NORMATIVE_RANKS + 1)]
+    return nets.net_from_dfg(dfg.discover_dfg(filters.VariantFilter(ids).apply(log)))
 
 
-def _joined(*names: str) -> Callable[[DataFrame], DataFrame]:
-    return lambda df: df.withColumns({n: F.array_join(n, ",") for n in names})
+def _replayed(log: DataFrame) -> DataFrame:
+    return conformance.token_replay(conformance.log_traces(log), _normative(log))
 
 
+P = q.replay_tables(NORMATIVE_RANKS)
 register("token_replay", "evt_log",
-         lambda log: conformance.token_replay(conformance.log_traces(log), _normative(log)).select(
+         lambda log: _replayed(log).select(
              join_trace(F.col("trace")).alias("variant"), "frequency", "missing_tokens", "remaining_tokens",
              "consumed_tokens", "produced_tokens", "unknown_events", F.round("trace_fitness", 6).alias("trace_fitness"),
-             F.array_join("missing_places", ",").alias("missing_places"),
-             F.array_join("remaining_places", ",").alias("remaining_places")))
+             F.array_join("missing_places", ",").alias("missing_places")),
+         "SELECT * FROM replayed", **P)
 register("replay_report", "evt_log",
-         lambda log: rounded("trace_fitness")(_joined("missing_activities", "remaining_activities")(
-             plans.replay_report(log, _normative(log)))))
+         lambda log: plans.replay_report(log, _normative(log)).select(
+             "variant", "frequency", "missing_tokens", "remaining_tokens",
+             F.round("trace_fitness", 6).alias("trace_fitness"),
+             F.array_join("missing_activities", ",").alias("missing_activities"), "is_fit"),
+         "SELECT variant, frequency, missing_tokens * frequency AS missing_tokens, "
+         "remaining_tokens * frequency AS remaining_tokens, trace_fitness, missing_places AS missing_activities, "
+         "missing_tokens = 0 AND remaining_tokens = 0 AS is_fit FROM replayed", **P)
 register("replay_summary", "evt_log",
-         lambda log: rounded("mean_fitness")(conformance.replay_summary(plans.replay_report(log, _normative(log)))))
+         lambda log: rounded("mean_fitness")(conformance.replay_summary(plans.replay_report(log, _normative(log)))),
+         "SELECT round(avg(0.5 * (1 - missing_tokens / consumed_tokens) + 0.5 * (1 - remaining_tokens / "
+         "produced_tokens)), 6) AS mean_fitness FROM counted", **P)
+register("quality_fitness", "evt_log", lambda log: rounded("fitness")(rating.replay_fitness(_replayed(log))),
+         "SELECT round(0.5 * (1 - sum(missing_tokens * frequency) / sum(consumed_tokens * frequency)) + "
+         "0.5 * (1 - sum(remaining_tokens * frequency) / sum(produced_tokens * frequency)), 6) AS fitness "
+         "FROM counted", **P)
+
+# -- beyond SQL: alignments and inductive discovery -----------------------------------------------------------
 register("alignments", "evt_log",
          lambda log: conformance.alignments(conformance.log_traces(log), _normative(log)).select(
              join_trace(F.col("trace")).alias("variant"), "frequency", "status", "cost",
@@ -467,9 +492,6 @@ register("alignment_report", "evt_log",
          lambda log: rounded("fitness", "cost")(plans.alignment_report(log, _normative(log))))
 register("alignment_summary", "evt_log",
          lambda log: rounded("mean_fitness")(conformance.alignment_summary(plans.alignment_report(log, _normative(log)))))
-register("quality_fitness", "evt_log",
-         lambda log: rounded("fitness")(rating.replay_fitness(
-             conformance.token_replay(conformance.log_traces(log), _normative(log)))))
 register("inductive_tree", "conv_log",
          lambda log: inductive.discover_log_tree(log).to_table(log.sparkSession))
 register("inductive_tree_days", "evt_log",

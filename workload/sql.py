@@ -56,16 +56,79 @@ def eventually(pred: str, succ: str) -> str:
     )
 
 
-def precision(order: str) -> str:
-    """ETConformance precision of the graph net on its own log, by prefixes."""
-    return f"""
-, cases AS (SELECT list(ACTIVITY ORDER BY {order}) AS t FROM log GROUP BY CASE_ID)
-, vars AS (SELECT t, count(*) AS n FROM cases GROUP BY t)
-, pre AS (SELECT t[1:k] AS prefix, t[k] AS last, t[k + 1] AS nxt, n
-          FROM vars, unnest(range(0, len(t))) AS r(k))
-, states AS (SELECT prefix, any_value(last) AS last, sum(n) AS n, count(DISTINCT nxt) AS seen
-             FROM pre GROUP BY prefix)
-, pairs AS (SELECT DISTINCT last, nxt FROM pre)
-, enabled AS (SELECT last, count(*) AS e FROM pairs GROUP BY last)
-SELECT round(sum(s.n * seen) / sum(s.n * e.e), 6) AS precision
+def prefix_states(order: str) -> dict[str, str]:
+    """Tables for ETConformance precision of the graph net on its own log."""
+    return {
+        "lists": f"SELECT list(ACTIVITY ORDER BY {order}) AS t FROM log GROUP BY CASE_ID",
+        "vars": "SELECT t, count(*) AS n FROM lists GROUP BY t",
+        "pre": "SELECT t[1:k] AS prefix, t[k] AS last, t[k + 1] AS nxt, n "
+               "FROM vars, unnest(range(0, len(t))) AS r(k)",
+        "states": "SELECT prefix, any_value(last) AS last, sum(n) AS n, count(DISTINCT nxt) AS seen "
+                  "FROM pre GROUP BY prefix",
+        "enabled": "SELECT last, count(DISTINCT nxt) AS e FROM pre GROUP BY last",
+    }
+
+
+PRECISION = """SELECT round(sum(s.n * s.seen) / sum(s.n * e.e), 6) AS precision
 FROM states s JOIN enabled e ON s.last IS NOT DISTINCT FROM e.last"""
+GENERALIZATION = "SELECT round(1 - avg(1 / sqrt(frequency)), 6) AS generalization FROM flows"
+SIMPLICITY = """SELECT round(1 / (1 + greatest(4.0 * t / (a + 2 + t) - 2, 0)), 6) AS simplicity FROM
+(SELECT count(*) AS t, (SELECT count(DISTINCT ACTIVITY) FROM log) AS a FROM flows)"""
+METRICS = f"""SELECT cast(1 AS DOUBLE) AS fitness, ({PRECISION}) AS precision,
+({GENERALIZATION}) AS generalization, ({SIMPLICITY}) AS simplicity"""
+
+
+def steps(order: str) -> str:
+    return (
+        "SELECT *, lead(ACTIVITY) OVER w AS nxt, row_number() OVER w AS rn "
+        f"FROM log WINDOW w AS (PARTITION BY CASE_ID ORDER BY {order})"
+    )
+
+
+# Token replay of all traces on the graph net of the cases of the first variants.
+# Every labelled transition moves one token from an input place to the place of
+# its label, so a marking is a list of places; silent ends lead to the sink.
+REPLAY_TABLES = {
+    "model_cases": "SELECT CASE_ID FROM traces WHERE variant IN (SELECT variant FROM variants "
+                   "WHERE variant_id IN ({ids}))",
+    "msteps": f"SELECT *, lead(ACTIVITY) OVER w AS nxt, row_number() OVER w AS rn FROM log "
+              f"WHERE CASE_ID IN (SELECT CASE_ID FROM model_cases) "
+              f"WINDOW w AS (PARTITION BY CASE_ID ORDER BY {BY_END})",
+    "moves": "SELECT DISTINCT nxt AS label, 'edge:' || ACTIVITY || '->' || nxt AS tid, "
+             "'p:' || ACTIVITY AS input FROM msteps WHERE nxt IS NOT NULL "
+             "UNION SELECT ACTIVITY, 'start:' || ACTIVITY, 'source' FROM msteps WHERE rn = 1",
+    "choices": "SELECT label, list(input ORDER BY tid) AS inputs FROM moves GROUP BY label",
+    "stops": "SELECT list(DISTINCT 'p:' || ACTIVITY) AS stops FROM msteps WHERE nxt IS NULL",
+    "runs": f"SELECT t, count(*) AS frequency FROM (SELECT list(ACTIVITY ORDER BY {BY_END}) AS t "
+            "FROM log GROUP BY CASE_ID) GROUP BY t",
+    "game": """
+      SELECT t, frequency, 0 AS i, ['source'] AS marking, 0 AS known, cast([] AS VARCHAR[]) AS lacking FROM runs
+      UNION ALL
+      SELECT t, frequency, i + 1,
+        CASE WHEN inputs IS NULL THEN marking
+             WHEN held THEN marking[1:spot - 1] || marking[spot + 1:] || ['p:' || label]
+             ELSE marking || ['p:' || label] END,
+        known + CASE WHEN inputs IS NULL THEN 0 ELSE 1 END,
+        CASE WHEN inputs IS NULL OR held THEN lacking ELSE lacking || [pick] END
+      FROM (SELECT *, list_contains(marking, pick) AS held, list_position(marking, pick) AS spot FROM (
+        SELECT g.*, c.label, c.inputs, coalesce(
+            list_filter(c.inputs, lambda p: list_contains(g.marking, p))[1], c.inputs[1]) AS pick
+        FROM game g LEFT JOIN choices c ON c.label = g.t[g.i + 1] WHERE g.i < len(g.t)))""",
+    "ended": "SELECT *, CASE WHEN len(list_filter(marking, lambda p: list_contains(stops, p))) > 0 "
+             "THEN 1 ELSE 0 END AS stopped FROM game, stops WHERE i = len(t)",
+    "counted": "SELECT *, len(lacking) + 1 - stopped AS missing_tokens, len(marking) - stopped AS remaining_tokens, "
+               "known + stopped + 1 AS consumed_tokens, known + stopped + 1 AS produced_tokens, "
+               "len(t) - known AS unknown_events, CASE WHEN stopped = 0 THEN lacking || ['sink'] ELSE lacking END "
+               "AS places FROM ended",
+    "replayed": "SELECT array_to_string(t, ' -> ') AS variant, frequency, missing_tokens, remaining_tokens, "
+                "consumed_tokens, produced_tokens, unknown_events, round(0.5 * (1 - missing_tokens / consumed_tokens) "
+                "+ 0.5 * (1 - remaining_tokens / produced_tokens), 6) AS trace_fitness, "
+                "array_to_string(list_sort(list_distinct(places)), ',') AS missing_places FROM counted",
+}
+
+
+def replay_tables(ranks: int) -> dict[str, str]:
+    ids = ", ".join(f"'variant {k}'" for k in range(1, ranks + 1))
+    tables = dict(REPLAY_TABLES)
+    tables["model_cases"] = tables["model_cases"].format(ids=ids)
+    return {"traces": TRACES, "variants": VARIANTS, **tables}
