@@ -1,8 +1,10 @@
 """Filters: boolean columns over the *unfiltered* log.
 
-Every filter contributes one two-valued mask over the base log, and masks are
-combined with ``&``, ``|`` and ``~`` before a single ``where``. Event-level
-masks are plain expressions (Catalyst pushes them to the scan). Case-level masks
+Every filter contributes one mask over the base log, and masks are combined with
+``&``, ``|`` and ``~`` before a single ``where``. Masks are two-valued: an unknown
+comparison counts as false. A ``where`` drops unknowns by itself, so they are
+settled only below a negation, and plain comparisons stay pushable to the scan.
+Event-level masks are plain expressions. Case-level masks
 are flags computed in one pre-aggregation per log, shared by all filters of a
 call, and joined back on the case: nothing is windowed over a case, and a very
 long case is just a skewed join key, which adaptive execution splits.
@@ -47,13 +49,13 @@ class MaskPlan:
         """
         name = self._name()
         (self._paired if paired else self._plain).append((name, aggregate, relevant))
-        return is_true(F.col(name))
+        return F.col(name)
 
     def case_in(self, cases: DataFrame) -> Column:
         """Membership of the case in a (possibly large) table of cases."""
         name = self._name()
         self._sets.append((name, cases))
-        return is_true(F.col(name))
+        return F.col(name)
 
     def attach(self) -> DataFrame:
         out = self.log
@@ -93,11 +95,14 @@ class EventFilter(ABC):
 
     @abstractmethod
     def mask(self, plan: MaskPlan) -> Column:
-        """Boolean column over the base log (register case facts on ``plan``)."""
+        """Column over the base log, null counting as false.
+
+        Case-level facts are registered on ``plan``.
+        """
 
     def checked_mask(self, plan: MaskPlan) -> Column:
         require(plan.log, self.required_columns)
-        return is_true(self.mask(plan))
+        return self.mask(plan)
 
     def apply(self, log: DataFrame) -> DataFrame:
         return apply_filters(log, [self])
@@ -106,7 +111,7 @@ class EventFilter(ABC):
         """The whole log with the mask as a column."""
         plan = MaskPlan(log)
         mask = self.checked_mask(plan)
-        return plan.attach().select(*log.columns, mask.alias(name))
+        return plan.attach().select(*log.columns, is_true(mask).alias(name))
 
     def __and__(self, other: EventFilter) -> EventFilter:
         return AndFilter(self, other)
@@ -149,7 +154,7 @@ class NotFilter(EventFilter):
         self.inner = inner
 
     def mask(self, plan: MaskPlan) -> Column:
-        return ~self.inner.checked_mask(plan)
+        return ~is_true(self.inner.checked_mask(plan))
 
 
 class AgentFilter(EventFilter):
