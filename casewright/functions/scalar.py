@@ -13,11 +13,17 @@ NA_TOKENS = (
 )
 
 
+# Every character that counts as whitespace around a field.
+WHITESPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004"
+    "\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 # -- text ---------------------------------------------------------------------
 def blank_to_null(c: Column) -> Column:
     """Strip surrounding whitespace of any kind; an empty rest becomes null."""
-    stripped = F.regexp_replace(c.cast("string"), r"^\s+|\s+$", "")
-    return F.nullif(stripped, F.lit(""))
+    return F.nullif(F.trim(c.cast("string"), F.lit(WHITESPACE)), F.lit(""))
 
 
 def label_key(c: Column) -> Column:

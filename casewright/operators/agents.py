@@ -16,21 +16,24 @@ from .sequence import EventOrder
 RESOURCE_ORDER = EventOrder((END, START), extra=("position",))
 
 
+def _ai_events(log: DataFrame) -> DataFrame:
+    require(log, (AGENT, RESOURCE, ACTIVITY))
+    return log.where(F.lower(F.col(AGENT)) == "ai")
+
+
 def ai_resource_events(log: DataFrame) -> DataFrame:
     """AI events naming at least one resource, with the names in ``tokens``."""
-    require(log, (AGENT, RESOURCE, ACTIVITY))
-    return (
-        log.where((F.lower(F.col(AGENT)) == "ai") & F.col(RESOURCE).isNotNull())
-        .withColumn("tokens", resource_tokens(F.col(RESOURCE)))
-        .where(F.size("tokens") > 0)
-    )
+    tokens = resource_tokens(F.col(RESOURCE))
+    return _ai_events(log).withColumn("tokens", tokens).where(F.size("tokens") > 0)
 
 
 def exploded_resources(log: DataFrame) -> DataFrame:
-    """One row per event and resource token (``position``, ``resource``)."""
-    events = ai_resource_events(log)
-    kept = [c for c in events.columns if c != "tokens"]
-    return events.select(*kept, F.posexplode("tokens").alias("position", "resource"))
+    """One row per event and resource token (``position``, ``resource``).
+
+    Events without tokens vanish in the explosion, so they need no filter.
+    """
+    tokens = F.posexplode(resource_tokens(F.col(RESOURCE))).alias("position", "resource")
+    return _ai_events(log).select(*log.columns, tokens)
 
 
 def resource_counts(log: DataFrame) -> DataFrame:

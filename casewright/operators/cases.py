@@ -38,13 +38,26 @@ def distinct_traces(traces: DataFrame) -> DataFrame:
     """``(trace, frequency, first_case)`` per distinct trace.
 
     Equal traces are combined before the shuffle, so a trace shared by a large
-    part of all cases costs no more than a rare one.
+    part of all cases costs no more than a rare one. Leading the key with a hash
+    lets Spark sort by a number and compare traces only where hashes agree.
     """
-    return traces.groupBy("trace").agg(
-        F.count(F.lit(1)).alias("frequency"), F.min(CASE).alias("first_case")
+    return (
+        traces.groupBy(trace_hash(), "trace")
+        .agg(F.count(F.lit(1)).alias("frequency"), F.min(CASE).alias("first_case"))
+        .drop("trace_hash")
     )
 
 
+def trace_hash() -> Column:
+    return F.xxhash64("trace").alias("trace_hash")
+
+
+def join_on_trace(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
+    """Equi-join on the trace, sorted by its hash first."""
+    left, right = (d.withColumn("trace_hash", trace_hash()) for d in (left, right))
+    return left.join(right, ["trace_hash", "trace"], how).drop("trace_hash")
+
+
 def variant_order() -> list[Column]:
     """Rank order of variants: frequent first, ties by their smallest case id."""
     return [F.col("frequency").desc(), F.col("first_case").asc()]
@@ -81,7 +94,7 @@ def variants_table(
 def case_variant_info(log: DataFrame, ignore_syst: bool = False, joiner: str = ">") -> DataFrame:
     """Every case with the record of its variant."""
     per_case = case_variants(log, ignore_syst, joiner).select(CASE, "trace")
-    return per_case.join(variants_table(log, ignore_syst, joiner), "trace")
+    return join_on_trace(per_case, variants_table(log, ignore_syst, joiner))
 
 
 def cases_per_variant(log: DataFrame, ignore_syst: bool = False) -> DataFrame:
@@ -95,7 +108,7 @@ def cases_of_variants(log: DataFrame, variant_ids: Iterable[str]) -> DataFrame:
     ranks = [int(v.rsplit(" ", 1)[1]) for v in ids if v.startswith("variant ") and v[8:].isdigit()]
     chosen = variants_table(log, top=max(ranks, default=0)).where(F.col("variant_id").isin(ids))
     per_case = case_variants(log).select(CASE, "trace")
-    return per_case.join(chosen.select("trace"), "trace", "left_semi").select(CASE)
+    return join_on_trace(per_case, chosen.select("trace"), "left_semi").select(CASE)
 
 
 def case_starts(log: DataFrame) -> DataFrame:

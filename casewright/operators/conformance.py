@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .. import scale
 from ..functions import join_trace
 from .cases import case_variants, distinct_traces
-from .nets import PetriNet, collect_bounded
+from .nets import PetriNet
 from .playout import CompiledNet, align_trace, replay_trace
 from .sequence import BY_END, EventOrder
 
@@ -39,9 +39,9 @@ def log_traces(log: DataFrame, order: EventOrder = BY_END) -> DataFrame:
 
 def compile_net(net: PetriNet) -> CompiledNet:
     return CompiledNet.build(
-        [tuple(r) for r in collect_bounded(net.places.select("place", "initial", "final"), "the net")],
-        [tuple(r) for r in collect_bounded(net.transitions.select("tid", "label"), "the net")],
-        [tuple(r) for r in collect_bounded(net.arcs.select("src", "dst", "weight"), "the net")],
+        [tuple(r) for r in scale.collect_bounded(net.places.select("place", "initial", "final"), "the net")],
+        [tuple(r) for r in scale.collect_bounded(net.transitions.select("tid", "label"), "the net")],
+        [tuple(r) for r in scale.collect_bounded(net.arcs.select("src", "dst", "weight"), "the net")],
     )
 
 

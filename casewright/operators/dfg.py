@@ -53,8 +53,14 @@ class DirectlyFollowsGraph:
             F.sum("frequency").alias("frequency")
         )
 
-    def persist(self) -> DirectlyFollowsGraph:
-        return DirectlyFollowsGraph(self.flows.persist())
+    def collected(self) -> DirectlyFollowsGraph:
+        """The graph computed once, its flows (size checked) held by the driver.
+
+        For uses that read the flows several times, as building a net does.
+        """
+        rows = scale.collect_bounded(self.flows, "the directly-follows graph")
+        spark = self.flows.sparkSession
+        return DirectlyFollowsGraph(spark.createDataFrame(rows, self.flows.schema))
 
 
 def discover_dfg(log: DataFrame, order: EventOrder = BY_END) -> DirectlyFollowsGraph:

@@ -59,21 +59,18 @@ class MaskPlan:
 
     def attach(self) -> DataFrame:
         out = self.log
-        if self._plain:
-            out = _join_facts(out, _facts(self.log, self._plain))
         if self._paired:
-            needed = [c for c in self.log.columns if c in _ORDER_COLUMNS]
-            pairs = with_next(self.log.select(*needed), BY_START, {ACTIVITY: NEXT})
-            out = _join_facts(out, _facts(pairs, self._paired))
+            # The pass that pairs events serves the other facts as well.
+            pairs = with_next(self.log, BY_START, {ACTIVITY: NEXT})
+            out = _join_facts(out, _facts(pairs, self._plain + self._paired))
+        elif self._plain:
+            out = _join_facts(out, _facts(self.log, self._plain))
         for name, cases in self._sets:
             members = cases.select(F.col(CASE)).distinct().withColumn(name, F.lit(True))
             out = _join_facts(out, members)
         return out
 
 
-_ORDER_COLUMNS = {CASE, ACTIVITY, "EVENT_ID", *BY_START.timestamps}
-
-
 def _facts(events: DataFrame, facts: list[tuple[str, Column, Column]]) -> DataFrame:
     relevant = reduce(lambda a, b: a | b, [r for _, _, r in facts])
     return (

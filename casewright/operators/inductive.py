@@ -17,7 +17,6 @@ from .. import scale
 from .conformance import log_traces
 from .cuts import FlowSummary, find_cut
 from .dfg import ENDS, FOLLOWS, STARTS
-from .nets import collect_bounded
 from .sequence import BY_END, EventOrder
 from .trees import CHOICE, LOOP, PARALLEL, SEQUENCE, ProcessTree
 
@@ -104,7 +103,7 @@ def _summaries(sub: DataFrame) -> dict[int, FlowSummary]:
         .agg(F.sum("frequency").alias("n"))
     )
     found: dict[int, FlowSummary] = defaultdict(FlowSummary)
-    for node, kind, src, dst, n in collect_bounded(counted, "the flow summary"):
+    for node, kind, src, dst, n in scale.collect_bounded(counted, "the flow summary"):
         flow = found[node]
         if kind == FOLLOWS:
             flow.edges[src, dst] = n

@@ -8,8 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import session
-from .dfg import ENDS, FOLLOWS, STARTS, DirectlyFollowsGraph
+from .dfg import ENDS, STARTS, DirectlyFollowsGraph
 
 PLACES = "place string, initial int, final int"
 TRANSITIONS = "tid string, label string"
@@ -68,17 +67,6 @@ class PetriNet:
         return PetriNet(self.places.persist(), self.transitions.persist(), self.arcs.persist())
 
 
-def collect_bounded(table: DataFrame, what: str) -> list:
-    """Rows of a model-sized table; refuses tables that are not model-sized."""
-    limit = session.setting(
-        table.sparkSession, session.MODEL_CELLS, session.MODEL_CELLS_DEFAULT
-    )
-    rows = table.limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"{what} has more than {limit} rows, see {session.MODEL_CELLS}")
-    return rows
-
-
 def _place(activity):
     return F.concat(F.lit("p:"), activity)
 
@@ -132,9 +120,3 @@ def top_edge_model(graph: DirectlyFollowsGraph, n: int) -> DataFrame:
         .select("src", "dst", "frequency", "src_total", "dst_total")
         .orderBy(F.desc("frequency"), "src", "dst")
     )
-
-
-__all__ = [
-    "ENDS", "FOLLOWS", "STARTS", "PetriNet", "collect_bounded", "net_from_dfg",
-    "net_transitions_from_dfg", "top_edge_model",
-]

@@ -118,12 +118,14 @@ def prefixes(traces: DataFrame, labels: str | None = None) -> DataFrame:
     return hashed.select("h1", "h2", "length", "last", "next", "frequency", *extra)
 
 
-def dfg_precision(traces: DataFrame, graph: DirectlyFollowsGraph) -> DataFrame:
+def dfg_precision(traces: DataFrame, graph: DirectlyFollowsGraph | None = None) -> DataFrame:
     """One minus the share of enabled but unseen steps over all prefixes.
 
     After a prefix the net enables the successors of its last activity; the
-    empty prefix enables all start activities.
+    empty prefix enables all start activities. Without ``graph`` the one of the
+    traces is used.
     """
+    graph = graph or dfg_from_traces(traces)
     seen = (
         prefixes(traces)
         .groupBy("h1", "h2", "length", "last", "next")
@@ -158,19 +160,15 @@ def dfg_quality(log: DataFrame, order: EventOrder = BY_END) -> DataFrame:
 
     All null for an empty log.
     """
-    traces = log_traces(log, order)
-    graph = discover_dfg(log, order)
-    return dfg_fitness(graph).select(
-        "fitness",
-        dfg_precision(traces, graph).scalar().alias("precision"),
-        dfg_generalization(graph).scalar().alias("generalization"),
-        dfg_simplicity(graph).scalar().alias("simplicity"),
-    )
+    return graph_quality(discover_dfg(log, order), log_traces(log, order))
 
 
-def traces_quality(traces: DataFrame) -> DataFrame:
-    """:func:`dfg_quality` from ``(trace, frequency)`` rows already at hand."""
-    graph = dfg_from_traces(traces)
+def graph_quality(graph: DirectlyFollowsGraph, traces: DataFrame) -> DataFrame:
+    """The four metrics of a graph on the traces it was found in.
+
+    The flows are computed once and read four times.
+    """
+    graph = graph.collected()
     return dfg_fitness(graph).select(
         "fitness",
         dfg_precision(traces, graph).scalar().alias("precision"),

@@ -55,11 +55,18 @@ class EventOrder:
         return [k.asc_nulls_last() for k in self.keys(log)]
 
     def struct(self, log: DataFrame) -> Column:
-        """One comparable value per event with the same order as ``columns``."""
+        """One comparable value per event with the same order as ``columns``.
+
+        The activity, if there, is its last field and named ``activity``.
+        """
+        keys = self.keys(log)
+        named = ACTIVITY in log.columns
         fields: list[Column] = []
-        for i, k in enumerate(self.keys(log)):
+        for i, k in enumerate(keys[:-1] if named else keys):
             fields.append(k.isNull().alias(f"n{i}"))
             fields.append(k.alias(f"k{i}"))
+        if named:
+            fields.append(keys[-1].alias("activity"))
         return F.struct(*fields)
 
 
@@ -165,8 +172,8 @@ def case_traces(log: DataFrame, order: EventOrder = BY_START) -> DataFrame:
     sorted pieces, so that no task ever sorts the whole case.
     """
     ordinary, hot = _split(log.select(*_needed(log, order)))
-    entry = F.struct(order.struct(log).alias("k"), F.col(ACTIVITY).alias("a"))
-    activities = F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["a"])
+    in_order = F.array_sort(F.collect_list(order.struct(log)))
+    activities = F.transform(in_order, lambda e: e["activity"])
     out = ordinary.groupBy(CASE).agg(activities.alias("trace"))
     if hot is None:
         return out

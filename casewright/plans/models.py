@@ -30,8 +30,8 @@ class DFGModel(ProcessModel):
     def compute(self, log: DataFrame) -> dfg.DirectlyFollowsGraph:
         return dfg.discover_dfg(log)
 
-    def quality_metrics(self, log: DataFrame, model: Any) -> DataFrame:
-        return quality.dfg_quality(log)
+    def quality_metrics(self, log: DataFrame, model: dfg.DirectlyFollowsGraph) -> DataFrame:
+        return quality.graph_quality(model, conformance.log_traces(log))
 
 
 @dataclass(frozen=True)

@@ -363,7 +363,7 @@ for _prefix, _log in (("", "evt_log"), ("item_", "item_log"), ("conv_", "conv_lo
              lambda log: rounded("generalization")(rating.dfg_generalization(dfg.discover_dfg(log))),
              q.GENERALIZATION, **G)
     register(f"{_prefix}quality_precision", _log,
-             lambda log: rounded("precision")(rating.dfg_precision(conformance.log_traces(log), dfg.discover_dfg(log))),
+             lambda log: rounded("precision")(rating.dfg_precision(conformance.log_traces(log))),
              q.PRECISION, **q.prefix_states(q.BY_END))
 register("quality_metrics", "evt_log",
          lambda log: rounded(*rating.METRICS)(
@@ -372,7 +372,7 @@ ORACLE["quality_metrics"] = with_log("ai_log", q.METRICS, **G, **q.prefix_states
 # The same figures from a full replay on the net tables.
 register("quality_metrics_replayed", "evt_log",
          lambda log: rounded(*rating.METRICS)(rating.net_quality(
-             conformance.log_traces(log), nets.net_from_dfg(dfg.discover_dfg(log)))),
+             conformance.log_traces(log), nets.net_from_dfg(dfg.discover_dfg(log).collected()))),
          q.METRICS, **G, **q.prefix_states(q.BY_END))
 
 # -- given traces --------------------------------------------------------------------------------------
@@ -452,7 +452,7 @@ NORMATIVE_RANKS = 12
 def _normative(log: DataFrame) -> nets.PetriNet:
     """Net of the graph of the cases following one of the first variants."""
     ids = [f"variant {k}" for k in range(1, NORMATIVE_RANKS + 1)]
-    return nets.net_from_dfg(dfg.discover_dfg(filters.VariantFilter(ids).apply(log)))
+    return nets.net_from_dfg(dfg.discover_dfg(filters.VariantFilter(ids).apply(log)).collected())
 
 
 def _replayed(log: DataFrame) -> DataFrame:
