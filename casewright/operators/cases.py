@@ -3,14 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .. import scale
+from .. import scale, session
 from ..functions import as_timestamp, day_bucket, join_trace, micros_between, minutes_between
 from ..schema import ACTIVITY, AGENT, CASE, END, START, require
-from .sequence import BY_START, EventOrder, case_traces
+from .sequence import (
+    BY_END,
+    BY_START,
+    EventOrder,
+    case_fingerprints,
+    case_traces,
+    join_on_case,
+    traces_of,
+    with_position,
+)
 
 ZERO_INTERVAL = "INTERVAL '0 00:00:00' DAY TO SECOND"
 
@@ -52,10 +62,53 @@ def trace_hash() -> Column:
     return F.xxhash64("trace").alias("trace_hash")
 
 
-def join_on_trace(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
-    """Equi-join on the trace, sorted by its hash first."""
-    left, right = (d.withColumn("trace_hash", trace_hash()) for d in (left, right))
-    return left.join(right, ["trace_hash", "trace"], how).drop("trace_hash")
+@dataclass(frozen=True)
+class CaseGroups:
+    """The cases of a log and the groups of cases with equal traces.
+
+    ``per_case`` has CASE_ID and ``key``; ``groups`` has ``key``, ``frequency``,
+    ``first_case`` and ``length``. ``describe`` adds the ``trace`` to groups.
+
+    In a small log the key is the trace itself. In a large one it is a fingerprint
+    of the trace, so that neither grouping nor joining moves lists of activities,
+    and only one case per group is ever written out. Traces too long for a cell
+    stay null there; :func:`variant_events` has them as rows.
+    """
+
+    log: DataFrame
+    order: EventOrder
+    per_case: DataFrame
+    groups: DataFrame
+    small: bool
+
+    @classmethod
+    def of(cls, log: DataFrame, ignore_syst: bool, order: EventOrder) -> CaseGroups:
+        require(log, (CASE, ACTIVITY, *order.timestamps[:1]))
+        events = without_system(log) if ignore_syst else log
+        small = scale.fits_one_task(log)
+        if small:
+            hashed = case_traces(events, order).withColumn("h", F.xxhash64("trace"))
+            keyed = hashed.select(
+                CASE, F.struct("h", "trace").alias("key"), F.size("trace").alias("length")
+            )
+        else:
+            keyed = case_fingerprints(events, order).select(
+                CASE, F.struct("h1", "h2", "length").alias("key"), "length"
+            )
+        groups = keyed.groupBy("key", "length").agg(
+            F.count(F.lit(1)).alias("frequency"), F.min(CASE).alias("first_case")
+        )
+        return cls(events, order, keyed.select(CASE, "key"), groups, small)
+
+    def describe(self, groups: DataFrame) -> DataFrame:
+        if self.small:
+            return groups.withColumn("trace", F.col("key.trace"))
+        cell = session.setting(
+            self.log.sparkSession, session.TRACE_CELL_EVENTS, session.TRACE_CELL_EVENTS_DEFAULT
+        )
+        chosen = groups.where(F.col("length") <= cell).select(F.col("first_case").alias(CASE))
+        written = traces_of(self.log, chosen, self.order).withColumnRenamed(CASE, "first_case")
+        return groups.join(written, "first_case", "left")
 
 
 def variant_order() -> list[Column]:
@@ -63,14 +116,11 @@ def variant_order() -> list[Column]:
     return [F.col("frequency").desc(), F.col("first_case").asc()]
 
 
-def _variant_columns(ranked: DataFrame, joiner: str) -> DataFrame:
-    return ranked.select(
-        F.concat(F.lit("variant "), F.col("rank").cast("string")).alias("variant_id"),
-        join_trace(F.col("trace"), joiner).alias("variant"),
-        "trace",
-        "frequency",
-        F.size("trace").alias("length"),
-    )
+def _ranked(groups: DataFrame, top: int | None = None) -> DataFrame:
+    if top is not None:
+        groups = groups.orderBy(*variant_order()).limit(top)
+    name = F.concat(F.lit("variant "), F.col("rank").cast("string"))
+    return scale.global_rank(groups, variant_order(), "rank").withColumn("variant_id", name)
 
 
 def variants_table(
@@ -85,30 +135,58 @@ def variants_table(
     Ids are ``"variant k"`` by rank. With ``top`` only the first ranks are
     returned, which needs no ranking of the others.
     """
-    grouped = distinct_traces(case_variants(log, ignore_syst, joiner, order))
-    if top is not None:
-        grouped = grouped.orderBy(*variant_order()).limit(top)
-    return _variant_columns(scale.global_rank(grouped, variant_order(), "rank"), joiner)
+    found = CaseGroups.of(log, ignore_syst, order)
+    ranked = found.describe(_ranked(found.groups, top))
+    return ranked.select(
+        "variant_id", join_trace(F.col("trace"), joiner).alias("variant"), "trace",
+        "frequency", "length",
+    )
+
+
+def variant_events(
+    log: DataFrame, ignore_syst: bool = False, order: EventOrder = BY_START
+) -> DataFrame:
+    """``(variant_id, position, activity)``: every variant as rows, of any length."""
+    found = CaseGroups.of(log, ignore_syst, order)
+    ids = _ranked(found.groups).select(F.col("first_case").alias(CASE), "variant_id")
+    placed = with_position(found.log, order)
+    return join_on_case(placed, ids, "inner", base=found.log).select(
+        "variant_id", "position", F.col(ACTIVITY).alias("activity")
+    )
+
+
+def log_traces(log: DataFrame, order: EventOrder = BY_END) -> DataFrame:
+    """``(trace, frequency)``: the distinct traces of a log, each in one cell.
+
+    For operators that walk through a trace event by event.
+    """
+    return distinct_traces(case_variants(log, order=order)).select("trace", "frequency")
 
 
 def case_variant_info(log: DataFrame, ignore_syst: bool = False, joiner: str = ">") -> DataFrame:
     """Every case with the record of its variant."""
-    per_case = case_variants(log, ignore_syst, joiner).select(CASE, "trace")
-    return join_on_trace(per_case, variants_table(log, ignore_syst, joiner))
+    found = CaseGroups.of(log, ignore_syst, BY_START)
+    ranked = found.describe(_ranked(found.groups))
+    return found.per_case.join(ranked, "key").select(
+        CASE, "variant_id", join_trace(F.col("trace"), joiner).alias("variant"), "trace",
+        "frequency", "length",
+    )
 
 
 def cases_per_variant(log: DataFrame, ignore_syst: bool = False) -> DataFrame:
     """``(variant_id, CASE_ID)`` rows: which cases follow which variant."""
-    return case_variant_info(log, ignore_syst).select("variant_id", CASE)
+    found = CaseGroups.of(log, ignore_syst, BY_START)
+    ranked = _ranked(found.groups).select("key", "variant_id")
+    return found.per_case.join(ranked, "key").select("variant_id", CASE)
 
 
 def cases_of_variants(log: DataFrame, variant_ids: Iterable[str]) -> DataFrame:
     """Case ids of the chosen variants of the whole log."""
     ids = sorted(set(variant_ids))
-    ranks = [int(v.rsplit(" ", 1)[1]) for v in ids if v.startswith("variant ") and v[8:].isdigit()]
-    chosen = variants_table(log, top=max(ranks, default=0)).where(F.col("variant_id").isin(ids))
-    per_case = case_variants(log).select(CASE, "trace")
-    return join_on_trace(per_case, chosen.select("trace"), "left_semi").select(CASE)
+    ranks = [int(v[8:]) for v in ids if v.startswith("variant ") and v[8:].isdigit()]
+    found = CaseGroups.of(log, False, BY_START)
+    chosen = _ranked(found.groups, top=max(ranks, default=0)).where(F.col("variant_id").isin(ids))
+    return found.per_case.join(chosen.select("key"), "key", "left_semi").select(CASE)
 
 
 def case_starts(log: DataFrame) -> DataFrame:
@@ -182,12 +260,6 @@ def with_case_date(log: DataFrame, target: str = "CASE_DATE") -> DataFrame:
     Joined from a pre-aggregated table instead of windowed over the case, so a
     long case does not end up in one task.
     """
-    days = case_starts(log).select(
-        F.col(CASE).alias("__case"), F.to_date("started").alias(target)
-    )
+    days = case_starts(log).select(CASE, F.to_date("started").alias(target))
     kept = [c for c in log.columns if c != target]
-    return (
-        log.select(*kept)
-        .join(days, F.col(CASE) == F.col("__case"), "left")
-        .drop("__case")
-    )
+    return join_on_case(log.select(*kept), days)

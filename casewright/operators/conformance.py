@@ -15,10 +15,9 @@ from pyspark.sql import functions as F
 
 from .. import scale
 from ..functions import join_trace
-from .cases import case_variants, distinct_traces
+from .cases import log_traces
 from .nets import PetriNet
 from .playout import CompiledNet, align_trace, replay_trace
-from .sequence import BY_END, EventOrder
 
 REPLAY = (
     "trace array<string>, frequency bigint, missing_tokens bigint, remaining_tokens bigint, "
@@ -32,11 +31,6 @@ ALIGNMENT = (
 )
 
 
-def log_traces(log: DataFrame, order: EventOrder = BY_END) -> DataFrame:
-    """``(trace, frequency)``: the distinct traces of a log."""
-    return distinct_traces(case_variants(log, order=order)).select("trace", "frequency")
-
-
 def compile_net(net: PetriNet) -> CompiledNet:
     return CompiledNet.build(
         [tuple(r) for r in scale.collect_bounded(net.places.select("place", "initial", "final"), "the net")],
@@ -203,3 +197,9 @@ def alignment_summary(rollup: DataFrame) -> DataFrame:
         F.coalesce(F.avg("fitness"), F.lit(0.0)).alias("mean_fitness"),
         F.coalesce(F.max("cost"), F.lit(1.0)).alias("max_cost"),
     )
+
+
+__all__ = [
+    "alignment_rollup", "alignment_summary", "alignments", "compile_net", "is_fit", "log_traces",
+    "move_kind", "replay_rollup", "replay_summary", "token_replay",
+]

@@ -6,8 +6,7 @@ comparison counts as false. A ``where`` drops unknowns by itself, so they are
 settled only below a negation, and plain comparisons stay pushable to the scan.
 Event-level masks are plain expressions. Case-level masks
 are flags computed in one pre-aggregation per log, shared by all filters of a
-call, and joined back on the case: nothing is windowed over a case, and a very
-long case is just a skewed join key, which adaptive execution splits.
+call, and joined back on the case, very long cases by broadcast.
 """
 
 from __future__ import annotations
@@ -24,7 +23,7 @@ from pyspark.sql import functions as F
 from ..errors import FilterError
 from ..functions import as_timestamp, is_true
 from ..schema import ACTIVITY, AGENT, CASE, END, START, require
-from .sequence import BY_START, EventOrder, with_next
+from .sequence import BY_START, EventOrder, join_on_case, with_next
 
 NEXT = "__next_activity"
 
@@ -62,12 +61,12 @@ class MaskPlan:
         if self._paired:
             # The pass that pairs events serves the other facts as well.
             pairs = with_next(self.log, BY_START, {ACTIVITY: NEXT})
-            out = _join_facts(out, _facts(pairs, self._plain + self._paired))
+            out = join_on_case(out, _facts(pairs, self._plain + self._paired), base=self.log)
         elif self._plain:
-            out = _join_facts(out, _facts(self.log, self._plain))
+            out = join_on_case(out, _facts(self.log, self._plain), base=self.log)
         for name, cases in self._sets:
             members = cases.select(F.col(CASE)).distinct().withColumn(name, F.lit(True))
-            out = _join_facts(out, members)
+            out = join_on_case(out, members, base=self.log)
         return out
 
 
@@ -80,11 +79,6 @@ def _facts(events: DataFrame, facts: list[tuple[str, Column, Column]]) -> DataFr
     )
 
 
-def _join_facts(log: DataFrame, facts: DataFrame) -> DataFrame:
-    keyed = facts.withColumnRenamed(CASE, "__fact_case")
-    return log.join(keyed, F.col(CASE) == F.col("__fact_case"), "left").drop("__fact_case")
-
-
 class EventFilter(ABC):
     """Base of all filters; subclasses build one mask."""
 

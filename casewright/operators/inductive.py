@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import scale
-from .conformance import log_traces
+from .cases import log_traces
 from .cuts import FlowSummary, find_cut
 from .dfg import ENDS, FOLLOWS, STARTS
 from .sequence import BY_END, EventOrder

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import scale
-from .conformance import log_traces, token_replay
+from .cases import log_traces
+from .conformance import token_replay
 from .dfg import ENDS, DirectlyFollowsGraph, dfg_from_traces, discover_dfg
 from .nets import PetriNet
 from .sequence import BY_END, EventOrder

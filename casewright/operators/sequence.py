@@ -2,10 +2,10 @@
 
 A case usually has a handful of events, and sorting it inside one task is the
 cheapest plan there is: one shuffle by case. But a single case may also hold a
-large share of the log. Such *hot* cases are found with a heavy-hitter sketch
-(one narrow scan, a bounded result) and only their events take a second route:
-they are range-partitioned on (case, order), worked on piece by piece, and the
-pieces are stitched at their edges.
+large share of the log. In large logs such *hot* cases are looked for with a
+heavy-hitter sketch (one narrow scan, a bounded result), and only their events
+take a second route: they are range-partitioned on (case, order), worked on piece
+by piece, and the pieces are stitched at their edges.
 """
 
 from __future__ import annotations
@@ -16,10 +16,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import scale, session
-from ..functions import as_timestamp
+from ..functions import as_timestamp, is_true
 from ..schema import ACTIVITY, CASE, END, EVENT, START, require
 
-# The sketch returns at most this many heavy cases, so the set may be broadcast.
+# The sketch names at most this many cases, out of as many tracked per task.
 SKETCH_RESULT = 1_000
 SKETCH_TRACKED = 10_000
 
@@ -74,29 +74,43 @@ BY_START = EventOrder((START,))
 BY_END = EventOrder((END, START))
 
 
-def hot_cases(log: DataFrame) -> DataFrame:
-    """Cases with very many events: column CASE_ID, at most a thousand rows."""
+# Hot cases of logs already looked at, by the hash of their plan. A stale entry
+# costs speed at worst: any list splits a log correctly.
+_KNOWN_HOT: dict[tuple[int, int], list[str]] = {}
+
+
+def hot_cases(log: DataFrame) -> list[str]:
+    """Ids of cases with very many events, none for logs one task can sort.
+
+    Runs one job over the case column alone: every task keeps a sketch of its
+    most frequent cases, and the merged sketch names at most a thousand. As a
+    plain list they split the log the same way wherever they are used.
+    """
+    if scale.fits_one_task(log):
+        return []
     limit = session.setting(
         log.sparkSession, session.HOT_CASE_EVENTS, session.HOT_CASE_EVENTS_DEFAULT
     )
-    return (
-        log.where(F.col(CASE).isNotNull())
-        .select(F.col(CASE).cast("string").alias(CASE))
-        .agg(F.expr(f"approx_top_k({CASE}, {SKETCH_RESULT}, {SKETCH_TRACKED})").alias("top"))
-        .select(F.inline("top"))
-        .where(F.col("count") >= limit)
-        .select(F.col("item").alias("__hot"))
-    )
+    ids = log.where(F.col(CASE).isNotNull()).select(F.col(CASE).cast("string").alias(CASE))
+    key = (ids.semanticHash(), limit)
+    if key not in _KNOWN_HOT:
+        top = ids.agg(F.expr(f"approx_top_k({CASE}, {SKETCH_RESULT}, {SKETCH_TRACKED})").alias("top"))
+        counted = top.select(F.inline("top")).where(F.col("count") >= limit).select("item")
+        _KNOWN_HOT[key] = sorted(r["item"] for r in scale.collect_bounded(counted, "hot cases"))
+    return _KNOWN_HOT[key]
+
+
+def _is_hot(ids: list[str]) -> Column:
+    return is_true(F.col(CASE).cast("string").isin(ids))
 
 
 def _split(log: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """(ordinary events, events of hot cases or None when the log is small)."""
+    """(ordinary events, events of hot cases or None if there are none)."""
     known = log.where(F.col(CASE).isNotNull())
-    if scale.fits_one_task(log):
+    ids = hot_cases(log)
+    if not ids:
         return known, None
-    hot = F.broadcast(hot_cases(log))
-    match = F.col(CASE).cast("string") == F.col("__hot")
-    return known.join(hot, match, "left_anti"), known.join(hot, match, "left_semi")
+    return known.where(~_is_hot(ids)), known.where(_is_hot(ids))
 
 
 def _pieces(hot: DataFrame, order: EventOrder) -> DataFrame:
@@ -165,6 +179,75 @@ def _lead_in_pieces(hot, order, following, first, last):
     return joined.withColumns(result).drop(*helpers)
 
 
+def with_position(log: DataFrame, order: EventOrder, name: str = "position") -> DataFrame:
+    """Number the events of each case from zero."""
+    ordinary, hot = _split(log)
+    keys = order.columns(log)
+    whole = Window.partitionBy(CASE).orderBy(*keys)
+    out = ordinary.withColumn(name, F.row_number().over(whole) - 1)
+    if hot is None:
+        return out
+    return out.unionByName(_positions_in_pieces(hot, order, name))
+
+
+def _positions_in_pieces(hot: DataFrame, order: EventOrder, name: str) -> DataFrame:
+    piece = Window.partitionBy(CASE, "__piece")
+    ordered = piece.orderBy(*order.columns(hot))
+    # The last event of a piece knows its size. These events alone meet per case
+    # to learn how many events came before, and pass it on within their piece.
+    inside = (
+        _pieces(hot, order)
+        .withColumn("__rn", F.row_number().over(ordered))
+        .withColumn("__tail", F.lead(F.lit(True)).over(ordered).isNull())
+        .withColumn("__lane", F.when(F.col("__tail"), F.lit(-1)).otherwise(F.col("__piece")))
+    )
+    sizes = F.sum(F.when(F.col("__tail"), F.col("__rn"))).over(
+        Window.partitionBy(CASE, "__lane").orderBy("__piece")
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    before = inside.withColumn("__before", F.when(F.col("__tail"), F.coalesce(sizes, F.lit(0))))
+    return before.withColumn(
+        name, (F.max("__before").over(piece) + F.col("__rn") - 1).cast("int")
+    ).drop("__piece", "__rn", "__tail", "__lane", "__before")
+
+
+def case_fingerprints(log: DataFrame, order: EventOrder) -> DataFrame:
+    """``(CASE_ID, h1, h2, length)``: identity of each case's trace.
+
+    Two 64-bit hashes, each the xor of the hashes of the (position, activity)
+    pairs: combined before the shuffle like a sum, so a case of any length needs
+    no list of its activities.
+    """
+    events = log.select(*_needed(log, order))
+    placed = with_position(events, order)
+    return placed.groupBy(CASE).agg(
+        F.bit_xor(F.xxhash64("position", ACTIVITY)).alias("h1"),
+        F.bit_xor(F.xxhash64(ACTIVITY, "position", F.lit("second"))).alias("h2"),
+        F.count(F.lit(1)).cast("int").alias("length"),
+    )
+
+
+def join_on_case(
+    log: DataFrame, facts: DataFrame, how: str = "left", base: DataFrame | None = None
+) -> DataFrame:
+    """Join a table with one row per case to the events.
+
+    Hot cases would pile up in one task of a shuffled join. Their events take a
+    broadcast join instead, with the (at most a thousand) facts about them. If
+    ``log`` was derived from a simpler table of the same events, they are looked
+    for in that ``base``.
+    """
+    ids = hot_cases(log if base is None else base)
+    keyed = facts.withColumnRenamed(CASE, "__fact_case")
+    same = F.col(CASE) == F.col("__fact_case")
+    if not ids:
+        return log.join(keyed, same, how).drop("__fact_case")
+    few = keyed.where(F.col("__fact_case").cast("string").isin(ids))
+    ordinary = log.where(~_is_hot(ids)).join(keyed, same, how)
+    crowded = log.where(_is_hot(ids)).join(F.broadcast(few), same, how)
+    return ordinary.unionByName(crowded).drop("__fact_case")
+
+
 def case_traces(log: DataFrame, order: EventOrder = BY_START) -> DataFrame:
     """``(CASE_ID, trace)``: the ordered activities of every case.
 
@@ -172,17 +255,35 @@ def case_traces(log: DataFrame, order: EventOrder = BY_START) -> DataFrame:
     sorted pieces, so that no task ever sorts the whole case.
     """
     ordinary, hot = _split(log.select(*_needed(log, order)))
-    in_order = F.array_sort(F.collect_list(order.struct(log)))
-    activities = F.transform(in_order, lambda e: e["activity"])
-    out = ordinary.groupBy(CASE).agg(activities.alias("trace"))
+    out = _sorted_traces(ordinary, order, [CASE], "trace")
     if hot is None:
         return out
-    pieces = _pieces(hot, order).groupBy(CASE, "__piece").agg(activities.alias("__run"))
+    return out.unionByName(_join_pieces(hot, order))
+
+
+def _join_pieces(hot: DataFrame, order: EventOrder) -> DataFrame:
+    """Traces of hot cases: pieces are sorted by themselves, then put in a row."""
+    pieces = _sorted_traces(_pieces(hot, order), order, [CASE, "__piece"], "__run")
     runs = F.array_sort(F.collect_list(F.struct("__piece", "__run")))
-    whole = pieces.groupBy(CASE).agg(
+    return pieces.groupBy(CASE).agg(
         F.flatten(F.transform(runs, lambda r: r["__run"])).alias("trace")
     )
-    return out.unionByName(whole)
+
+
+def _sorted_traces(events: DataFrame, order: EventOrder, keys: list[str], name: str) -> DataFrame:
+    in_order = F.array_sort(F.collect_list(order.struct(events)))
+    return events.groupBy(*keys).agg(F.transform(in_order, lambda e: e["activity"]).alias(name))
+
+
+def traces_of(log: DataFrame, chosen: DataFrame, order: EventOrder) -> DataFrame:
+    """Traces of the chosen cases (column CASE_ID) of a large log."""
+    ordinary, hot = _split(log.select(*_needed(log, order)))
+    out = _sorted_traces(ordinary.join(chosen, CASE, "left_semi"), order, [CASE], "trace")
+    if hot is None:
+        return out
+    # At most as many as there are hot cases.
+    few = F.broadcast(chosen.where(_is_hot(hot_cases(log))))
+    return out.unionByName(_join_pieces(hot.join(few, CASE, "left_semi"), order))
 
 
 def _needed(log: DataFrame, order: EventOrder) -> list[str]:

@@ -13,6 +13,11 @@ SINGLE_TASK_BYTES_DEFAULT = 256 * 1024 * 1024
 HOT_CASE_EVENTS = "spark.casewright.hotCaseEvents"
 HOT_CASE_EVENTS_DEFAULT = 1_000_000
 
+# A variants table of a large log writes out traces of up to this many events;
+# longer ones are only delivered as rows.
+TRACE_CELL_EVENTS = "spark.casewright.traceCellEvents"
+TRACE_CELL_EVENTS_DEFAULT = 10_000_000
+
 # Most cells a model summary (edges, starts, ends of all open nodes) may have
 # before it is refused on the driver.
 MODEL_CELLS = "spark.casewright.modelCells"

@@ -79,13 +79,38 @@ def test_durations_match_brute_force(make_log, both_sizes):
     assert not spans
 
 
-def test_hot_cases_are_found(make_log, spark):
+def test_hot_cases_are_found(make_log, spark, both_sizes):
     spark.conf.set(session.HOT_CASE_EVENTS, "50")
+    found = sequence.hot_cases(make_log(random_rows(5), *COLUMNS))
+    assert found == (["hot"] if both_sizes == "large" else [])
+
+
+def test_long_traces_are_left_to_rows(make_log, spark, both_sizes):
+    """Every variant comes as rows, whether or not its trace fits a cell."""
+    log = make_log(random_rows(8, events=120), *COLUMNS)
+    want = {c: [e[2] for e in ev] for c, ev in by_case(random_rows(8, events=120), START_KEY).items()}
+    spark.conf.set(session.TRACE_CELL_EVENTS, "10")
     try:
-        found = sequence.hot_cases(make_log(random_rows(5), *COLUMNS)).collect()
+        table = cases.variants_table(log).collect()
+        rows = cases.variant_events(log).orderBy("variant_id", "position").collect()
     finally:
-        spark.conf.unset(session.HOT_CASE_EVENTS)
-    assert [r[0] for r in found] == ["hot"]
+        spark.conf.unset(session.TRACE_CELL_EVENTS)
+    whole = defaultdict(list)
+    for r in rows:
+        assert r.position == len(whole[r.variant_id])
+        whole[r.variant_id].append(r.activity)
+    assert sorted(whole.values()) == sorted(map(list, {tuple(t) for t in want.values()}))
+    for r in table:
+        assert len(whole[r.variant_id]) == r.length
+        assert r.trace == (whole[r.variant_id] if both_sizes == "small" or r.length <= 10 else None)
+    assert sum(r.frequency for r in table) == len(want)
+
+
+def test_joins_on_case_keep_every_event(make_log, spark, both_sizes):
+    rows = random_rows(9) + [(None, "999", "a", "2024-01-01 00:00:00", "2024-01-01 00:00:00")]
+    dated = cases.with_case_date(make_log(rows, *COLUMNS))
+    assert sorted(int(r.EVENT_ID) for r in dated.collect()) == sorted(int(r[1]) for r in rows)
+    assert [r.EVENT_ID for r in dated.where("CASE_DATE IS NULL").collect()] == ["999"]
 
 
 def test_hot_cases_are_cut_into_pieces(make_log, both_sizes):

@@ -193,6 +193,9 @@ for _prefix, _log in (("", "evt_log"), ("item_", "item_log"), ("user_", "user_lo
              q.TRACES)
     register(f"{_prefix}variants_table", _log, lambda log: cases.variants_table(log).drop("trace"),
              "SELECT * FROM variants", traces=q.TRACES, variants=q.VARIANTS)
+register("variant_events", "evt_log", cases.variant_events,
+         "SELECT variant_id, cast(generate_subscripts(string_split(variant, '>'), 1) - 1 AS INTEGER) AS position, "
+         "unnest(string_split(variant, '>')) AS activity FROM variants", traces=q.TRACES, variants=q.VARIANTS)
 register("case_variant_info", "evt_log",
          lambda log: plans.CaseAggView(log).with_aux(plans.NormalizeTimestampsOp())
          .with_aggregator(plans.build_aggregator_from_spec({"type": "variant"})).compute(),
