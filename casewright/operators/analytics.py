@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import scale
-from ..functions import as_timestamp, join_trace, period_bucket, period_step
+from ..functions import as_timestamp, period_bucket, period_step
 from ..schema import ACTIVITY, CASE, START, require
-from .cases import case_durations, case_variants, distinct_traces, variant_order, variants_table
+from .cases import case_durations, variants_table
 
 BINS = 10
 
@@ -76,14 +76,6 @@ def top_variants(log: DataFrame, top_n: int = 10, ignore_syst: bool = True) -> D
     return variant_frames(log, ignore_syst).limit(top_n)
 
 
-def variant_labels(log: DataFrame) -> DataFrame:
-    """Distinct traces as ``A -> B`` labels with their frequency."""
-    grouped = distinct_traces(case_variants(log))
-    return grouped.orderBy(*variant_order()).select(
-        join_trace(F.col("trace")).alias("variant"), "frequency"
-    )
-
-
 def duration_describe(log: DataFrame) -> DataFrame:
     """count, mean, std, min, quartiles and max of case minutes, in one row."""
     minutes = case_durations(log).select("minutes")

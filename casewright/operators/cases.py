@@ -39,29 +39,11 @@ def case_variants(
 
     Cases left without events by ``ignore_syst`` have no variant and no row.
     """
-    require(log, (CASE, ACTIVITY, *order.timestamps[:1]))
+    require(log, (CASE, ACTIVITY))
     events = without_system(log) if ignore_syst else log
     return case_traces(events, order).withColumn("variant", join_trace(F.col("trace"), joiner))
 
 
-def distinct_traces(traces: DataFrame) -> DataFrame:
-    """``(trace, frequency, first_case)`` per distinct trace.
-
-    Equal traces are combined before the shuffle, so a trace shared by a large
-    part of all cases costs no more than a rare one. Leading the key with a hash
-    lets Spark sort by a number and compare traces only where hashes agree.
-    """
-    return (
-        traces.groupBy(trace_hash(), "trace")
-        .agg(F.count(F.lit(1)).alias("frequency"), F.min(CASE).alias("first_case"))
-        .drop("trace_hash")
-    )
-
-
-def trace_hash() -> Column:
-    return F.xxhash64("trace").alias("trace_hash")
-
-
 @dataclass(frozen=True)
 class CaseGroups:
     """The cases of a log and the groups of cases with equal traces.
@@ -69,7 +51,9 @@ class CaseGroups:
     ``per_case`` has CASE_ID and ``key``; ``groups`` has ``key``, ``frequency``,
     ``first_case`` and ``length``. ``describe`` adds the ``trace`` to groups.
 
-    In a small log the key is the trace itself. In a large one it is a fingerprint
+    Equal traces are combined before the shuffle, so a trace shared by a large
+    part of all cases costs no more than a rare one. In a small log the key is the
+    trace itself, led by a hash that sorts fast. In a large one it is a fingerprint
     of the trace, so that neither grouping nor joining moves lists of activities,
     and only one case per group is ever written out. Traces too long for a cell
     stay null there; :func:`variant_events` has them as rows.
@@ -83,7 +67,7 @@ class CaseGroups:
 
     @classmethod
     def of(cls, log: DataFrame, ignore_syst: bool, order: EventOrder) -> CaseGroups:
-        require(log, (CASE, ACTIVITY, *order.timestamps[:1]))
+        require(log, (CASE, ACTIVITY))
         events = without_system(log) if ignore_syst else log
         small = scale.fits_one_task(log)
         if small:
@@ -100,13 +84,16 @@ class CaseGroups:
         )
         return cls(events, order, keyed.select(CASE, "key"), groups, small)
 
-    def describe(self, groups: DataFrame) -> DataFrame:
+    def describe(self, groups: DataFrame, any_length: bool = False) -> DataFrame:
         if self.small:
             return groups.withColumn("trace", F.col("key.trace"))
-        cell = session.setting(
-            self.log.sparkSession, session.TRACE_CELL_EVENTS, session.TRACE_CELL_EVENTS_DEFAULT
-        )
-        chosen = groups.where(F.col("length") <= cell).select(F.col("first_case").alias(CASE))
+        fitting = groups
+        if not any_length:
+            cell = session.setting(
+                self.log.sparkSession, session.TRACE_CELL_EVENTS, session.TRACE_CELL_EVENTS_DEFAULT
+            )
+            fitting = groups.where(F.col("length") <= cell)
+        chosen = fitting.select(F.col("first_case").alias(CASE))
         written = traces_of(self.log, chosen, self.order).withColumnRenamed(CASE, "first_case")
         return groups.join(written, "first_case", "left")
 
@@ -160,7 +147,16 @@ def log_traces(log: DataFrame, order: EventOrder = BY_END) -> DataFrame:
 
     For operators that walk through a trace event by event.
     """
-    return distinct_traces(case_variants(log, order=order)).select("trace", "frequency")
+    found = CaseGroups.of(log, False, order)
+    return found.describe(found.groups, any_length=True).select("trace", "frequency")
+
+
+def variant_labels(log: DataFrame, order: EventOrder = BY_START) -> DataFrame:
+    """Distinct traces as ``A -> B`` labels with their frequency."""
+    found = CaseGroups.of(log, False, order)
+    return found.describe(found.groups).orderBy(*variant_order()).select(
+        join_trace(F.col("trace")).alias("variant"), "frequency"
+    )
 
 
 def case_variant_info(log: DataFrame, ignore_syst: bool = False, joiner: str = ">") -> DataFrame:

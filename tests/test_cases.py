@@ -155,7 +155,7 @@ def test_histogram_and_activities(service):
 def test_variant_frames(service):
     assert rows(analytics.variant_frames(service)) == [("variant 1", "Atendimento", 2, 1), ("variant 2", "Encerramento", 1, 1)]
     assert len(rows(analytics.top_variants(service, 1))) == 1
-    assert ("Saudação -> Atendimento", 2) in rows(analytics.variant_labels(service))
+    assert ("Saudação -> Atendimento", 2) in rows(cases.variant_labels(service))
 
 
 def test_periods(service, make_log):

@@ -211,7 +211,7 @@ register("variants_no_syst_top10", "evt_log", analytics.top_variants,
 register("cases_per_variant", "evt_log", cases.cases_per_variant,
          "SELECT variant_id, CASE_ID FROM traces JOIN variants USING (variant)",
          traces=q.TRACES, variants=q.VARIANTS)
-register("variant_labels", "evt_log", analytics.variant_labels,
+register("variant_labels", "evt_log", cases.variant_labels,
          "SELECT replace(variant, '>', ' -> ') AS variant, count(*) AS frequency FROM traces GROUP BY variant",
          traces=q.TRACES)
 register("case_date", "evt_log", cases.case_dates,
@@ -381,7 +381,7 @@ register("quality_metrics_replayed", "evt_log",
 # -- given traces --------------------------------------------------------------------------------------
 register("manual_traces", "evt_log",
          lambda log: synthetic.manual_traces(
-             analytics.variant_labels(log).select(
+             cases.variant_labels(log).select(
                  F.concat(F.lit(" -> "), F.col("variant"), F.lit("->  -> ")).alias("line"), "frequency"))
          .select(join_trace(F.col("trace"), ">").alias("variant"), "frequency"),
          "SELECT variant, count(*) AS frequency FROM traces GROUP BY variant", traces=q.TRACES)
