@@ -113,11 +113,6 @@ def period_bucket(ts: Column, freq: str) -> Column:
     return day_bucket(ts) if period_step(freq) == 1 else week_bucket(ts)
 
 
-def _micros(ts: Column) -> Column:
-    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    return F.timestamp_diff("MICROSECOND", epoch, ts)
-
-
 def micros_between(earlier: Column, later: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", earlier, later)
 

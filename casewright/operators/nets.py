@@ -93,8 +93,11 @@ def net_transitions_from_dfg(graph: DirectlyFollowsGraph) -> DataFrame:
 
 
 def net_from_dfg(graph: DirectlyFollowsGraph) -> PetriNet:
-    """Net tables of a graph: a place per activity, a source and a sink."""
-    flows = net_transitions_from_dfg(graph)
+    """Net tables of a graph: a place per activity, a source and a sink.
+
+    The flows are computed once, as all three tables and any replay read them.
+    """
+    flows = net_transitions_from_dfg(graph.collected())
     inputs = flows.select(
         F.col("input").alias("src"), F.col("tid").alias("dst"), F.lit(1).alias("weight")
     )
@@ -112,6 +115,7 @@ def net_from_dfg(graph: DirectlyFollowsGraph) -> PetriNet:
 
 def top_edge_model(graph: DirectlyFollowsGraph, n: int) -> DataFrame:
     """The ``n`` most frequent edges with the totals of both their activities."""
+    graph = graph.collected()
     nodes = graph.nodes()
     return (
         graph.top_edges(n)

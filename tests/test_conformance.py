@@ -185,8 +185,6 @@ def test_summary_filters_by_strongest_flow():
 
 
 def test_net_from_chosen_variants(spark, traces):
-    from casewright.operators.cases import variants_table  # noqa: F401
-
     variants = spark.createDataFrame(
         [("variant 1", "a>b", ["a", "b"]), ("variant 2", "c", ["c"])], "variant_id string, variant string, trace array<string>")
     labels = spark.createDataFrame([("variant 1",), ("variant 9",)], "variant_id string")

@@ -106,6 +106,37 @@ def test_long_traces_are_left_to_rows(make_log, spark, both_sizes):
     assert sum(r.frequency for r in table) == len(want)
 
 
+def test_a_common_variant_is_split_in_joins(spark):
+    """A third of all cases sharing a variant do not end up in one join task."""
+    at = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    case = F.floor(F.col("id") / 2)
+    own = F.when(case % 3 == 0, F.lit("common")).otherwise(F.concat(F.lit("a"), case.cast("string")))
+    log = spark.range(120_000).select(
+        case.cast("string").alias("CASE_ID"), F.col("id").alias("EVENT_ID"), own.alias("ACTIVITY"),
+        at.alias("START_TIMESTAMP"), at.alias("END_TIMESTAMP"))
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.shuffle.partitions": "32",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20000",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20000",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        session.SINGLE_TASK_BYTES: "0",
+    }
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        joined = cases.cases_per_variant(log)
+        sizes = Counter(r.variant_id for r in joined.collect())
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert sizes["variant 1"] == 20_000 and len(sizes) == 40_001
+    assert "skew=true" in plan
+
+
 def test_joins_on_case_keep_every_event(make_log, spark, both_sizes):
     rows = random_rows(9) + [(None, "999", "a", "2024-01-01 00:00:00", "2024-01-01 00:00:00")]
     dated = cases.with_case_date(make_log(rows, *COLUMNS))
