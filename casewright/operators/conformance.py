@@ -10,14 +10,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import scale
 from ..functions import join_trace
+from . import playout
 from .cases import log_traces
 from .nets import PetriNet
-from .playout import CompiledNet, align_trace, replay_trace
+
+# The token game travels with the tasks, so executors need not have the package.
+cloudpickle.register_pickle_by_value(playout)
 
 REPLAY = (
     "trace array<string>, frequency bigint, missing_tokens bigint, remaining_tokens bigint, "
@@ -31,12 +35,17 @@ ALIGNMENT = (
 )
 
 
-def compile_net(net: PetriNet) -> CompiledNet:
-    return CompiledNet.build(
-        [tuple(r) for r in scale.collect_bounded(net.places.select("place", "initial", "final"), "the net")],
-        [tuple(r) for r in scale.collect_bounded(net.transitions.select("tid", "label"), "the net")],
-        [tuple(r) for r in scale.collect_bounded(net.arcs.select("src", "dst", "weight"), "the net")],
+def net_rows(net: PetriNet) -> tuple[list, list, list]:
+    """The tables of a net as plain rows, their size checked."""
+    tables = (
+        net.places.select("place", "initial", "final"),
+        net.transitions.select("tid", "label"),
+        net.arcs.select("src", "dst", "weight"),
+    )
+    places, transitions, arcs = (
+        [tuple(r) for r in scale.collect_bounded(t, "the net")] for t in tables
     )
+    return places, transitions, arcs
 
 
 def _spread(traces: DataFrame) -> DataFrame:
@@ -48,13 +57,13 @@ def _spread(traces: DataFrame) -> DataFrame:
 
 def token_replay(traces: DataFrame, net: PetriNet, enabled: bool = False) -> DataFrame:
     """Token-based replay of ``(trace, frequency)`` rows."""
-    shared = traces.sparkSession.sparkContext.broadcast(compile_net(net))
+    shared = traces.sparkSession.sparkContext.broadcast(net_rows(net))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        game = shared.value
+        game = playout.CompiledNet.build(*shared.value)
         for batch in batches:
             rows = [
-                {"trace": t, "frequency": n, **replay_trace(game, t, enabled)}
+                {"trace": t, "frequency": n, **playout.replay_trace(game, t, enabled)}
                 for t, n in zip(batch["trace"], batch["frequency"])
             ]
             if rows:
@@ -70,15 +79,15 @@ def alignments(traces: DataFrame, net: PetriNet, cost_unit: float = 1.0) -> Data
     anything (all events as log moves plus the cheapest run of the net).
     ``status`` tells traces without alignment (the net cannot finish) apart.
     """
-    shared = traces.sparkSession.sparkContext.broadcast(compile_net(net))
+    shared = traces.sparkSession.sparkContext.broadcast(net_rows(net))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        game = shared.value
-        shortest = align_trace(game, ())
+        game = playout.CompiledNet.build(*shared.value)
+        shortest = playout.align_trace(game, ())
         for batch in batches:
             rows = []
             for t, n in zip(batch["trace"], batch["frequency"]):
-                found = align_trace(game, t)
+                found = playout.align_trace(game, t)
                 row = {"trace": t, "frequency": n, "status": "none", "cost": None,
                        "fitness": None, "steps": []}
                 if found is not None:
@@ -200,6 +209,6 @@ def alignment_summary(rollup: DataFrame) -> DataFrame:
 
 
 __all__ = [
-    "alignment_rollup", "alignment_summary", "alignments", "compile_net", "is_fit", "log_traces",
-    "move_kind", "replay_rollup", "replay_summary", "token_replay",
+    "alignment_rollup", "alignment_summary", "alignments", "is_fit", "log_traces", "move_kind",
+    "net_rows", "replay_rollup", "replay_summary", "token_replay",
 ]
