@@ -178,11 +178,11 @@ _WIDE = 0xA3B195354A39B70D
 
 
 def rolling(hashes: np.ndarray, width: int) -> np.ndarray:
-    """Hash of each run of ``width`` consecutive word hashes."""
+    """Hash of each run of ``width`` consecutive numbers along the first axis."""
     n = len(hashes) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    total = np.zeros(n, np.uint64)
+    total = np.zeros((n, *hashes.shape[1:]), np.uint64)
     factor = 1
     for i in range(width):
         factor = factor * _WIDE % 2**64

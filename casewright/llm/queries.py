@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import line_dedup, minhash, mixing
 
 QUERIES = {
+    "op1_line_dedup": line_dedup.op1,
+    "op2_minhash": minhash.op2,
     "op6_mixing": mixing.op6,
 }
 ORACLE = {
+    "op1_line_dedup": line_dedup.OP1_SQL,
+    "op2_minhash": minhash.OP2_SQL,
     "op6_mixing": mixing.OP6_SQL,
 }
