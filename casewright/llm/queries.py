@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import line_dedup, minhash, mixing
+from . import line_dedup, minhash, mixing, substring
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1,
     "op2_minhash": minhash.op2,
     "op6_mixing": mixing.op6,
+    "op8_substring": substring.op8,
 }
 ORACLE = {
     "op1_line_dedup": line_dedup.OP1_SQL,
     "op2_minhash": minhash.OP2_SQL,
     "op6_mixing": mixing.OP6_SQL,
+    "op8_substring": substring.OP8_SQL,
 }
