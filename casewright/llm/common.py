@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from ..scale import checkpointed, shuffle_partitions
 
 __all__ = [
-    "WORD", "checkpointed", "components", "document_key", "numbered", "shuffle_partitions",
-    "text_bytes", "word_hashes", "words", "mix64", "rolling",
+    "WORD", "checkpointed", "components", "document_key", "lowered", "mix64", "numbered",
+    "rolling", "shuffle_partitions", "span_hashes", "text_bytes", "word_hashes", "words",
 ]
 
 #: A word: a maximal run of characters other than ASCII white space.
@@ -156,12 +156,20 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hash of each word, and the number of words before each text."""
     begins, ends, counts = words(data, offsets)
+    return span_hashes(lowered(data) if lower else data, begins, ends), counts
+
+
+def lowered(data: np.ndarray) -> np.ndarray:
+    """Bytes with A-Z in lower case."""
+    return _LOWER[data]
+
+
+def span_hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans of bytes, none of them empty."""
     if not len(begins):
-        return np.zeros(0, np.uint64), counts
-    if lower:
-        data = _LOWER[data]
+        return np.zeros(0, np.uint64)
     lengths = ends - begins
-    # Bytes of words only, each times a power of its place in the word.
+    # Bytes of the spans only, each times a power of its place in the span.
     stops = np.cumsum(lengths)
     at = np.arange(stops[-1]) - np.repeat(stops - lengths, lengths)
     values = _BYTE[data[at + np.repeat(begins, lengths)]]
@@ -171,7 +179,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> t
         blocks = (at >> 16).astype(np.uint64)
         values *= _IN_WORD[at & (_STEP - 1)] * (mix64(blocks * _ROOT) | np.uint64(1))
     sums = np.add.reduceat(values, stops - lengths)
-    return mix64(sums + lengths.astype(np.uint64) * _ROOT), counts
+    return mix64(sums + lengths.astype(np.uint64) * _ROOT)
 
 
 _WIDE = 0xA3B195354A39B70D

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import line_dedup, minhash, mixing, substring
+from . import line_dedup, minhash, mixing, packing, substring
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1,
     "op2_minhash": minhash.op2,
+    "op3_packing": packing.op3,
     "op6_mixing": mixing.op6,
     "op8_substring": substring.op8,
 }
