@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from . import line_dedup, minhash, mixing, packing, substring
+from . import embed_dedup, line_dedup, minhash, mixing, packing, substring, topk
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1,
     "op2_minhash": minhash.op2,
     "op3_packing": packing.op3,
+    "op4_topk": topk.op4,
+    "op5_embed_dedup": embed_dedup.op5,
     "op6_mixing": mixing.op6,
     "op8_substring": substring.op8,
 }
 ORACLE = {
     "op1_line_dedup": line_dedup.OP1_SQL,
     "op2_minhash": minhash.OP2_SQL,
+    "op4_topk": topk.OP4_SQL,
+    "op5_embed_dedup": embed_dedup.OP5_SQL,
     "op6_mixing": mixing.OP6_SQL,
     "op8_substring": substring.OP8_SQL,
 }
