@@ -2,7 +2,17 @@
 
 from __future__ import annotations
 
-from . import embed_dedup, line_dedup, minhash, mixing, packing, substring, topk
+from . import (
+    credentials,
+    embed_dedup,
+    line_dedup,
+    minhash,
+    mixing,
+    packing,
+    quality,
+    substring,
+    topk,
+)
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1,
@@ -12,6 +22,8 @@ QUERIES = {
     "op5_embed_dedup": embed_dedup.op5,
     "op6_mixing": mixing.op6,
     "op8_substring": substring.op8,
+    "op9_quality": quality.op9,
+    "op10_credentials": credentials.op10,
 }
 ORACLE = {
     "op1_line_dedup": line_dedup.OP1_SQL,
