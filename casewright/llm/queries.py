@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import (
     credentials,
     embed_dedup,
+    html_extract,
     line_dedup,
     minhash,
     mixing,
@@ -21,6 +22,7 @@ QUERIES = {
     "op4_topk": topk.op4,
     "op5_embed_dedup": embed_dedup.op5,
     "op6_mixing": mixing.op6,
+    "op7_html": html_extract.op7,
     "op8_substring": substring.op8,
     "op9_quality": quality.op9,
     "op10_credentials": credentials.op10,
