@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from ..scale import checkpointed, shuffle_partitions
 
 __all__ = [
-    "WORD", "checkpointed", "components", "document_key", "lowered", "mix64", "numbered",
-    "rolling", "shuffle_partitions", "span_hashes", "text_bytes", "word_hashes", "words",
+    "WORD", "carried", "checkpointed", "components", "document_key", "lowered", "mix64", "numbered",
+    "restored", "rolling", "shuffle_partitions", "span_hashes", "text_bytes", "word_hashes", "words",
 ]
 
 #: A word: a maximal run of characters other than ASCII white space.
@@ -32,6 +32,20 @@ def document_key() -> list[Column]:
     ]
 
 
+def carried(docs: DataFrame, *names: str) -> DataFrame:
+    """``docs`` as the named columns and, in ``__rest``, whatever else it has.
+
+    An operator that adds columns can then not clash with theirs.
+    """
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in names]
+    return docs.select(*names, F.struct(F.lit(0).alias("__"), *rest).alias("__rest"))
+
+
+def restored(df: DataFrame, columns: list[str], *names: str) -> DataFrame:
+    """The columns that were carried along, in their order."""
+    return df.select(*[F.col(c) if c in names else F.col("__rest")[c].alias(c) for c in columns])
+
+
 def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """Add a row number over the whole of ``df`` without sorting in one task.
 

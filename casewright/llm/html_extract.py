@@ -79,6 +79,7 @@ _TOKEN = re.compile(
     re.DOTALL | re.IGNORECASE,
 )
 _ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/]|$)""", re.IGNORECASE)
+_NAME = re.compile(r"[A-Za-z]+")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _SPACE = re.compile(r"\s+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
@@ -100,7 +101,7 @@ class Node:
                 elif name == "style":
                     self.hidden |= bool(_HIDDEN.search(value))
                 else:
-                    words += [w.lower() for w in _WORD.findall(value)]
+                    words += [w.lower() for w in _NAME.findall(value) + _WORD.findall(value)]
             self.words = tuple(sorted(set(words)))
         self.label = ".".join((tag, *self.words))
         self.parts: list = []

@@ -10,7 +10,7 @@ Defined results: lines end at ``\\n``; lines of white space alone are in no wind
 and always stay; texts of fewer than three other lines keep all lines; a null text
 stays null with no lines; null ids come after all others; rows that agree in id
 and text are one document and all keep the same lines; an empty table gives an
-empty result; other columns pass through.
+empty result; other columns pass through, but for those of the names it adds.
 """
 
 from __future__ import annotations
@@ -99,7 +99,7 @@ def dedup_lines(docs: DataFrame, width: int = WINDOW) -> DataFrame:
         cut.withColumn("n_lines", F.coalesce(F.size("__l"), F.lit(0)))
         .withColumn("n_removed", F.when(F.col("__starts").isNull(), 0).otherwise(lost))
         .withColumn("text", text)
-        .select(*docs.columns, "n_lines", "n_removed")
+        .select(*[c for c in docs.columns if c not in ("n_lines", "n_removed")], "n_lines", "n_removed")
     )
 
 

@@ -7,7 +7,8 @@ by a hash of its id. Only DataFrame functions are used.
 
 Defined results: a null text has size 0; a null source is one source, last in
 order; a null id hashes as the word ``null``; rows that share an id share the
-draw; an empty table gives an empty result; other columns pass through.
+draw; an empty table gives an empty result; other columns pass through ``mix``, and
+``mix_plan`` replaces columns of the names that it adds.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scale import same_keys
-from .common import WORD, numbered
+from .common import WORD, carried, numbered, restored
 
 #: Weights by place in the order of sources, repeated as often as needed.
 WEIGHTS = (3, 1, 2)
@@ -88,10 +89,10 @@ def mix_plan(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float =
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixture itself: the columns of ``docs``, each row as often as it is taken."""
-    planned = mix_plan(docs, **options).where("copies > 0")
-    return planned.withColumn(
-        "__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))
-    ).select(*docs.columns)
+    own = ("doc_id", "text", "source")
+    planned = mix_plan(carried(docs, *own), **options).where("copies > 0")
+    repeated = planned.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return restored(repeated, docs.columns, *own)
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, span_hashes, text_bytes, words
+from .common import carried, mix64, restored, span_hashes, text_bytes, words
 
 FEATURES = 1 << 12
 #: Documents the scorer is fitted on, about.
@@ -139,7 +139,7 @@ def _judge(weights: np.ndarray, bias: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores = []
-            for _, _, data, offsets in text_bytes(batch.column(batch.num_columns - 1)):
+            for _, _, data, offsets in text_bytes(batch.column(batch.schema.get_field_index("text"))):
                 texts = Texts(data, offsets)
                 text, feature = texts.features()
                 total = np.bincount(text, weights[feature], len(texts.count)) / (texts.count + FEW)
@@ -215,17 +215,21 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
 
 
 def judged(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The columns of ``docs``, a ``score`` from 0 to 1, and whether it is ``kept``."""
+    """The columns of ``docs``, a ``score`` from 0 to 1, and whether it is ``kept``.
+
+    Columns of these two names are replaced.
+    """
     weights, bias = fit(docs, sample)
-    carried = docs.select(*docs.columns, F.col("text").alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in carried.schema) + ", score double"
-    scored = carried.mapInArrow(_judge(weights, bias), schema)
-    return scored.drop("__text").withColumn("kept", F.col("score") >= KEEP)
+    own = docs.select([c for c in docs.columns if c not in ("score", "kept")])
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema)
+    scored = own.mapInArrow(_judge(weights, bias), f"{fields}, score double")
+    return scored.withColumn("kept", F.col("score") >= KEEP)
 
 
 def keep_good(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """Only the documents that the classifier keeps, with their columns."""
-    return judged(docs, sample).where("kept").select(*docs.columns)
+    own = ("doc_id", "text")
+    return restored(judged(carried(docs, *own), sample).where("kept"), docs.columns, *own)
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

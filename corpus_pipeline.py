@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casewright.llm import line_dedup, minhash, mixing, packing, quality
+from casewright.llm.common import carried, restored
 from casewright.scale import ensure_checkpoint_dir
 
 
@@ -32,13 +33,12 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A document all of whose words go is dropped; ``n_chars`` follows the text.
     """
-    cut = line_dedup.dedup_lines(docs)
-    left = (F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    return (
-        cut.where(F.coalesce(left, F.lit(True)))
-        .withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("bigint")).otherwise(F.col("n_chars")))
-        .select(*docs.columns)
-    )
+    own = ("doc_id", "text", "n_chars")
+    cut = line_dedup.dedup_lines(carried(docs, *own))
+    words = F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    changed = F.col("n_removed") > 0
+    length = F.when(changed, F.char_length("text").cast("bigint")).otherwise(F.col("n_chars"))
+    return restored(cut.where(~changed | words).withColumn("n_chars", length), docs.columns, *own)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
