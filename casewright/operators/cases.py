@@ -5,20 +5,18 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .. import scale, session
+from .. import scale
 from ..functions import as_timestamp, day_bucket, join_trace, micros_between, minutes_between
 from ..schema import ACTIVITY, AGENT, CASE, END, START, require
 from .sequence import (
     BY_END,
     BY_START,
     EventOrder,
-    case_fingerprints,
     case_traces,
     join_on_case,
-    traces_of,
     with_position,
 )
 
@@ -49,53 +47,34 @@ class CaseGroups:
     """The cases of a log and the groups of cases with equal traces.
 
     ``per_case`` has CASE_ID and ``key``; ``groups`` has ``key``, ``frequency``,
-    ``first_case`` and ``length``. ``describe`` adds the ``trace`` to groups.
-
-    Equal traces are combined before the shuffle, so a trace shared by a large
-    part of all cases costs no more than a rare one. In a small log the key is the
-    trace itself, led by a hash that sorts fast. In a large one it is a fingerprint
-    of the trace, so that neither grouping nor joining moves lists of activities,
-    and only one case per group is ever written out. Traces too long for a cell
-    stay null there; :func:`variant_events` has them as rows.
+    ``first_case``, ``length`` and ``trace``.
+
+    The key is a fingerprint of the trace, 128 bits and the length. Equal traces
+    are combined before the shuffle, so a trace shared by a large part of all
+    cases costs no more than a rare one, and one copy of it travels per task.
+    Where no trace is asked for, none is moved.
     """
 
     log: DataFrame
-    order: EventOrder
     per_case: DataFrame
     groups: DataFrame
-    small: bool
 
     @classmethod
     def of(cls, log: DataFrame, ignore_syst: bool, order: EventOrder) -> CaseGroups:
         require(log, (CASE, ACTIVITY))
         events = without_system(log) if ignore_syst else log
-        small = scale.fits_one_task(log)
-        if small:
-            hashed = case_traces(events, order).withColumn("h", F.xxhash64("trace"))
-            keyed = hashed.select(
-                CASE, F.struct("h", "trace").alias("key"), F.size("trace").alias("length")
-            )
-        else:
-            keyed = case_fingerprints(events, order).select(
-                CASE, F.struct("h1", "h2", "length").alias("key"), "length"
-            )
-        groups = keyed.groupBy("key", "length").agg(
-            F.count(F.lit(1)).alias("frequency"), F.min(CASE).alias("first_case")
+        key = F.struct(
+            F.xxhash64("trace").alias("h1"),
+            F.xxhash64(F.lit("second"), "trace").alias("h2"),
+            F.size("trace").alias("length"),
+        )
+        keyed = case_traces(events, order).withColumn("key", key)
+        groups = keyed.groupBy("key").agg(
+            F.count(F.lit(1)).alias("frequency"),
+            F.min(CASE).alias("first_case"),
+            F.first("trace").alias("trace"),
         )
-        return cls(events, order, keyed.select(CASE, "key"), groups, small)
-
-    def describe(self, groups: DataFrame, any_length: bool = False) -> DataFrame:
-        if self.small:
-            return groups.withColumn("trace", F.col("key.trace"))
-        fitting = groups
-        if not any_length:
-            cell = session.setting(
-                self.log.sparkSession, session.TRACE_CELL_EVENTS, session.TRACE_CELL_EVENTS_DEFAULT
-            )
-            fitting = groups.where(F.col("length") <= cell)
-        chosen = fitting.select(F.col("first_case").alias(CASE))
-        written = traces_of(self.log, chosen, self.order).withColumnRenamed(CASE, "first_case")
-        return groups.join(written, "first_case", "left")
+        return cls(events, keyed.select(CASE, "key"), groups.withColumn("length", F.col("key.length")))
 
 
 def variant_order() -> list[Column]:
@@ -104,10 +83,13 @@ def variant_order() -> list[Column]:
 
 
 def _ranked(groups: DataFrame, top: int | None = None) -> DataFrame:
-    if top is not None:
-        groups = groups.orderBy(*variant_order()).limit(top)
-    name = F.concat(F.lit("variant "), F.col("rank").cast("string"))
-    return scale.global_rank(groups, variant_order(), "rank").withColumn("variant_id", name)
+    """Groups with ``rank`` and ``variant_id``; of the first ``top`` only, if given."""
+    if top is None:
+        numbered = scale.global_rank(groups, variant_order(), "rank")
+    else:
+        first = groups.orderBy(*variant_order()).limit(top)
+        numbered = first.withColumn("rank", F.row_number().over(Window.orderBy(*variant_order())))
+    return numbered.withColumn("variant_id", F.concat(F.lit("variant "), F.col("rank").cast("string")))
 
 
 def variants_table(
@@ -123,8 +105,7 @@ def variants_table(
     returned, which needs no ranking of the others.
     """
     found = CaseGroups.of(log, ignore_syst, order)
-    ranked = found.describe(_ranked(found.groups, top))
-    return ranked.select(
+    return _ranked(found.groups, top).select(
         "variant_id", join_trace(F.col("trace"), joiner).alias("variant"), "trace",
         "frequency", "length",
     )
@@ -135,7 +116,7 @@ def variant_events(
 ) -> DataFrame:
     """``(variant_id, position, activity)``: every variant as rows, of any length."""
     found = CaseGroups.of(log, ignore_syst, order)
-    ids = _ranked(found.groups).select(F.col("first_case").alias(CASE), "variant_id")
+    ids = _ranked(found.groups.drop("trace")).select(F.col("first_case").alias(CASE), "variant_id")
     placed = with_position(found.log, order)
     return join_on_case(placed, ids, "inner", base=found.log).select(
         "variant_id", "position", F.col(ACTIVITY).alias("activity")
@@ -148,13 +129,13 @@ def log_traces(log: DataFrame, order: EventOrder = BY_END) -> DataFrame:
     For operators that walk through a trace event by event.
     """
     found = CaseGroups.of(log, False, order)
-    return found.describe(found.groups, any_length=True).select("trace", "frequency")
+    return found.groups.select("trace", "frequency")
 
 
 def variant_labels(log: DataFrame, order: EventOrder = BY_START) -> DataFrame:
     """Distinct traces as ``A -> B`` labels with their frequency."""
     found = CaseGroups.of(log, False, order)
-    return found.describe(found.groups).orderBy(*variant_order()).select(
+    return found.groups.orderBy(*variant_order()).select(
         join_trace(F.col("trace")).alias("variant"), "frequency"
     )
 
@@ -162,8 +143,7 @@ def variant_labels(log: DataFrame, order: EventOrder = BY_START) -> DataFrame:
 def case_variant_info(log: DataFrame, ignore_syst: bool = False, joiner: str = ">") -> DataFrame:
     """Every case with the record of its variant."""
     found = CaseGroups.of(log, ignore_syst, BY_START)
-    ranked = found.describe(_ranked(found.groups))
-    return found.per_case.join(ranked, "key").select(
+    return found.per_case.join(_ranked(found.groups), "key").select(
         CASE, "variant_id", join_trace(F.col("trace"), joiner).alias("variant"), "trace",
         "frequency", "length",
     )
@@ -172,16 +152,15 @@ def case_variant_info(log: DataFrame, ignore_syst: bool = False, joiner: str = "
 def cases_per_variant(log: DataFrame, ignore_syst: bool = False) -> DataFrame:
     """``(variant_id, CASE_ID)`` rows: which cases follow which variant."""
     found = CaseGroups.of(log, ignore_syst, BY_START)
-    ranked = _ranked(found.groups).select("key", "variant_id")
+    ranked = _ranked(found.groups.drop("trace")).select("key", "variant_id")
     return found.per_case.join(ranked, "key").select("variant_id", CASE)
 
 
 def cases_of_variants(log: DataFrame, variant_ids: Iterable[str]) -> DataFrame:
     """Case ids of the chosen variants of the whole log."""
     ids = sorted(set(variant_ids))
-    ranks = [int(v[8:]) for v in ids if v.startswith("variant ") and v[8:].isdigit()]
     found = CaseGroups.of(log, False, BY_START)
-    chosen = _ranked(found.groups, top=max(ranks, default=0)).where(F.col("variant_id").isin(ids))
+    chosen = _ranked(found.groups.drop("trace")).where(F.col("variant_id").isin(ids))
     return found.per_case.join(chosen.select("key"), "key", "left_semi").select(CASE)
 
 

@@ -53,14 +53,12 @@ class DirectlyFollowsGraph:
             F.sum("frequency").alias("frequency")
         )
 
-    def collected(self) -> DirectlyFollowsGraph:
-        """The graph computed once, its flows (size checked) held by the driver.
+    def computed(self) -> DirectlyFollowsGraph:
+        """The graph with its flows written down once.
 
         For uses that read the flows several times, as building a net does.
         """
-        rows = scale.collect_bounded(self.flows, "the directly-follows graph")
-        spark = self.flows.sparkSession
-        return DirectlyFollowsGraph(spark.createDataFrame(rows, self.flows.schema))
+        return DirectlyFollowsGraph(scale.checkpointed(self.flows))
 
 
 def discover_dfg(log: DataFrame, order: EventOrder = BY_END) -> DirectlyFollowsGraph:
@@ -68,7 +66,7 @@ def discover_dfg(log: DataFrame, order: EventOrder = BY_END) -> DirectlyFollowsG
     require(log, (CASE, ACTIVITY))
     wanted = [c for c in log.columns if c in (CASE, ACTIVITY, "EVENT_ID", *order.timestamps, *order.extra)]
     steps = with_next(
-        log.select(*wanted), order, {ACTIVITY: "next"}, first="is_first", last="is_last"
+        log.select(*wanted), order, {ACTIVITY: "next"}, first="is_first", last="is_last", view=log
     )
     # A small table: activities x next activities x 2 x 2.
     tally = steps.groupBy(F.col(ACTIVITY).alias("a"), "next", "is_first", "is_last").agg(
@@ -127,7 +125,7 @@ def transitions_with_seconds(
     typed = log.select(*wanted).withColumns(
         {c: as_timestamp(log, c) for c in (leave, arrive)}
     )
-    steps = with_next(typed, order, {ACTIVITY: "dst", arrive: "reached"}, last="is_last")
+    steps = with_next(typed, order, {ACTIVITY: "dst", arrive: "reached"}, last="is_last", view=log)
     return steps.where(~F.col("is_last")).select(
         F.col(ACTIVITY).alias("src"),
         "dst",
@@ -149,10 +147,6 @@ def performance_edges(
         F.stddev_samp("seconds").alias("stdev"),
     ]
     names = ["src", "dst", "frequency", "mean", "median", "min", "max", "sum", "stdev"]
-    if scale.fits_one_task(log):
-        return steps.groupBy("src", "dst").agg(
-            *figures, F.percentile("seconds", F.lit(0.5)).alias("median")
-        ).select(*names)
     medians = scale.exact_percentiles(steps, ["src", "dst"], "seconds", {"median": 0.5})
     plain = steps.groupBy("src", "dst").agg(*figures)
     return scale.same_keys(plain, medians, ["src", "dst"], "left").select(*names)

@@ -97,7 +97,7 @@ def net_from_dfg(graph: DirectlyFollowsGraph) -> PetriNet:
 
     The flows are computed once, as all three tables and any replay read them.
     """
-    flows = net_transitions_from_dfg(graph.collected())
+    flows = net_transitions_from_dfg(graph.computed())
     inputs = flows.select(
         F.col("input").alias("src"), F.col("tid").alias("dst"), F.lit(1).alias("weight")
     )
@@ -115,7 +115,7 @@ def net_from_dfg(graph: DirectlyFollowsGraph) -> PetriNet:
 
 def top_edge_model(graph: DirectlyFollowsGraph, n: int) -> DataFrame:
     """The ``n`` most frequent edges with the totals of both their activities."""
-    graph = graph.collected()
+    graph = graph.computed()
     nodes = graph.nodes()
     return (
         graph.top_edges(n)

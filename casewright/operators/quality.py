@@ -13,15 +13,12 @@ from pyspark.sql import functions as F
 from .. import scale
 from .cases import log_traces
 from .conformance import token_replay
-from .dfg import ENDS, DirectlyFollowsGraph, dfg_from_traces, discover_dfg
+from .dfg import ENDS, DirectlyFollowsGraph, discover_dfg
 from .nets import PetriNet
 from .sequence import BY_END, EventOrder
 
 METRICS = ("fitness", "precision", "generalization", "simplicity")
 
-# Events of a trace handled by one window group when prefixes are hashed.
-PREFIX_BLOCK = 100_000
-
 
 def _simplicity(degree):
     """Inverse of the mean number of arcs per node beyond two."""
@@ -52,9 +49,8 @@ def prefixes(traces: DataFrame, labels: str | None = None) -> DataFrame:
 
     The traces must be distinct. A prefix is identified by its length and two
     64-bit hashes, each the xor of the hashes of its (position, activity) pairs.
-    Prefixes are therefore never materialised: the work is linear in the length
-    of the traces, and traces too long for one window group are hashed block by
-    block. ``labels`` names an array column aligned with the trace, one entry of
+    Prefixes are therefore never materialised, and the work is linear in the length
+    of the traces. ``labels`` names an array column aligned with the trace, one entry of
     which is passed through with each position.
     """
     extra = [labels] if labels else []
@@ -79,12 +75,11 @@ def prefixes(traces: DataFrame, labels: str | None = None) -> DataFrame:
             {
                 "x1": F.xxhash64("length", "next"),
                 "x2": F.xxhash64("next", "length", F.lit("second")),
-                "block": F.floor(F.col("length") / PREFIX_BLOCK),
             }
         )
     )
-    group = ["v1", "v2"] if scale.fits_one_task(traces) else ["v1", "v2", "block"]
-    order = Window.partitionBy(*group).orderBy("length")
+    # A trace is one cell, so one window group holds no more than a row did.
+    order = Window.partitionBy("v1", "v2").orderBy("length")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast("bigint")
     hashed = steps.withColumns(
@@ -94,28 +89,6 @@ def prefixes(traces: DataFrame, labels: str | None = None) -> DataFrame:
             "last": F.lag("next").over(order),
         }
     )
-    if "block" in group:
-        # Hash and last activity of everything before the block.
-        blocks = steps.groupBy(*group).agg(
-            F.bit_xor("x1").alias("b1"),
-            F.bit_xor("x2").alias("b2"),
-            F.max_by("next", "length").alias("tail"),
-        )
-        earlier = Window.partitionBy("v1", "v2").orderBy("block")
-        upto = earlier.rowsBetween(Window.unboundedPreceding, -1)
-        carried = blocks.select(
-            *group,
-            F.coalesce(F.bit_xor("b1").over(upto), zero).alias("c1"),
-            F.coalesce(F.bit_xor("b2").over(upto), zero).alias("c2"),
-            F.lag("tail").over(earlier).alias("ctail"),
-        )
-        hashed = hashed.join(carried, group).withColumns(
-            {
-                "h1": F.col("h1").bitwiseXOR(F.col("c1")),
-                "h2": F.col("h2").bitwiseXOR(F.col("c2")),
-                "last": F.coalesce("last", "ctail"),
-            }
-        )
     return hashed.select("h1", "h2", "length", "last", "next", "frequency", *extra)
 
 
@@ -123,27 +96,31 @@ def dfg_precision(traces: DataFrame, graph: DirectlyFollowsGraph | None = None)
     """One minus the share of enabled but unseen steps over all prefixes.
 
     After a prefix the net enables the successors of its last activity; the
-    empty prefix enables all start activities. Without ``graph`` the one of the
-    traces is used.
+    empty prefix enables all start activities. Without ``graph`` these are read
+    off the same prefixes, in the same pass.
     """
-    graph = graph or dfg_from_traces(traces)
-    seen = (
+    steps = (
         prefixes(traces)
         .groupBy("h1", "h2", "length", "last", "next")
         .agg(F.sum("frequency").alias("n"))
-        .groupBy("h1", "h2", "length", "last")
-        .agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("observed"))
+    )
+    # At most as many rows per prefix as there are activities.
+    prefix = Window.partitionBy("h1", "h2", "length", "last")
+    seen = (
+        steps.withColumn("reached", F.sum("n").over(prefix))
+        .groupBy("last", "next")
+        .agg(F.sum("n").alias("n"), F.sum("reached").alias("taken"))
         # Prefixes with the same last activity have the same enabled steps.
         .groupBy("last")
-        .agg(
-            F.sum("n").alias("n"),
-            F.sum(F.col("n") * F.col("observed")).alias("taken"),
-        )
-    )
-    enabled = graph.flows.where(F.col("kind") != ENDS).groupBy("src").agg(
-        F.count(F.lit(1)).alias("enabled")
+        .agg(F.sum("n").alias("n"), F.sum("taken").alias("taken"), F.count(F.lit(1)).alias("found"))
     )
-    joined = seen.join(enabled, F.col("last").eqNullSafe(F.col("src")))
+    if graph is None:
+        joined = seen.withColumn("enabled", F.col("found"))
+    else:
+        enabled = graph.flows.where(F.col("kind") != ENDS).groupBy("src").agg(
+            F.count(F.lit(1)).alias("enabled")
+        )
+        joined = seen.join(enabled, F.col("last").eqNullSafe(F.col("src")))
     return joined.agg(
         (F.sum("taken") / F.nullif(F.sum(F.col("n") * F.col("enabled")), F.lit(0))).alias(
             "precision"
@@ -169,7 +146,7 @@ def graph_quality(graph: DirectlyFollowsGraph, traces: DataFrame) -> DataFrame:
 
     The flows are computed once and read four times.
     """
-    graph = graph.collected()
+    graph = graph.computed()
     return dfg_fitness(graph).select(
         "fitness",
         dfg_precision(traces, graph).scalar().alias("precision"),

@@ -2,15 +2,16 @@
 
 A case usually has a handful of events, and sorting it inside one task is the
 cheapest plan there is: one shuffle by case. But a single case may also hold a
-large share of the log. In large logs such *hot* cases are looked for with a
-heavy-hitter sketch (one narrow scan, a bounded result), and only their events
-take a second route: they are range-partitioned on (case, order), worked on piece
-by piece, and the pieces are stitched at their edges.
+large share of the log. Such *hot* cases are found by counting events, and only
+their events take a second route: they are range-partitioned on (case, order),
+worked on piece by piece, and the pieces are stitched at their edges. Both routes
+give the same rows.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,11 +20,6 @@ from .. import scale, session
 from ..functions import as_timestamp, is_true
 from ..schema import ACTIVITY, CASE, END, EVENT, START, require
 
-# The sketch names at most this many cases, out of as many tracked per task.
-SKETCH_RESULT = 1_000
-SKETCH_TRACKED = 10_000
-
-
 @dataclass(frozen=True)
 class EventOrder:
     """Which timestamps lead the order of events inside a case.
@@ -74,43 +70,41 @@ BY_START = EventOrder((START,))
 BY_END = EventOrder((END, START))
 
 
-# Hot cases of logs already looked at, by the hash of their plan. A stale entry
-# costs speed at worst: any list splits a log correctly.
-_KNOWN_HOT: dict[tuple[int, int], list[str]] = {}
+# What is known of log views, as long as they live: hot cases by the limit.
+_HOT: WeakKeyDictionary[DataFrame, dict[int, DataFrame | None]] = WeakKeyDictionary()
 
 
-def hot_cases(log: DataFrame) -> list[str]:
-    """Ids of cases with very many events, none for logs one task can sort.
+def hot_cases(log: DataFrame) -> DataFrame | None:
+    """``(CASE_ID)``: the cases with very many events, None if there are none.
 
-    Runs one job over the case column alone: every task keeps a sketch of its
-    most frequent cases, and the merged sketch names at most a thousand. As a
-    plain list they split the log the same way wherever they are used.
+    All of them are found, by counts. A log of fewer events than make a case hot
+    needs no count by case. The table has at most one row for each
+    ``hotCaseEvents`` events of the log, which bounds its broadcasts.
     """
-    if scale.fits_one_task(log):
-        return []
     limit = session.setting(
         log.sparkSession, session.HOT_CASE_EVENTS, session.HOT_CASE_EVENTS_DEFAULT
     )
-    ids = log.where(F.col(CASE).isNotNull()).select(F.col(CASE).cast("string").alias(CASE))
-    key = (ids.semanticHash(), limit)
-    if key not in _KNOWN_HOT:
-        top = ids.agg(F.expr(f"approx_top_k({CASE}, {SKETCH_RESULT}, {SKETCH_TRACKED})").alias("top"))
-        counted = top.select(F.inline("top")).where(F.col("count") >= limit).select("item")
-        _KNOWN_HOT[key] = sorted(r["item"] for r in scale.collect_bounded(counted, "hot cases"))
-    return _KNOWN_HOT[key]
+    known = _HOT.setdefault(log, {})
+    if limit not in known:
+        known[limit] = None
+        if log.count() >= limit:
+            sizes = log.where(F.col(CASE).isNotNull()).groupBy(CASE).agg(F.count(F.lit(1)).alias("n"))
+            found = scale.checkpointed(sizes.where(F.col("n") >= limit).select(CASE))
+            known[limit] = None if found.isEmpty() else found
+    return known[limit]
 
 
-def _is_hot(ids: list[str]) -> Column:
-    return is_true(F.col(CASE).cast("string").isin(ids))
+def _split(log: DataFrame, view: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """(ordinary events, events of hot cases or None if there are none).
 
-
-def _split(log: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """(ordinary events, events of hot cases or None if there are none)."""
-    known = log.where(F.col(CASE).isNotNull())
-    ids = hot_cases(log)
-    if not ids:
-        return known, None
-    return known.where(~_is_hot(ids)), known.where(_is_hot(ids))
+    ``view`` is a log with the same cases that may have been looked at before.
+    """
+    events = log.where(F.col(CASE).isNotNull())
+    ids = hot_cases(log if view is None else view)
+    if ids is None:
+        return events, None
+    few = F.broadcast(ids)
+    return events.join(few, CASE, "left_anti"), events.join(few, CASE, "left_semi")
 
 
 def _pieces(hot: DataFrame, order: EventOrder) -> DataFrame:
@@ -127,14 +121,16 @@ def with_next(
     following: dict[str, str],
     first: str | None = None,
     last: str | None = None,
+    view: DataFrame | None = None,
 ) -> DataFrame:
     """Add, to each event, columns of the next event of its case.
 
     ``following`` maps a source column to the name of its shifted copy; ``first``
     and ``last`` name optional boolean columns marking a case's first and last
     event. Events without a case are dropped, as they belong to no sequence.
+    ``view``: the log that ``log`` was derived from.
     """
-    ordinary, hot = _split(log)
+    ordinary, hot = _split(log, view)
     keys = order.columns(log)
     out = _lead_once(ordinary, Window.partitionBy(CASE).orderBy(*keys), following, first, last)
     if hot is None:
@@ -211,40 +207,27 @@ def _positions_in_pieces(hot: DataFrame, order: EventOrder, name: str) -> DataFr
     ).drop("__piece", "__rn", "__tail", "__lane", "__before")
 
 
-def case_fingerprints(log: DataFrame, order: EventOrder) -> DataFrame:
-    """``(CASE_ID, h1, h2, length)``: identity of each case's trace.
-
-    Two 64-bit hashes, each the xor of the hashes of the (position, activity)
-    pairs: combined before the shuffle like a sum, so a case of any length needs
-    no list of its activities.
-    """
-    events = log.select(*_needed(log, order))
-    placed = with_position(events, order)
-    return placed.groupBy(CASE).agg(
-        F.bit_xor(F.xxhash64("position", ACTIVITY)).alias("h1"),
-        F.bit_xor(F.xxhash64(ACTIVITY, "position", F.lit("second"))).alias("h2"),
-        F.count(F.lit(1)).cast("int").alias("length"),
-    )
-
-
 def join_on_case(
     log: DataFrame, facts: DataFrame, how: str = "left", base: DataFrame | None = None
 ) -> DataFrame:
     """Join a table with one row per case to the events.
 
     Hot cases would pile up in one task of a shuffled join. Their events take a
-    broadcast join instead, with the (at most a thousand) facts about them. If
-    ``log`` was derived from a simpler table of the same events, they are looked
-    for in that ``base``.
+    broadcast join instead, with the few facts about them. If ``log`` was derived
+    from a simpler table of the same events, hot cases are looked for in that
+    ``base``.
     """
     ids = hot_cases(log if base is None else base)
     keyed = facts.withColumnRenamed(CASE, "__fact_case")
     same = F.col(CASE) == F.col("__fact_case")
-    if not ids:
+    if ids is None:
         return log.join(keyed, same, how).drop("__fact_case")
-    few = keyed.where(F.col("__fact_case").cast("string").isin(ids))
-    ordinary = log.where(~_is_hot(ids)).join(keyed, same, how)
-    crowded = log.where(_is_hot(ids)).join(F.broadcast(few), same, how)
+    few = F.broadcast(ids)
+    known = F.broadcast(
+        keyed.join(F.broadcast(ids.withColumnRenamed(CASE, "__fact_case")), "__fact_case", "left_semi")
+    )
+    ordinary = log.join(few, CASE, "left_anti").join(keyed, same, how)
+    crowded = log.join(few, CASE, "left_semi").join(known, same, how)
     return ordinary.unionByName(crowded).drop("__fact_case")
 
 
@@ -254,7 +237,7 @@ def case_traces(log: DataFrame, order: EventOrder = BY_START) -> DataFrame:
     A trace is one cell by definition. For hot cases it is put together from
     sorted pieces, so that no task ever sorts the whole case.
     """
-    ordinary, hot = _split(log.select(*_needed(log, order)))
+    ordinary, hot = _split(log.select(*_needed(log, order)), log)
     out = _sorted_traces(ordinary, order, [CASE], "trace")
     if hot is None:
         return out
@@ -275,17 +258,6 @@ def _sorted_traces(events: DataFrame, order: EventOrder, keys: list[str], name:
     return events.groupBy(*keys).agg(F.transform(in_order, lambda e: e["activity"]).alias(name))
 
 
-def traces_of(log: DataFrame, chosen: DataFrame, order: EventOrder) -> DataFrame:
-    """Traces of the chosen cases (column CASE_ID) of a large log."""
-    ordinary, hot = _split(log.select(*_needed(log, order)))
-    out = _sorted_traces(ordinary.join(chosen, CASE, "left_semi"), order, [CASE], "trace")
-    if hot is None:
-        return out
-    # At most as many as there are hot cases.
-    few = F.broadcast(chosen.where(_is_hot(hot_cases(log))))
-    return out.unionByName(_join_pieces(hot.join(few, CASE, "left_semi"), order))
-
-
 def _needed(log: DataFrame, order: EventOrder) -> list[str]:
     wanted = (CASE, ACTIVITY, EVENT, *order.timestamps, *order.extra)
     return [c for c in log.columns if c in wanted]

@@ -1,43 +1,25 @@
-"""Decisions that depend on the size of the data, kept in one place.
-
-Sizes come from Catalyst's statistics (file sizes after column pruning), so
-asking costs no job. Data of unknown size counts as large.
-"""
+"""What keeps work on whole tables in many tasks: ranks, percentiles, checkpoints."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import session
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the size of ``df``; huge when unknown."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-
-
-def fits_one_task(df: DataFrame) -> bool:
-    """True when all of ``df`` may be sorted by a single task."""
-    limit = session.setting(
-        df.sparkSession, session.SINGLE_TASK_BYTES, session.SINGLE_TASK_BYTES_DEFAULT
-    )
-    return estimated_bytes(df) <= limit
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names; pick one only where none is set."""
+    """Use the folder the cluster names; where none is set, one beside the warehouse,
+    which all executors share as well."""
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:
         return
-    named = spark.conf.get("spark.checkpoint.dir", "")
-    context.setCheckpointDir(named or tempfile.mkdtemp(prefix="casewright-checkpoint-"))
+    beside = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-checkpoints"
+    context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or beside)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -65,12 +47,10 @@ def collect_bounded(table: DataFrame, what: str) -> list:
 def global_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """Add ``row_number`` over the whole of ``df`` without a one-task sort.
 
-    Large inputs are range-partitioned on the order, numbered inside each
-    partition and shifted by the number of rows in the partitions before it.
-    ``order`` must end in a unique key.
+    Rows are range-partitioned on the order, numbered inside each partition and
+    shifted by the number of rows in the partitions before it. ``order`` must end
+    in a unique key.
     """
-    if fits_one_task(df):
-        return df.withColumn(name, F.row_number().over(Window.orderBy(*order)))
     parts = shuffle_partitions(df.sparkSession)
     placed = checkpointed(
         df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id())
@@ -97,18 +77,11 @@ def exact_percentiles(
     """Exact, linearly interpolated percentiles of ``value`` per group.
 
     One row per combination of ``keys`` (one row overall without keys), one
-    column per entry of ``probabilities``. Small inputs use the built-in
-    aggregate, which keeps all distinct values of a group in memory. Large ones
-    count equal values first, range-partition the counts on (keys, value), so
-    that one big group spans many tasks, and then read off the wanted ranks.
+    column per entry of ``probabilities``. Equal values are counted first; the
+    counts are range-partitioned on (keys, value), so that one big group spans
+    many tasks, and the wanted ranks are read off.
     """
     known = df.where(F.col(value).isNotNull())
-    if fits_one_task(df):
-        wanted = [
-            F.percentile(value, F.lit(p)).alias(name) for name, p in probabilities.items()
-        ]
-        return known.groupBy(*keys).agg(*wanted)
-
     tally = known.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
     sort = [F.col(k) for k in keys] + [F.col(value)]
     placed = checkpointed(

@@ -1,25 +1,18 @@
-"""Session settings the operators count on, and the switches they read."""
+"""Session settings the operators count on, and the bounds they read.
+
+None of them changes a result.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-# Up to this many estimated bytes, a whole log (and so any single case in it)
-# is safe to sort inside one task.
-SINGLE_TASK_BYTES = "spark.casewright.singleTaskBytes"
-SINGLE_TASK_BYTES_DEFAULT = 256 * 1024 * 1024
-
 # A case with at least this many events is spread over several tasks.
 HOT_CASE_EVENTS = "spark.casewright.hotCaseEvents"
 HOT_CASE_EVENTS_DEFAULT = 1_000_000
 
-# A variants table of a large log writes out traces of up to this many events;
-# longer ones are only delivered as rows.
-TRACE_CELL_EVENTS = "spark.casewright.traceCellEvents"
-TRACE_CELL_EVENTS_DEFAULT = 10_000_000
-
-# Most cells a model summary (edges, starts, ends of all open nodes) may have
-# before it is refused on the driver.
+# Most rows that a net, or the flow counts of one discovery step, may have to be
+# walked through on the driver and in Python tasks. Graphs have no such bound.
 MODEL_CELLS = "spark.casewright.modelCells"
 MODEL_CELLS_DEFAULT = 5_000_000
 
@@ -42,6 +35,8 @@ def build_session(app_name: str = "casewright", master: str | None = None, **con
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        # Checkpoints go when what they hold is no longer referred to.
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         **conf,
     }
     for key, value in settings.items():

@@ -16,8 +16,6 @@ def spark(tmp_path_factory):
             "spark.sql.shuffle.partitions": "4",
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
-            # In-memory test data counts as small unless a test says otherwise.
-            "spark.sql.defaultSizeInBytes": "1000",
         },
     )
     s.sparkContext.setLogLevel("ERROR")
@@ -28,12 +26,10 @@ def spark(tmp_path_factory):
 
 @pytest.fixture(params=["small", "large"])
 def both_sizes(request, spark):
-    """Run a test on the one-task plans and on those for data of any size."""
+    """Run a test with ordinary cases only, and with cases that count as hot."""
     if request.param == "large":
-        spark.conf.set(session.SINGLE_TASK_BYTES, "0")
         spark.conf.set(session.HOT_CASE_EVENTS, "3")
     yield request.param
-    spark.conf.unset(session.SINGLE_TASK_BYTES)
     spark.conf.unset(session.HOT_CASE_EVENTS)
 
 

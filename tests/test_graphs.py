@@ -81,20 +81,30 @@ def test_durations_match_brute_force(make_log, both_sizes):
 
 def test_hot_cases_are_found(make_log, spark, both_sizes):
     spark.conf.set(session.HOT_CASE_EVENTS, "50")
-    found = sequence.hot_cases(make_log(random_rows(5), *COLUMNS))
-    assert found == (["hot"] if both_sizes == "large" else [])
+    log = make_log(random_rows(5), *COLUMNS)
+    assert [r.CASE_ID for r in sequence.hot_cases(log).collect()] == ["hot"]
+    assert sequence.hot_cases(log) is sequence.hot_cases(log)
 
 
-def test_long_traces_are_left_to_rows(make_log, spark, both_sizes):
-    """Every variant comes as rows, whether or not its trace fits a cell."""
+def test_one_huge_case_in_a_small_file_is_split(spark, tmp_path):
+    """What counts is events, not bytes: a case of few values compresses well."""
+    at = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    path = str(tmp_path / "log")
+    spark.range(1_200_000).select(
+        F.lit("one").alias("CASE_ID"), F.lit("a").alias("ACTIVITY"), at.alias("START_TIMESTAMP"), at.alias("END_TIMESTAMP")
+    ).write.parquet(path)
+    log = spark.read.parquet(path)
+    assert sequence.hot_cases(log).count() == 1
+    steps = sequence.with_next(log, sequence.BY_END, {"ACTIVITY": "next"}, last="is_last")
+    assert "rangepartitioning(CASE_ID" in steps._jdf.queryExecution().executedPlan().toString()
+
+
+def test_variants_as_cells_and_as_rows(make_log, spark, both_sizes):
+    """The table has every trace, however long, and so do the rows."""
     log = make_log(random_rows(8, events=120), *COLUMNS)
     want = {c: [e[2] for e in ev] for c, ev in by_case(random_rows(8, events=120), START_KEY).items()}
-    spark.conf.set(session.TRACE_CELL_EVENTS, "10")
-    try:
-        table = cases.variants_table(log).collect()
-        rows = cases.variant_events(log).orderBy("variant_id", "position").collect()
-    finally:
-        spark.conf.unset(session.TRACE_CELL_EVENTS)
+    table = cases.variants_table(log).collect()
+    rows = cases.variant_events(log).orderBy("variant_id", "position").collect()
     whole = defaultdict(list)
     for r in rows:
         assert r.position == len(whole[r.variant_id])
@@ -102,7 +112,7 @@ def test_long_traces_are_left_to_rows(make_log, spark, both_sizes):
     assert sorted(whole.values()) == sorted(map(list, {tuple(t) for t in want.values()}))
     for r in table:
         assert len(whole[r.variant_id]) == r.length
-        assert r.trace == (whole[r.variant_id] if both_sizes == "small" or r.length <= 10 else None)
+        assert r.trace == whole[r.variant_id]
     assert sum(r.frequency for r in table) == len(want)
 
 
@@ -121,7 +131,6 @@ def test_a_common_variant_is_split_in_joins(spark):
         "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20000",
         "spark.sql.adaptive.coalescePartitions.enabled": "false",
-        session.SINGLE_TASK_BYTES: "0",
     }
     before = {k: spark.conf.get(k, None) for k in conf}
     for k, v in conf.items():
@@ -182,7 +191,7 @@ def test_discovery_log(make_log):
     assert {r["mean"] for r in waits.collect()} == {30.0}
     top = nets.top_edge_model(graph, 1).collect()
     assert [tuple(r) for r in top] == [("Chat", "End", 1, 1, 2)]
-    replayed = quality.net_quality(conformance.log_traces(log), nets.net_from_dfg(graph.collected())).collect()
+    replayed = quality.net_quality(conformance.log_traces(log), nets.net_from_dfg(graph.computed())).collect()
     assert tuple(replayed[0]) == pytest.approx(tuple(m))
 
 
@@ -207,8 +216,7 @@ def brute_precision(traces):
 
 
 @pytest.mark.parametrize("seed", range(2))
-def test_precision_matches_brute_force(traces, both_sizes, monkeypatch, seed):
-    monkeypatch.setattr(quality, "PREFIX_BLOCK", 3)
+def test_precision_matches_brute_force(traces, both_sizes, seed):
     rng = random.Random(seed)
     bag = Counter("".join(rng.choice("abc") for _ in range(rng.randrange(1, 11))) for _ in range(60))
     table = traces(*[(" ".join(t), k) for t, k in bag.items()])
