@@ -8,16 +8,14 @@ from .scalar import (
     day_bucket,
     is_true,
     join_trace,
-    label_key,
     micros_between,
     minutes_between,
-    number_or_null,
     parse_manual_trace,
+    parse_timestamp,
     period_bucket,
     period_step,
     resource_tokens,
     seconds_between,
-    split_label,
     week_bucket,
 )
 
@@ -29,15 +27,13 @@ __all__ = [
     "day_bucket",
     "is_true",
     "join_trace",
-    "label_key",
     "micros_between",
     "minutes_between",
-    "number_or_null",
     "parse_manual_trace",
+    "parse_timestamp",
     "period_bucket",
     "period_step",
     "resource_tokens",
     "seconds_between",
-    "split_label",
     "week_bucket",
 ]

@@ -26,17 +26,6 @@ def blank_to_null(c: Column) -> Column:
     return F.nullif(F.trim(c.cast("string"), F.lit(WHITESPACE)), F.lit(""))
 
 
-def label_key(c: Column) -> Column:
-    """Key for comparing labels regardless of case and outer blanks."""
-    return F.lower(F.trim(c))
-
-
-def split_label(c: Column, joiner: str) -> Column:
-    """Split on a literal (not a pattern)."""
-    quoted = "\\Q" + joiner.replace("\\E", "\\E\\\\E\\Q") + "\\E"
-    return F.split(c, quoted)
-
-
 def join_trace(trace: Column, joiner: str = " -> ") -> Column:
     return F.array_join(trace, joiner)
 
@@ -67,27 +56,51 @@ def is_true(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))
 
 
-def number_or_null(c: Column) -> Column:
-    """Finite double, else null."""
-    d = c.try_cast("double")
-    return F.when(F.isnan(d) | (F.abs(d) == F.lit(float("inf"))), None).otherwise(d)
+# -- time ---------------------------------------------------------------------
+# A time of day followed by an offset from UTC.
+OFFSET = r"\d:\d{2}(?::\d{2}(?:\.\d+)?)?\s*(?:Z|UTC|[+-]\d{2}(?::?\d{2})?)$"
 
 
-# -- time ---------------------------------------------------------------------
-def as_timestamp(log: DataFrame, name: str, strict: bool = False) -> Column:
-    """Column ``name`` as ``timestamp_ntz``.
+def utc(instant: Column) -> Column:
+    """A timestamp with time zone as UTC wall-clock time."""
+    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), instant.cast("timestamp_ntz"))
+
 
-    Strict parsing fails the job on a malformed value, lenient parsing yields
-    null. Columns that already are timestamps or dates are only cast, which
-    keeps scan filters pushable.
+def parse_timestamp(text: Column, strict: bool, pattern: str | None = None) -> Column:
+    """Text as UTC wall-clock time, ``timestamp_ntz``.
+
+    Text that carries an offset is an instant and moves to UTC; text without one is
+    taken as it stands. Strict parsing fails the job on a malformed value, lenient
+    parsing yields null. ``pattern`` is a Spark datetime pattern; without one, ISO
+    dates and times are read.
+    """
+    if pattern is not None:
+        instant = F.to_timestamp(text, pattern) if strict else F.try_to_timestamp(text, F.lit(pattern))
+        zoned = any(letter in pattern for letter in "XxZOVz")
+        return utc(instant) if zoned else instant.cast("timestamp_ntz")
+    trimmed = F.trim(text)
+    if strict:
+        instant, plain = trimmed.cast("timestamp"), text.cast("timestamp_ntz")
+    else:
+        instant, plain = trimmed.try_cast("timestamp"), text.try_cast("timestamp_ntz")
+    return F.when(trimmed.rlike(OFFSET), utc(instant)).otherwise(plain)
+
+
+def as_timestamp(log: DataFrame, name: str, strict: bool = False, pattern: str | None = None) -> Column:
+    """Column ``name`` as ``timestamp_ntz``, text by :func:`parse_timestamp`.
+
+    Columns that already are timestamps or dates are only cast, which keeps scan
+    filters pushable.
     """
     kind = dict(log.dtypes)[name]
     col = F.col(name)
     if kind == "timestamp_ntz":
         return col
-    if kind in ("timestamp", "date") or strict:
+    if kind == "timestamp":
+        return utc(col)
+    if kind == "date":
         return col.cast("timestamp_ntz")
-    return col.cast("string").try_cast("timestamp_ntz")
+    return parse_timestamp(col.cast("string"), strict, pattern)
 
 
 def day_bucket(ts: Column) -> Column:

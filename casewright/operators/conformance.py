@@ -156,23 +156,28 @@ def replay_rollup(results: DataFrame) -> DataFrame:
     ).orderBy("trace_fitness", F.desc("frequency"), "variant")
 
 
+# How a step may name its kind.
+MOVE_KINDS = {
+    "sync": "sync", "sync move": "sync", "synchronous": "sync",
+    "log": "log", "log move": "log", "move on log": "log",
+    "model": "model", "model move": "model", "move on model": "model",
+    "silent": None,
+}
+STILL = ">>"
+
+
 def move_kind(step: Column) -> Column:
     """``sync``, ``log``, ``model`` or null for a step (log, model, kind).
 
-    An explicit kind wins; otherwise equal sides are synchronous and ``>>``
-    marks the side that stood still. Silent steps count as nothing.
+    A step that names its kind has that one; other names count for nothing. A step
+    without one is told by its sides: the side that stood still is ``>>``.
     """
-    kind = F.lower(step["kind"])
-    log, model = step["log"], step["model"]
-    return (
-        F.when(kind.contains("log"), "log")
-        .when(kind.contains("model"), "model")
-        .when(kind.contains("sync"), "sync")
-        .when(log.isNull() | model.isNull(), None)
-        .when(log == model, "sync")
-        .when(model == ">>", "log")
-        .when(log == ">>", "model")
-    )
+    named = F.create_map(*[F.lit(x) for k, v in MOVE_KINDS.items() if v for x in (k, v)])
+    by_name = F.try_element_at(named, F.lower(F.trim(step["kind"])))
+    stood = F.struct((step["log"] == STILL).alias("log"), (step["model"] == STILL).alias("model"))
+    by_sides = F.when(step["log"] == step["model"], "sync").when(stood["model"], "log").when(stood["log"], "model")
+    both = step["log"].isNotNull() & step["model"].isNotNull()
+    return F.when(step["kind"].isNotNull(), by_name).when(both, by_sides)
 
 
 def alignment_rollup(results: DataFrame) -> DataFrame:

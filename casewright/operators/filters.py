@@ -227,8 +227,6 @@ class CaseFilter(EventFilter):
     """Events of given cases: a list of ids, or a DataFrame with CASE_ID."""
 
     required_columns = (CASE,)
-    # Longer lists are cheaper as a join than as an expression.
-    INLINE_LIMIT = 1_000
 
     def __init__(self, cases: Iterable[Any] | DataFrame) -> None:
         self.cases = cases if isinstance(cases, DataFrame) else sorted({str(c) for c in cases if c is not None})
@@ -238,11 +236,8 @@ class CaseFilter(EventFilter):
             return plan.case_in(self.cases)
         if not self.cases:
             return F.lit(False)
-        if len(self.cases) <= self.INLINE_LIMIT:
-            return F.col(CASE).cast("string").isin(self.cases)
-        kind = dict(plan.log.dtypes)[CASE]
-        table = plan.log.sparkSession.createDataFrame([(c,) for c in self.cases], f"{CASE} string")
-        return plan.case_in(table.select(F.col(CASE).cast(kind)))
+        # Ids compare as text, however many there are.
+        return F.col(CASE).cast("string").isin(self.cases)
 
 
 class _FollowsFilter(EventFilter):

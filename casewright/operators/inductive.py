@@ -90,15 +90,18 @@ def _summaries(sub: DataFrame) -> dict[int, FlowSummary]:
             F.when(a.isNull(), STARTS).when(b.isNull(), ENDS).otherwise(FOLLOWS), a, b
         ),
     )
+    # In a sorted copy, what occurs once differs from both of its neighbours.
     single = F.filter(
-        F.array_distinct(trace), lambda a: F.size(F.filter(trace, lambda x: x == a)) == 1
+        "sorted",
+        lambda a, i: ~a.eqNullSafe(F.get("sorted", i - 1)) & ~a.eqNullSafe(F.get("sorted", i + 1)),
     )
     once = F.transform(single, lambda a: entry("once", a, none))
     rows = F.when(F.size(trace) == 0, F.array(entry("empty", none, none))).otherwise(
         F.concat(flows, once)
     )
     counted = (
-        sub.select("node", "frequency", F.inline(rows))
+        sub.withColumn("sorted", F.array_sort(trace))
+        .select("node", "frequency", F.inline(rows))
         .groupBy("node", "kind", "src", "dst")
         .agg(F.sum("frequency").alias("n"))
     )

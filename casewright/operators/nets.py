@@ -63,9 +63,6 @@ class PetriNet:
         )
         return PetriNet(marked.unionByName(others), self.transitions, self.arcs)
 
-    def persist(self) -> PetriNet:
-        return PetriNet(self.places.persist(), self.transitions.persist(), self.arcs.persist())
-
 
 def _place(activity):
     return F.concat(F.lit("p:"), activity)

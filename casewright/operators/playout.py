@@ -11,6 +11,21 @@ from collections import deque
 from dataclasses import dataclass, field
 
 
+class UnboundedNet(ValueError):
+    """Silent moves of the net make more and more tokens."""
+
+
+def refuse_growth(marking, before, previous) -> None:
+    """Raise if ``marking`` has all the tokens of one on its own path, and more.
+
+    What led from there to here could then be repeated for ever.
+    """
+    while before is not None:
+        if before != marking and all(a <= b for a, b in zip(before, marking)):
+            raise UnboundedNet(f"silent moves lead from {before} to {marking}")
+        before = previous(before)
+
+
 @dataclass
 class Move:
     tid: str
@@ -73,8 +88,8 @@ class CompiledNet:
     def closure(self, marking) -> dict:
         """Markings reachable by silent moves -> (previous marking, move).
 
-        In breadth-first order, the marking itself first. The net must be
-        bounded under its silent moves.
+        In breadth-first order, the marking itself first. Raises ``UnboundedNet``
+        where silent moves can pile up tokens for ever.
         """
         known = self._closures.get(marking)
         if known is None:
@@ -87,6 +102,7 @@ class CompiledNet:
                         to = self.fire(at, m)
                         if to not in known:
                             known[to] = (at, m)
+                            refuse_growth(to, at, lambda x: known[x] and known[x][0])
                             queue.append(to)
             self._closures[marking] = known
         return known
@@ -197,6 +213,12 @@ def align_trace(net: CompiledNet, trace):
     back: dict = {start: None}
     done = set()
     queue = deque([start])
+
+    def silent_before(marking_at):
+        """The marking before a silent step, at the same event."""
+        came = back[i, marking_at]
+        return came[0][1] if came is not None and came[1][2] == "silent" else None
+
     while queue:
         state = queue.popleft()
         if state in done:
@@ -225,6 +247,8 @@ def align_trace(net: CompiledNet, trace):
             if cost + price < best.get(to, float("inf")):
                 best[to] = cost + price
                 back[to] = (state, step)
+                if step[2] == "silent":
+                    refuse_growth(to[1], marking, silent_before)
                 (queue.append if price else queue.appendleft)(to)
     return None
 

@@ -1,17 +1,16 @@
 """Lazy views that put the operators together."""
 
 from .aggregation import (
-    BaseAuxOp,
-    BaseCaseAggregator,
-    CaseAggView,
-    CaseDateAggregator,
-    CaseDurationAggregator,
-    CaseVariantAggregator,
-    DeriveCaseStartDateOp,
-    ExpressionAggregator,
-    NormalizeTimestampsOp,
-    build_aggregator_from_spec,
-    register_aggregator,
+    AGGREGATORS,
+    AggregatorRegistry,
+    CaseChain,
+    case_date,
+    case_duration,
+    case_expressions,
+    case_variant,
+    needs,
+    normalized_timestamps,
+    with_case_date,
 )
 from .conformance import alignment_report, normative_net_from_log, normative_net_from_variants, replay_report
 from .event_log import EventLogView
@@ -26,27 +25,26 @@ from .models import (
 )
 
 __all__ = [
-    "BaseAuxOp",
-    "BaseCaseAggregator",
-    "CaseAggView",
-    "CaseDateAggregator",
-    "CaseDurationAggregator",
-    "CaseVariantAggregator",
+    "AGGREGATORS",
+    "AggregatorRegistry",
+    "CaseChain",
     "DFGModel",
-    "DeriveCaseStartDateOp",
     "EventLogView",
-    "ExpressionAggregator",
-    "NormalizeTimestampsOp",
     "PerformanceDFGModel",
     "PetriNetModel",
     "ProcessModel",
     "ProcessModelView",
     "alignment_report",
-    "build_aggregator_from_spec",
+    "case_date",
+    "case_duration",
+    "case_expressions",
+    "case_variant",
     "generate_process_model",
+    "needs",
+    "normalized_timestamps",
     "normative_net_from_log",
     "normative_net_from_variants",
-    "register_aggregator",
     "replay_report",
     "resolve_model",
+    "with_case_date",
 ]

@@ -5,24 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import as_timestamp, blank_to_null
+from ..functions import as_timestamp, blank_to_null, parse_timestamp
 from ..schema import ACTIVITY, CASE, END, REQUIRED, START, verify_format
 
 # Fixed value: a derived column some exports carry.
 DERIVED_COLUMN = "duration_seconds"
 
 
-def clean_log(log: DataFrame) -> DataFrame:
+def clean_log(log: DataFrame, pattern: str | None = None) -> DataFrame:
     """Trimmed text, parsed timestamps, and no event lacking a required field.
 
-    A timestamp that is present but malformed fails the job.
+    A timestamp that is present but malformed fails the job. ``pattern`` tells how
+    timestamps are written, if not as ISO; those with an offset move to UTC.
     """
     verify_format(log)
     kinds = dict(log.dtypes)
     fields = {c: blank_to_null(F.col(c)) for c in (CASE, ACTIVITY)}
     for c in (START, END):
         if kinds[c] == "string":
-            fields[c] = blank_to_null(F.col(c)).cast("timestamp_ntz")
+            fields[c] = parse_timestamp(blank_to_null(F.col(c)), True, pattern)
         else:
             fields[c] = as_timestamp(log, c, strict=True)
     return log.drop(DERIVED_COLUMN).withColumns(fields).dropna("any", subset=list(REQUIRED))

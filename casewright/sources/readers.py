@@ -6,19 +6,36 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import NA_TOKENS
+from ..functions import NA_TOKENS, parse_timestamp
 from ..schema import ACTIVITY, CASE, END, START, LogSchema
 from .cleaning import clean_log
 
 
-def read_csv_log(spark: SparkSession, path: str, sep: str = ",", clean: bool = True) -> DataFrame:
+def read_csv_log(
+    spark: SparkSession,
+    path: str,
+    sep: str = ",",
+    clean: bool = True,
+    multiline: bool = True,
+    mode: str = "FAILFAST",
+    timestamp_format: str | None = None,
+) -> DataFrame:
     """Delimited text with a header. All columns are read as text (no extra
-    pass to guess types); usual spellings of missing values become null."""
-    raw = spark.read.option("header", True).option("sep", sep).option("escape", '"').csv(path)
+    pass to guess types); usual spellings of missing values become null.
+
+    Quoted fields may hold line breaks, so a file is read by one task; turn
+    ``multiline`` off for files known to have none, and large ones are split.
+    Rows of a wrong number of fields fail the job; Spark's other parser modes
+    can be chosen.
+    """
+    raw = (
+        spark.read.option("header", True).option("sep", sep).option("escape", '"')
+        .option("multiLine", multiline).option("mode", mode).csv(path)
+    )
     known = raw.select(
         *[F.when(~F.col(f"`{c}`").isin(*NA_TOKENS), F.col(f"`{c}`")).alias(c) for c in raw.columns]
     )
-    return clean_log(known) if clean else known
+    return clean_log(known, timestamp_format) if clean else known
 
 
 # XES attributes are elements named after their type, with key and value.
@@ -34,41 +51,54 @@ XES_EVENT_KEYS = {"concept:name": ACTIVITY, "time:timestamp": END, "start_timest
 
 
 def _attributes(prefix: str) -> Column:
-    """All attributes of an element, whatever their type, as one map."""
+    """All attributes of an element, whatever their type, as (key, value) pairs."""
     empty = F.array().cast(_ATTRIBUTE)
-    lists = [F.coalesce(F.col(f"{prefix}{t}"), empty) for t in _TYPES]
-    pairs = F.transform(
-        F.concat(*lists), lambda a: F.struct(a["_key"].alias("key"), a["_value"].alias("value"))
-    )
-    return F.map_from_entries(pairs)
+    return F.concat(*[F.coalesce(F.col(f"{prefix}{t}"), empty) for t in _TYPES])
 
 
-def _utc(value: Column) -> Column:
-    """An instant with (or without) an offset as UTC wall-clock time."""
-    instant = value.cast("timestamp")
-    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), instant.cast("timestamp_ntz"))
+def _value(pairs: str, key: str) -> Column:
+    """The value of a key; the last one if it is repeated."""
+    return F.try_element_at(F.filter(pairs, lambda a: a["_key"] == key), F.lit(-1))["_value"]
 
 
 def read_xes_log(
-    spark: SparkSession, path: str, extra: dict[str, str] | None = None, clean: bool = True
+    spark: SparkSession,
+    path: str,
+    extra: dict[str, str] | None = None,
+    clean: bool = True,
+    timestamp_format: str | None = None,
 ) -> DataFrame:
-    """XES log: one row per event. ``extra`` maps further event attributes to
-    columns. Without start timestamps an event starts when it ends."""
+    """XES log: one row per event, one column per attribute.
+
+    ``extra`` maps further attributes to columns; those of traces are named
+    ``case:<key>``. Without it the keys are looked up in one narrow pass, and every
+    attribute becomes a column of its own name. Without start timestamps an event
+    starts when it ends.
+    """
     traces = spark.read.format("xml").option("rowTag", "trace").schema(_TRACE).load(path)
     cases = traces.select(_attributes("").alias("about"), F.posexplode("event"))
-    events = cases.select(
-        F.try_element_at("about", F.lit("concept:name")).alias(CASE),
-        F.col("pos").cast("bigint").alias("EVENT_ID"),
-        _attributes("col.").alias("of"),
-    )
-    value = {c: F.try_element_at("of", F.lit(k)) for k, c in XES_EVENT_KEYS.items()}
+    events = cases.select("about", F.col("pos").cast("bigint").alias("EVENT_ID"), _attributes("col.").alias("of"))
+    if extra is None:
+        kinds = {"of": set(XES_EVENT_KEYS), "about": {"concept:name"}}
+        found = events.select(F.explode(F.array(*[
+            F.struct(F.lit(where).alias("where"), F.transform(where, lambda a: a["_key"]).alias("keys")) for where in kinds
+        ])).alias("x")).select("x.where", F.explode("x.keys").alias("key")).distinct()
+        # As many rows as the log has kinds of attributes.
+        keys = sorted((r["where"], r["key"]) for r in found.collect() if r["key"] not in kinds[r["where"]])
+        extra = {("case:" if where == "about" else "") + k: ("case:" if where == "about" else "") + k for where, k in keys}
+    value = {c: _value("of", k) for k, c in XES_EVENT_KEYS.items()}
+    ended = parse_timestamp(value[END], True, timestamp_format)
     log = events.select(
-        CASE,
+        _value("about", "concept:name").alias(CASE),
         "EVENT_ID",
         value[ACTIVITY].alias(ACTIVITY),
-        F.coalesce(_utc(value[START]), _utc(value[END])).alias(START),
-        _utc(value[END]).alias(END),
-        *[F.try_element_at("of", F.lit(k)).alias(c) for k, c in (extra or {}).items()],
+        F.coalesce(parse_timestamp(value[START], True, timestamp_format), ended).alias(START),
+        ended.alias(END),
+        *[
+            (_value("about", k[5:]) if k.startswith("case:") else _value("of", k)).alias(c)
+            for k, c in extra.items()
+            if c not in (CASE, "EVENT_ID", ACTIVITY, START, END)
+        ],
     )
     return clean_log(log) if clean else log
 
@@ -81,11 +111,15 @@ def read_parquet_log(
     return clean_log(log) if clean else log
 
 
-def load_log(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """Load and clean a log by the suffix of its name."""
+def load_log(spark: SparkSession, path: str, **options) -> DataFrame:
+    """Load and clean a log by the suffix of its name.
+
+    ``options`` go to the reader: ``sep`` or ``multiline`` for delimited text,
+    ``extra`` for XES, ``schema`` for Parquet, ``timestamp_format`` for text.
+    """
     suffix = path.rstrip("/").rsplit(".", 1)[-1].lower()
     if suffix == "xes":
-        return read_xes_log(spark, path)
+        return read_xes_log(spark, path, **options)
     if suffix == "parquet":
-        return read_parquet_log(spark, path, clean=True)
-    return read_csv_log(spark, path, sep)
+        return read_parquet_log(spark, path, **{"clean": True, **options})
+    return read_csv_log(spark, path, **options)

@@ -91,37 +91,38 @@ def test_lenient_timestamps(make_log, spark):
 
 
 def test_case_date_column(dialogue):
-    view = plans.CaseAggView(dialogue).with_aux(plans.DeriveCaseStartDateOp("DAY")).with_aggregator(
-        plans.ExpressionAggregator(["DAY"], day=F.max("DAY"), n=F.count(F.lit(1))))
-    assert rows(view.compute(), "CASE_ID") == [("A", dt.date(2025, 7, 11), 3), ("B", dt.date(2025, 7, 11), 2)]
+    chain = plans.CaseChain(dialogue).through(lambda log: plans.with_case_date(log, "DAY")).per_case(
+        plans.case_expressions, day=F.max("DAY"), n=F.count(F.lit(1)))
+    assert rows(chain.compute(), "CASE_ID") == [("A", dt.date(2025, 7, 11), 3), ("B", dt.date(2025, 7, 11), 2)]
 
 
-def test_aggregation_view(dialogue):
-    view = plans.CaseAggView(dialogue).with_aux(plans.NormalizeTimestampsOp())
+def test_chains(dialogue):
+    chain = plans.CaseChain(dialogue).through(plans.normalized_timestamps)
     with pytest.raises(AggregationError):
-        view.compute()
+        chain.compute()
     with pytest.raises(MissingColumnsError):
-        plans.CaseAggView(dialogue.drop("EVENT_ID")).with_aggregator(plans.CaseVariantAggregator()).compute()
-    assert rows(view.with_aggregator(plans.CaseDateAggregator()).compute(), "CASE_ID")[0] == ("A", "2025-07-11")
-    assert view.aggregator is None
+        plans.CaseChain(dialogue.drop("EVENT_ID")).per_case(plans.case_variant).compute()
+    with pytest.raises(MissingColumnsError):
+        plans.CaseChain(dialogue.drop("START_TIMESTAMP")).through(plans.normalized_timestamps).per_case(plans.case_date).compute()
+    assert rows(chain.per_case(plans.case_date).compute(), "CASE_ID")[0] == ("A", "2025-07-11")
+    assert chain.last is None
 
 
-def test_aggregator_registry():
-    made = plans.build_aggregator_from_spec({"type": " Variant ", "args": {"ignore_syst": True}})
-    assert made.ignore_syst and made.joiner == ">"
+def test_registry(dialogue):
+    described = {"type": " Variant ", "args": {"ignore_syst": True, "joiner": "|"}}
+    got = plans.CaseChain(dialogue).per_case(described).compute()
+    assert set(got.columns) == {"CASE_ID", "variant_id", "variant", "frequency", "length"}
+    assert all(">" not in r.variant for r in got.collect())
     for bad in ({}, {"type": 3}, {"type": "nope"}, {"type": "variant", "args": [1]}):
         with pytest.raises(AggregationError):
-            plans.build_aggregator_from_spec(bad)
-    with pytest.raises(RegistryError):
-        plans.register_aggregator("", plans.CaseDateAggregator)
-    with pytest.raises(RegistryError):
-        plans.register_aggregator("x", dict)
-
-    class Mine(plans.CaseDateAggregator):
-        pass
-
-    plans.register_aggregator("mine", Mine)
-    assert isinstance(plans.build_aggregator_from_spec({"type": "mine"}), Mine)
+            plans.CaseChain(dialogue).per_case(bad)
+    own = plans.AggregatorRegistry()
+    for name, function in (("", plans.case_date), ("x", dict), ("x", None)):
+        with pytest.raises(RegistryError):
+            own.add(name, function)
+    own.add("Mine", plans.case_date)
+    assert list(own) == ["mine"] and own.resolve({"type": "mine"})(dialogue).columns == ["CASE_ID", "case_date"]
+    assert list(plans.AGGREGATORS) == ["case_date", "case_duration", "variant"]
 
 
 # -- exploratory statistics ---------------------------------------------------------

@@ -4,12 +4,13 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from casewright import plans
 from casewright.operators import conformance as cf
 from casewright.operators import inductive, nets, quality, synthetic
 from casewright.operators.cuts import FlowSummary
-from casewright.operators.playout import CompiledNet, align_trace, replay_trace
+from casewright.operators.playout import CompiledNet, UnboundedNet, align_trace, replay_trace
 
 
 def net_of(places, transitions, arcs):
@@ -203,3 +204,23 @@ def test_synthetic_log(spark):
     assert sorted(tuple(r) for r in log.collect()) == [("1", 0, "A"), ("1", 1, "B"), ("2", 0, "C"), ("2", 1, "D")]
     again = cf.log_traces(log, synthetic.POSITION_ORDER)
     assert sorted(r.trace for r in again.collect()) == [["A", "B"], ["C", "D"]]
+
+
+def test_nets_that_grow_silently_are_refused():
+    """Two silent moves that make tokens: no search of theirs ends."""
+    places = [("i", 1, 0), ("p", 0, 0), ("o", 0, 1)]
+    transitions = [("grow", None), ("a", "A")]
+    arcs = [("i", "grow", 1), ("grow", "i", 1), ("grow", "p", 1), ("p", "a", 1), ("a", "o", 1)]
+    net = net_of(places, transitions, arcs)
+    with pytest.raises(UnboundedNet):
+        replay_trace(net, ["A"])
+    with pytest.raises(UnboundedNet):
+        align_trace(net, ["B"])
+
+
+def test_kinds_of_moves(spark):
+    steps = [("a", "a", None, "sync"), ("a", ">>", None, "log"), (">>", "a", None, "model"), (None, "a", None, None),
+             ("a", "b", "Log move", "log"), ("a", "a", "catalog", None), (">>", None, "silent", None), ("a", "b", None, None)]
+    df = spark.createDataFrame(steps, "log string, model string, kind string, want string")
+    got = df.select(cf.move_kind(F.struct("log", "model", "kind")).alias("got"), "want").collect()
+    assert [r.got for r in got] == [r.want for r in got]

@@ -116,13 +116,47 @@ def test_scalar_functions(spark):
     lit = F.lit
     assert one(spark, functions.blank_to_null(lit("  x y\t\n"))) == "x y"
     assert one(spark, functions.blank_to_null(lit(" \r\n"))) is None
-    assert one(spark, functions.split_label(lit("a.|b.|c"), ".|")) == ["a", "b", "c"]
-    assert one(spark, functions.number_or_null(lit("inf"))) is None
-    assert one(spark, functions.number_or_null(lit("1.5"))) == 1.5
-    assert one(spark, functions.label_key(lit(" Début "))) == "début"
     assert one(spark, functions.resource_tokens(lit("a, b,,c ,"))) == ["a", "b", "c"]
     assert one(spark, functions.combination_label(functions.resource_tokens(lit("b,a,b")))) == "a, b"
     assert one(spark, functions.is_true(lit(None).cast("boolean"))) is False
     for day, monday in ((1, 1), (2, 8), (7, 8), (8, 8), (9, 15)):
         ts = lit(f"2024-01-{day:02d} 00:00:00").cast("timestamp_ntz")
         assert one(spark, functions.week_bucket(ts)) == dt.date(2024, 1, monday)
+
+
+def test_csv_keeps_quoted_line_breaks(spark, tmp_path):
+    path = tmp_path / "log.csv"
+    path.write_text('CASE_ID,NOTE,ACTIVITY,START_TIMESTAMP,END_TIMESTAMP\n'
+                    '1,"hello\nworld, ""ok""",A,2024-01-01 10:00:00,2024-01-01 10:00:00\n')
+    got = sources.load_log(spark, str(path)).collect()
+    assert [(r.NOTE, r.ACTIVITY) for r in got] == [('hello\nworld, "ok"', "A")]
+
+
+def test_csv_rows_of_a_wrong_length_stop_the_load(spark, tmp_path):
+    path = tmp_path / "log.csv"
+    path.write_text("CASE_ID,ACTIVITY,START_TIMESTAMP,END_TIMESTAMP\n1,A,2024-01-01,2024-01-01,more\n")
+    with pytest.raises(Exception, match="MALFORMED"):
+        sources.load_log(spark, str(path)).collect()
+
+
+@pytest.mark.parametrize("text, pattern, want", [
+    ("2024-05-01T10:00:00+02:00", None, 8), ("2024-05-01 10:00:00Z", None, 10), ("2024-05-01 10:00", None, 10),
+    ("2024-05-01T10:00:00.5-0330", None, 13.5), ("01/05/2024 10:00", "dd/MM/yyyy HH:mm", 10),
+    ("01/05/2024 10:00 +01:00", "dd/MM/yyyy HH:mm XXX", 9), ("2024-05-01", None, 0),
+])
+def test_offsets_and_patterns(spark, text, pattern, want):
+    for strict in (True, False):
+        got = one(spark, functions.parse_timestamp(F.lit(text), strict, pattern))
+        assert got.replace(microsecond=0) - dt.datetime(2024, 5, 1) == dt.timedelta(hours=want)
+    assert one(spark, functions.parse_timestamp(F.lit("nonsense"), False, pattern)) is None
+
+
+def test_xes_keeps_all_attributes(spark, tmp_path):
+    path = tmp_path / "log.xes"
+    path.write_text(XES.replace('<string key="concept:name" value=" c1 "/>',
+                                '<string key="concept:name" value=" c1 "/><string key="channel" value="web"/>')
+                    .replace('value="bob"/>', 'value="bob"/><int key="org:resource" value="7"/><string key="AGENTE" value="ai"/>'))
+    log = sources.load_log(spark, str(path))
+    assert set(log.columns) >= {"org:resource", "AGENTE", "case:channel"}
+    got = {(r.CASE_ID, r.ACTIVITY): (r["org:resource"], r.AGENTE, r["case:channel"]) for r in log.collect()}
+    assert got == {("c1", "A"): ("7", "ai", "web"), ("c1", "B"): (None, None, "web"), ("c2", "A"): (None, None, None)}

@@ -13,14 +13,14 @@ from uuid import uuid4
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casewright import plans, scale, sources
+from casewright import plans, scale, session, sources
 from casewright.functions import join_trace
 from casewright.operators import agents, analytics, cases, conformance, dfg, filters, inductive, nets
 from casewright.operators import quality as rating
 from casewright.operators import synthetic
 
 from . import sql as q
-from .logs import conv_log, evt_log, item_log, user_log, with_log
+from .logs import SQL, conv_log, evt_log, item_log, user_log, with_log
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -114,6 +114,12 @@ register("filter_date_range_cases", "evt_log",
          .agg(F.count_distinct("CASE_ID").alias("cases")),
          "SELECT count(DISTINCT CASE_ID) AS cases FROM log WHERE END_TIMESTAMP >= TIMESTAMP '2024-01-03' "
          "AND START_TIMESTAMP <= TIMESTAMP '2024-01-09 23:59:59.999999'")
+register("filter_time_end_missing", "evt_log",
+         lambda log: filters.TimeWindowFilter("2024-01-03 00:00:00", "2024-01-09 00:00:00").apply(log.drop("END_TIMESTAMP"))
+         .select("EVENT_ID"),
+         "SELECT EVENT_ID FROM log WHERE START_TIMESTAMP BETWEEN TIMESTAMP '2024-01-03' AND TIMESTAMP '2024-01-09'")
+register("filter_time_unbounded", "evt_log",
+         lambda log: filters.TimeWindowFilter(None, None).apply(log).select("EVENT_ID"), "SELECT EVENT_ID FROM log")
 register("filter_mask", "evt_log",
          lambda log: (AI | ERROR_VIEW).with_mask(log).groupBy("mask").agg(F.count(F.lit(1)).alias("events")),
          "SELECT (coalesce(lower(AGENTE) IN ('ai','syst'), false) OR "
@@ -178,6 +184,65 @@ def xes_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["xes_log"] = xes_log
 ORACLE["xes_log"] = with_log("conv_log", f"SELECT {q.COLUMNS} FROM log")
 
+
+def xes_agents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Agents and resources as XES attributes of their own names, and back."""
+    def attribute(key: str, value) -> Column:
+        return F.struct(F.lit(key).alias("_key"), value.alias("_value"))
+
+    given = F.filter(
+        F.array(*[attribute(c, F.col(c)) for c in ("AGENTE", "RECURSO")]), lambda a: a["_value"].isNotNull()
+    )
+    stamp = F.concat(F.date_format("END_TIMESTAMP", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))
+    event = F.struct(
+        F.concat(F.array(attribute("concept:name", F.col("ACTIVITY"))), given).alias("string"),
+        F.array(attribute("time:timestamp", stamp)).alias("date"),
+    )
+    path = _scratch(spark) + ".xes"
+    evt_log(spark, sf_dir).groupBy("CASE_ID").agg(F.collect_list(event).alias("event")).select(
+        F.array(attribute("concept:name", F.col("CASE_ID"))).alias("string"), "event"
+    ).write.format("xml").option("rootTag", "log").option("rowTag", "trace").save(path)
+    return agents.resource_counts(sources.load_log(spark, path))
+
+
+QUERIES["xes_agents"] = xes_agents
+ORACLE["xes_agents"] = with_log("resource_log", "SELECT ACTIVITY AS resource, count(*) AS frequency FROM log GROUP BY 1")
+
+
+def _csv_with(spark: SparkSession, sf_dir: str, text: Column, offset: Column, **options) -> DataFrame:
+    """The log written as CSV with free text and offsets, and loaded again."""
+    path = _scratch(spark)
+    stamps = {
+        c: F.concat(F.date_format(F.col(c) + hours, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), offset)
+        for c in ("START_TIMESTAMP", "END_TIMESTAMP")
+        for hours in [F.when(offset == "+02:00", F.expr("INTERVAL 2 HOURS")).otherwise(F.expr("INTERVAL 0 HOURS"))]
+    }
+    log = evt_log(spark, sf_dir).select("CASE_ID", text.alias("NOTE"), "EVENT_ID", "ACTIVITY", "START_TIMESTAMP", "END_TIMESTAMP")
+    sources.write_csv(log.withColumns(stamps), path)
+    got = sources.load_log(spark, path, **options)
+    return got.withColumn("EVENT_ID", F.col("EVENT_ID").cast("bigint"))
+
+
+def csv_multiline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    note = F.when(F.col("EVENT_ID") % 3 == 0, F.lit('hello\nworld, "ok"')).otherwise(F.lit("x"))
+    return _csv_with(spark, sf_dir, note, F.lit("")).select("EVENT_ID", "NOTE", "START_TIMESTAMP")
+
+
+QUERIES["csv_multiline"] = csv_multiline
+ORACLE["csv_multiline"] = with_log(
+    "evt_log", "SELECT EVENT_ID, CASE WHEN EVENT_ID % 3 = 0 THEN 'hello' || chr(10) || 'world, \"ok\"' ELSE 'x' END AS NOTE, "
+    "START_TIMESTAMP FROM log")
+
+
+def csv_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = F.array(F.lit("Z"), F.lit("+02:00"), F.lit(""))
+    offset = F.element_at(kinds, (F.col("EVENT_ID") % 3 + 1).cast("int"))
+    return events(_csv_with(spark, sf_dir, F.lit("x"), offset, multiline=False))
+
+
+QUERIES["csv_offsets"] = csv_offsets
+ORACLE["csv_offsets"] = with_log("evt_log", f"SELECT {q.COLUMNS} FROM log")
+
 register("normalize_timestamps", "evt_log",
          lambda log: sources.normalize_timestamps(
              log.select("EVENT_ID", F.when(F.col("EVENT_ID") % 5 == 0, "bad")
@@ -197,8 +262,8 @@ register("variant_events", "evt_log", cases.variant_events,
          "SELECT variant_id, cast(generate_subscripts(string_split(variant, '>'), 1) - 1 AS INTEGER) AS position, "
          "unnest(string_split(variant, '>')) AS activity FROM variants", traces=q.TRACES, variants=q.VARIANTS)
 register("case_variant_info", "evt_log",
-         lambda log: plans.CaseAggView(log).with_aux(plans.NormalizeTimestampsOp())
-         .with_aggregator(plans.build_aggregator_from_spec({"type": "variant"})).compute(),
+         lambda log: plans.CaseChain(log).through(plans.normalized_timestamps)
+         .per_case({"type": "variant"}).compute(),
          "SELECT CASE_ID, variant_id, variant, frequency, v.length FROM traces JOIN variants v USING (variant)",
          traces=q.TRACES, variants=q.VARIANTS)
 _NO_SYST_VARIANTS = dict(clean=q.NO_SYST, traces=q.TRACES.replace("FROM log", "FROM clean"),
@@ -222,14 +287,20 @@ register("case_date_column", "evt_log",
 register("case_duration", "evt_log",
          lambda log: rounded("minutes")(cases.case_durations(log).select("CASE_ID", "minutes")),
          f"SELECT CASE_ID, round(minutes, 6) AS minutes FROM ({q.DURATIONS})")
+register("case_duration_interval", "evt_log",
+         lambda log: cases.case_durations(log).select(
+             "CASE_ID", F.expr("unix_micros(timestamp'1970-01-01 00:00:00' + duration)").alias("micros")),
+         "SELECT CASE_ID, epoch_us(greatest(max(coalesce(END_TIMESTAMP, START_TIMESTAMP)), max(START_TIMESTAMP))) "
+         "- epoch_us(min(START_TIMESTAMP)) AS micros FROM log GROUP BY CASE_ID")
 register("case_table", "evt_log", cases.case_table,
          "SELECT CASE_ID, count(*) AS events, min(START_TIMESTAMP) AS started, "
          "max(coalesce(END_TIMESTAMP, START_TIMESTAMP)) AS ended, "
          "epoch_us(max(coalesce(END_TIMESTAMP, START_TIMESTAMP))) - epoch_us(min(START_TIMESTAMP)) "
          "AS span_micros FROM log GROUP BY CASE_ID")
 register("case_expression", "evt_log",
-         lambda log: plans.CaseAggView(log).with_aggregator(plans.ExpressionAggregator(
-             events=F.count(F.lit(1)), errors=F.count_if(F.col("ACTIVITY") == "error"))).compute(),
+         lambda log: plans.CaseChain(log).per_case(
+             plans.case_expressions, events=F.count(F.lit(1)),
+             errors=F.count_if(F.col("ACTIVITY") == "error")).compute(),
          "SELECT CASE_ID, count(*) AS events, count(*) FILTER (WHERE ACTIVITY = 'error') AS errors "
          "FROM log GROUP BY CASE_ID")
 register("distinct_case_dates", "evt_log", cases.distinct_case_dates,
@@ -449,6 +520,8 @@ register("alignment_rollup_synthetic", "evt_log",
          traces=q.TRACES)
 
 # -- conformance ------------------------------------------------------------------------------------------
+# Choosing variants is the feature here: the net is made of the cases of the first
+# twelve, the log that is replayed on it is whole.
 NORMATIVE_RANKS = 12
 
 
@@ -486,15 +559,50 @@ register("quality_fitness", "evt_log", lambda log: rounded("fitness")(rating.rep
          "0.5 * (1 - sum(remaining_tokens * frequency) / sum(produced_tokens * frequency)), 6) AS fitness "
          "FROM counted", **P)
 
-# -- beyond SQL: alignments and inductive discovery -----------------------------------------------------------
+# -- alignments ---------------------------------------------------------------------------------------------
+A = q.alignment_tables(NORMATIVE_RANKS)
+_ALIGNED_FITNESS = "round(1 - cost / (length + shortest), 6)"
 register("alignments", "evt_log",
          lambda log: conformance.alignments(conformance.log_traces(log), _normative(log)).select(
              join_trace(F.col("trace")).alias("variant"), "frequency", "status", "cost",
-             F.round("fitness", 6).alias("fitness")))
-register("alignment_report", "evt_log",
-         lambda log: rounded("fitness", "cost")(plans.alignment_report(log, _normative(log))))
+             F.round("fitness", 6).alias("fitness")),
+         f"SELECT variant, frequency, 'optimal' AS status, cost, {_ALIGNED_FITNESS} AS fitness FROM aligned", **A)
+
+
+def alignment_report(log: DataFrame) -> DataFrame:
+    """Which of several optimal alignments is found is open, what their moves add up to is not."""
+    report = plans.alignment_report(log, _normative(log))
+    return rounded("fitness", "cost")(report).select(
+        "variant", "frequency", "fitness", "cost",
+        (F.col("n_log_moves") + F.col("n_model_moves")).alias("n_deviations"),
+        (F.col("n_log_moves") + F.col("n_sync_moves")).alias("n_events"))
+
+
+register("alignment_report", "evt_log", alignment_report,
+         f"SELECT variant, frequency, {_ALIGNED_FITNESS} AS fitness, round(cost, 6) AS cost, "
+         "cast(cost * frequency AS BIGINT) AS n_deviations, length * frequency AS n_events FROM aligned", **A)
 register("alignment_summary", "evt_log",
-         lambda log: rounded("mean_fitness")(conformance.alignment_summary(plans.alignment_report(log, _normative(log)))))
+         lambda log: rounded("mean_fitness")(conformance.alignment_summary(plans.alignment_report(log, _normative(log)))),
+         "SELECT round(avg(1 - cost / (length + shortest)), 6) AS mean_fitness, max(cost) AS max_cost FROM aligned", **A)
+
+
+def second_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The net of one log, the cases of users, replayed on another, the cases of days."""
+    net = nets.net_from_dfg(dfg.discover_dfg(user_log(spark, sf_dir)))
+    replayed = conformance.token_replay(conformance.log_traces(evt_log(spark, sf_dir)), net)
+    return replayed.select(
+        join_trace(F.col("trace")).alias("variant"), "frequency", "missing_tokens", "remaining_tokens",
+        "consumed_tokens", "produced_tokens")
+
+
+QUERIES["second_log"] = second_log
+_SECOND = {**q.replay_tables(1), "model_cases": "SELECT DISTINCT CASE_ID FROM other", "other": SQL["user_log"]}
+_SECOND["msteps"] = _SECOND["msteps"].replace("FROM log", "FROM other")
+ORACLE["second_log"] = with_log(
+    "evt_log", "SELECT variant, frequency, missing_tokens, remaining_tokens, consumed_tokens, produced_tokens FROM replayed",
+    **{"other": _SECOND.pop("other"), **_SECOND})
+
+# -- inductive discovery ------------------------------------------------------------------------------------
 register("inductive_tree", "conv_log",
          lambda log: inductive.discover_log_tree(log).to_table(log.sparkSession))
 register("inductive_tree_days", "evt_log",
@@ -506,12 +614,62 @@ register("inductive_net_quality", "conv_log",
              plans.generate_process_model(plans.EventLogView(log), "petri-net").quality_metrics()))
 
 
+register("inductive_leaves", "evt_log",
+         lambda log: inductive.discover_log_tree(log).to_table(log.sparkSession)
+         .where("activity IS NOT NULL").groupBy("activity").agg(F.count(F.lit(1)).alias("leaves")),
+         "SELECT DISTINCT ACTIVITY AS activity, 1 AS leaves FROM log")
+register("inductive_fits", "evt_log",
+         lambda log: conformance.token_replay(
+             conformance.log_traces(log), plans.normative_net_from_log(log, 0.0)).select(
+                 join_trace(F.col("trace")).alias("variant"), "frequency", "trace_fitness"),
+         f"SELECT string_agg(a, ' -> ' ORDER BY k) AS variant, n AS frequency, 1.0::DOUBLE AS trace_fitness FROM "
+         f"(SELECT t, n, unnest(t) AS a, unnest(range(len(t))) AS k FROM (SELECT t, count(*) AS n FROM "
+         f"(SELECT list(ACTIVITY ORDER BY {q.BY_END}) AS t FROM log GROUP BY CASE_ID) GROUP BY t)) GROUP BY t, n")
+
+
 def variant_net(log: DataFrame) -> DataFrame:
     """Net of the three first variants and of all traces written out by hand."""
     variants = cases.variants_table(log)
     chosen = variants.where(F.col("variant_id").isin("variant 1", "variant 2", "variant 3"))
     lines = variants.select(join_trace(F.col("trace")).alias("line"))
-    return plans.normative_net_from_variants(variants, chosen.select("variant_id"), lines).transitions
+    net = plans.normative_net_from_variants(variants, chosen.select("variant_id"), lines)
+    return net.transitions.where("label IS NOT NULL").select("label").distinct()
+
+
+register("variant_net", "conv_log", variant_net, "SELECT DISTINCT ACTIVITY AS label FROM log")
+
+# -- hot cases ------------------------------------------------------------------------------------------------
+HOT_EVENTS = 30
+
 
+def _with_hot_cases(query: Query) -> Query:
+    """The query planned as if cases of a few dozen events were hot: the route of large cases."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        spark.conf.set(session.HOT_CASE_EVENTS, str(HOT_EVENTS))
+        try:
+            return query(spark, sf_dir)
+        finally:
+            spark.conf.unset(session.HOT_CASE_EVENTS)
+    return run
 
-register("variant_net", "conv_log", variant_net)
+
+register("user_performance", "user_log", lambda log: rounded(*_FIGURES)(dfg.performance_edges(log)),
+         _PERFORMANCE.format(seconds="(epoch_us(reached) - epoch_us(END_TIMESTAMP)) / 1e6"), **G)
+register("user_cases_per_variant", "user_log", cases.cases_per_variant,
+         "SELECT variant_id, CASE_ID FROM traces JOIN variants USING (variant)", traces=q.TRACES, variants=q.VARIANTS)
+register("user_variant_events", "user_log", cases.variant_events,
+         "SELECT variant_id, cast(generate_subscripts(string_split(variant, '>'), 1) - 1 AS INTEGER) AS position, "
+         "unnest(string_split(variant, '>')) AS activity FROM variants", traces=q.TRACES, variants=q.VARIANTS)
+register("user_case_date_column", "user_log", lambda log: cases.with_case_date(log).select("EVENT_ID", "CASE_DATE"),
+         "SELECT EVENT_ID, cast(min(START_TIMESTAMP) OVER (PARTITION BY CASE_ID) AS DATE) AS CASE_DATE FROM log")
+register_filter("user_follows", [filters.DirectlyFollowsFilter("error", "view"),
+                                 filters.EventuallyFollowsFilter("click", "purchase")],
+                f"CASE_ID IN {q.directly('error', 'view')} AND CASE_ID IN {q.eventually('click', 'purchase')}",
+                log="user_log", **S)
+register("user_precision", "user_log",
+         lambda log: rounded("precision")(rating.dfg_precision(conformance.log_traces(log))),
+         q.PRECISION, **q.prefix_states(q.BY_END))
+for _name in ("user_case_variants", "user_variants_table", "user_cases_per_variant", "user_variant_events", "user_dfg_edges",
+              "user_performance", "user_case_date_column", "user_follows", "user_precision"):
+    QUERIES[f"hot_{_name}"] = _with_hot_cases(QUERIES[_name])
+    ORACLE[f"hot_{_name}"] = ORACLE[_name]

@@ -127,6 +127,41 @@ REPLAY_TABLES = {
 }
 
 
+# Cheapest alignments on the same net. One token walks from place to place, so a
+# state is a place, and the costs of all places form a list. ``dist`` counts model
+# moves between places; reading an event costs one, or nothing where a labelled
+# move is in reach of as many model moves as it takes.
+ALIGNMENT_TABLES = {
+    "places": "SELECT 'source' AS p UNION SELECT 'p:' || label FROM moves",
+    "hops": "SELECT DISTINCT input AS a, 'p:' || label AS b FROM moves",
+    "reach": "SELECT p AS r, p AS q, 0 AS d FROM places UNION SELECT r, b, d + 1 FROM reach JOIN hops ON q = a "
+             "WHERE d < (SELECT count(*) FROM places)",
+    "dist": "SELECT r, q, min(d) AS d FROM reach GROUP BY r, q",
+    "sync": "SELECT label, r, min(d) AS m FROM moves JOIN dist ON q = input GROUP BY label, r",
+    "syncs": "SELECT l.label, list(coalesce(m, 1e9) ORDER BY p) AS m, "
+             "list_position(list(p ORDER BY p), 'p:' || l.label) AS spot "
+             "FROM (SELECT DISTINCT label FROM moves) l CROSS JOIN places LEFT JOIN sync s "
+             "ON s.label = l.label AND s.r = p GROUP BY l.label",
+    "finish": "SELECT list(coalesce(m, 1e9) ORDER BY p) AS f, list(CASE WHEN p = 'source' THEN 0 ELSE 1e9 END "
+              "ORDER BY p) AS c0, min(m) FILTER (p = 'source') AS shortest FROM places LEFT JOIN "
+              "(SELECT r, min(d) AS m FROM dist, stops WHERE list_contains(stops, q) GROUP BY r) ON r = p",
+    "walk": """
+      SELECT t, frequency, 0 AS i, cast(c0 AS DOUBLE[]) AS c FROM runs, finish
+      UNION ALL
+      SELECT t, frequency, i + 1, list_transform(c, lambda x, k: CASE WHEN k = spot THEN least(x + 1, best) ELSE x + 1 END)
+      FROM (SELECT w.*, s.spot, list_min(list_transform(list_zip(w.c, s.m), lambda z: z[1] + z[2])) AS best
+            FROM walk w LEFT JOIN syncs s ON s.label = w.t[w.i + 1] WHERE w.i < len(w.t))""",
+    "aligned": "SELECT array_to_string(t, ' -> ') AS variant, frequency, len(t) AS length, "
+               "list_min(list_transform(list_zip(c, f), lambda z: z[1] + z[2])) AS cost, shortest "
+               "FROM walk, finish WHERE i = len(t)",
+}
+
+
+def alignment_tables(ranks: int) -> dict[str, str]:
+    return {**{k: v for k, v in replay_tables(ranks).items() if k not in ("game", "ended", "counted", "replayed")},
+            **ALIGNMENT_TABLES}
+
+
 def replay_tables(ranks: int) -> dict[str, str]:
     ids = ", ".join(f"'variant {k}'" for k in range(1, ranks + 1))
     tables = dict(REPLAY_TABLES)
