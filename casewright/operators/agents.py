@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import scale
 from ..functions import as_timestamp, combination_label, period_bucket, period_step, resource_tokens
 from ..schema import ACTIVITY, AGENT, CASE, END, EVENT, RESOURCE, START, require
 from .dfg import DirectlyFollowsGraph, discover_dfg
@@ -60,6 +61,8 @@ def resource_trend(log: DataFrame, freq: str = "D", top_n: int = 5) -> DataFrame
         .groupBy("period", "resource")
         .agg(F.count(F.lit(1)).alias("n"))
     )
+    # Three uses of a table of periods and resources: the log is read once.
+    counts = scale.checkpointed(counts)
     extent = counts.agg(F.min("period").alias("a"), F.max("period").alias("b"))
     top = (
         counts.groupBy("resource")
@@ -105,6 +108,7 @@ def activity_resource_counts(
         .groupBy(F.col(ACTIVITY).alias("activity"), "resource")
         .agg(F.count(F.lit(1)).alias("frequency"))
     )
+    cells = scale.checkpointed(cells)
     by_activity = cells.groupBy("activity").agg(F.sum("frequency").alias("activity_total"))
     by_resource = cells.groupBy("resource").agg(F.sum("frequency").alias("resource_total"))
     out = cells.join(by_activity, "activity").join(by_resource, "resource")
@@ -118,24 +122,29 @@ def activity_resource_counts(
 
 
 def activity_resource_matrix(
-    log: DataFrame, resources: Sequence[str], activities: Sequence[str] = ()
+    log: DataFrame, resources: Sequence[str] | None = None, activities: Sequence[str] = ()
 ) -> DataFrame:
-    """The matrix with one zero-filled column per named resource.
+    """The matrix with one zero-filled column per resource, rows by their totals.
 
-    Naming the columns saves the extra pass that would look for them.
+    Without ``resources`` there is a column for each resource in use, most used
+    first; their names, as many as the matrix is wide, are looked up in the counts.
     """
-    totals = F.sum("frequency").alias("activity_total")
     cells = exploded_resources(log).where(F.col(ACTIVITY).isNotNull())
     counted = cells.groupBy(F.col(ACTIVITY).alias("activity"), "resource").agg(
         F.count(F.lit(1)).alias("frequency")
     )
+    if resources is None:
+        counted = scale.checkpointed(counted)
+        used = counted.groupBy("resource").agg(F.sum("frequency").alias("n"))
+        ordered = used.orderBy(F.desc("n"), "resource").select("resource")
+        resources = [r["resource"] for r in scale.collect_bounded(ordered, "the width of the matrix")]
     if activities:
         counted = counted.where(F.col("activity").isin(list(activities)))
     picked = [
         F.coalesce(F.sum(F.when(F.col("resource") == r, F.col("frequency"))), F.lit(0)).alias(r)
         for r in resources
     ]
-    return counted.groupBy("activity").agg(totals, *picked).orderBy(
+    return counted.groupBy("activity").agg(F.sum("frequency").alias("activity_total"), *picked).orderBy(
         F.desc("activity_total"), "activity"
     )
 

@@ -78,7 +78,8 @@ def top_variants(log: DataFrame, top_n: int = 10, ignore_syst: bool = True) -> D
 
 def duration_describe(log: DataFrame) -> DataFrame:
     """count, mean, std, min, quartiles and max of case minutes, in one row."""
-    minutes = case_durations(log).select("minutes")
+    # One number per case, written once for the figures and the quartiles.
+    minutes = scale.checkpointed(case_durations(log).select("minutes"))
     figures = minutes.agg(
         F.count("minutes").alias("count"),
         F.avg("minutes").alias("mean"),
@@ -104,7 +105,7 @@ def duration_histogram(log: DataFrame, bins: int = BINS) -> DataFrame:
     falls into the first bin. If all cases last equally long, the range is
     widened by 0.1 % of that value to both sides instead.
     """
-    minutes = case_durations(log).select("minutes")
+    minutes = scale.checkpointed(case_durations(log).select("minutes"))
     extent = minutes.agg(F.min("minutes").alias("lo"), F.max("minutes").alias("hi"))
     flat = F.col("lo") == F.col("hi")
     pad = F.when(F.col("lo") == 0, 0.001).otherwise(F.abs("lo") * 0.001)

@@ -55,19 +55,27 @@ def _spread(traces: DataFrame) -> DataFrame:
     )
 
 
+# Traces whose results a task holds at a time.
+PIECE = 256
+
+
+def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for low in range(0, len(batch), PIECE):
+            yield batch.iloc[low : low + PIECE]
+
+
 def token_replay(traces: DataFrame, net: PetriNet, enabled: bool = False) -> DataFrame:
     """Token-based replay of ``(trace, frequency)`` rows."""
     shared = traces.sparkSession.sparkContext.broadcast(net_rows(net))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         game = playout.CompiledNet.build(*shared.value)
-        for batch in batches:
-            rows = [
+        for batch in _pieces(batches):
+            yield pd.DataFrame([
                 {"trace": t, "frequency": n, **playout.replay_trace(game, t, enabled)}
                 for t, n in zip(batch["trace"], batch["frequency"])
-            ]
-            if rows:
-                yield pd.DataFrame(rows)
+            ])
 
     return _spread(traces).mapInPandas(run, REPLAY)
 
@@ -84,7 +92,7 @@ def alignments(traces: DataFrame, net: PetriNet, cost_unit: float = 1.0) -> Data
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         game = playout.CompiledNet.build(*shared.value)
         shortest = playout.align_trace(game, ())
-        for batch in batches:
+        for batch in _pieces(batches):
             rows = []
             for t, n in zip(batch["trace"], batch["frequency"]):
                 found = playout.align_trace(game, t)
@@ -99,8 +107,7 @@ def alignments(traces: DataFrame, net: PetriNet, cost_unit: float = 1.0) -> Data
                         steps=[{"log": a, "model": b, "kind": k} for a, b, k in found[1]],
                     )
                 rows.append(row)
-            if rows:
-                yield pd.DataFrame(rows)
+            yield pd.DataFrame(rows)
 
     return _spread(traces).mapInPandas(run, ALIGNMENT)
 

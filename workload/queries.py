@@ -381,6 +381,8 @@ register("activity_resource_matrix", "evt_log",
          "SELECT ACTIVITY AS activity, count(*) AS activity_total, "
          + ", ".join(f"count(*) FILTER (WHERE resource = '{r}') AS {r}" for r in _CELLS)
          + " FROM res GROUP BY ACTIVITY", **R)
+QUERIES["activity_resource_matrix_found"] = lambda spark, sf_dir: agents.activity_resource_matrix(evt_log(spark, sf_dir))
+ORACLE["activity_resource_matrix_found"] = ORACLE["activity_resource_matrix"]
 _RES_LOG = dict(R, log2="SELECT CASE_ID, EVENT_ID, resource AS ACTIVITY, START_TIMESTAMP, END_TIMESTAMP, position FROM res")
 _RES_STEPS = ("SELECT *, lead(ACTIVITY) OVER w AS nxt, row_number() OVER w AS rn FROM log2 WINDOW w AS "
               "(PARTITION BY CASE_ID ORDER BY END_TIMESTAMP, START_TIMESTAMP, EVENT_ID, position)")
