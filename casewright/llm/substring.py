@@ -31,6 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,9 +44,9 @@ WIDTH = 20
 #: Prefix cells: so many bits of a hash of the first words.
 CELL_BITS = 12
 #: Suffixes that one task orders at a time.
-GROUP = 2_000_000
+GROUP = 1_000_000
 #: Bytes of text folded together before suffixes travel.
-FOLD = 24_000_000
+FOLD = 8_000_000
 
 
 def _suffixes(data, offsets, width):
@@ -53,12 +54,13 @@ def _suffixes(data, offsets, width):
     hashes, counts = word_hashes(data, offsets)
     runs = rolling(hashes, width)
     if not len(runs):
-        none = np.zeros(0, np.int64)
-        return none, none, runs, none
+        none = np.zeros(0, np.int32)
+        return none, none, runs, none.astype(np.int16)
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(counts))
     at = np.flatnonzero(text[: len(runs)] == text[width - 1 :])
     cell = rolling(hashes, 2)[at] >> np.uint64(64 - CELL_BITS)
-    return text[at], at - counts[text[at]], runs[at], cell.astype(np.int64)
+    place = (at - counts[text[at]]).astype(np.int32)
+    return text[at].astype(np.int32), place, runs[at], cell.astype(np.int16)
 
 
 def _count(width: int):
@@ -97,7 +99,7 @@ _UNPACK = zstandard.ZstdDecompressor()
 
 def _packed(hashes, ids, texts, at) -> bytes:
     """Suffixes in text order; all but the hashes are small steps."""
-    steps = [np.diff(x, prepend=np.int64(0)) for x in (ids, texts, at)]
+    steps = [np.diff(x.astype(np.int64), prepend=0) for x in (ids, texts, at)]
     return len(hashes).to_bytes(8, "little") + hashes.tobytes() + _PACK.compress(np.concatenate(steps).tobytes())
 
 
@@ -140,8 +142,8 @@ def _covers(ids, texts, at) -> list[tuple[int, int, bytes]]:
 def _fold(width: int, first: np.ndarray, spread: np.ndarray, groups: int):
     """Suffixes of the documents of a task, folded and packed for the groups."""
 
-    def one(batches: list[pa.RecordBatch], turn: int) -> pa.RecordBatch:
-        table = pa.Table.from_batches(batches).sort_by([("__id", "ascending"), ("__th", "ascending")])
+    def one(batch: pa.RecordBatch, turn: int) -> pa.RecordBatch:
+        table = pa.Table.from_batches([batch]).sort_by([("__id", "ascending"), ("__th", "ascending")])
         ids, texts = (table.column(c).to_numpy() for c in ("__id", "__th"))
         fresh = np.append(True, (ids[1:] != ids[:-1]) | (texts[1:] != texts[:-1]))
         ids, texts = ids[fresh], texts[fresh]
@@ -149,7 +151,7 @@ def _fold(width: int, first: np.ndarray, spread: np.ndarray, groups: int):
         parts = []
         for row, _, data, offsets in text_bytes(column):
             document, at, hashes, cell = _suffixes(data, offsets, width)
-            parts.append((document + row, at, hashes, cell))
+            parts.append((document + np.int32(row), at, hashes, cell))
         document, at, hashes, cell = (np.concatenate(x) for x in zip(*parts, strict=True))
         # Entries are in order of id and place, so the first index is the first start.
         head = _firsts(hashes)
@@ -174,18 +176,16 @@ def _fold(width: int, first: np.ndarray, spread: np.ndarray, groups: int):
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, turn = [], 0, None
+        turn = None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            size += batch.column(2).nbytes
-            turn = batch.column(1)[0].as_py() if turn is None else turn + 1
-            if size >= FOLD:
-                yield one(held, turn)
-                held, size = [], 0
-        if held:
-            yield one(held, turn)
+            ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy())
+            low = 0
+            while low < len(ends):
+                turn = batch.column(1)[0].as_py() if turn is None else turn + 1
+                most = FOLD + (ends[low - 1] if low else 0)
+                high = max(low + 1, int(np.searchsorted(ends, most, "right")))
+                yield one(batch.slice(low, high - low), turn)
+                low = high
 
     return run
 
