@@ -13,10 +13,11 @@ are covered by an earlier copy, and their words go.
 A task of the scan first folds the suffixes it has itself: of equal windows only
 the first one travels, the others are decided on the spot. A passage that a third
 of all documents share thus costs a suffix per task and not per document. Suffixes
-travel packed, some eight bytes each.
+travel packed, some nine bytes each.
 
-Windows are equal if their 64-bit hashes and prefix groups are. With n windows in
-a corpus some n * n / 4e19 pairs agree by chance: none in a billion windows.
+Windows are taken as equal if their prefix groups are and 56 bits of a hash. In a
+corpus of n windows and g groups, which grow with n, about n * n / (g * 1.4e17) pairs
+agree by chance: 0.002 for 128 million windows in 64 groups.
 
 Defined results: windows are judged on the input; a null text has no words and
 gives an empty text; null ids come after all others; rows that agree in id and
@@ -44,7 +45,7 @@ WIDTH = 20
 #: Prefix cells: so many bits of a hash of the first words.
 CELL_BITS = 12
 #: Suffixes that one task orders at a time.
-GROUP = 1_000_000
+GROUP = 2_000_000
 #: Bytes of text folded together before suffixes travel.
 FOLD = 8_000_000
 
@@ -98,15 +99,18 @@ _UNPACK = zstandard.ZstdDecompressor()
 
 
 def _packed(hashes, ids, texts, at) -> bytes:
-    """Suffixes in text order; all but the hashes are small steps."""
+    """Suffixes in text order: seven bytes of each hash, and the rest as small steps."""
+    short = np.ascontiguousarray(hashes).view(np.uint8).reshape(-1, 8)[:, :7]
     steps = [np.diff(x.astype(np.int64), prepend=0) for x in (ids, texts, at)]
-    return len(hashes).to_bytes(8, "little") + hashes.tobytes() + _PACK.compress(np.concatenate(steps).tobytes())
+    return len(hashes).to_bytes(8, "little") + short.tobytes() + _PACK.compress(np.concatenate(steps).tobytes())
 
 
 def _unpacked(blob: bytes) -> tuple[np.ndarray, ...]:
     n = int.from_bytes(blob[:8], "little")
-    rest = np.frombuffer(_UNPACK.decompress(blob[8 + 8 * n :]), np.int64).reshape(3, n)
-    return (np.frombuffer(blob, np.uint64, n, 8), *np.cumsum(rest, axis=1))
+    hashes = np.zeros((n, 8), np.uint8)
+    hashes[:, :7] = np.frombuffer(blob, np.uint8, 7 * n, 8).reshape(n, 7)
+    rest = np.frombuffer(_UNPACK.decompress(blob[8 + 7 * n :]), np.int64).reshape(3, n)
+    return (hashes.view(np.uint64).ravel(), *np.cumsum(rest, axis=1))
 
 
 def _firsts(hashes: np.ndarray) -> np.ndarray:
@@ -120,23 +124,20 @@ def _firsts(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _covers(ids, texts, at) -> list[tuple[int, int, bytes]]:
-    """Starts of later windows by document, as packed (first, last) runs.
+def _runs(ids, texts, at) -> np.ndarray:
+    """Window starts in order as runs: columns of (id, text, first, last) start."""
+    new = np.append(True, (ids[1:] != ids[:-1]) | (texts[1:] != texts[:-1]) | (at[1:] > at[:-1] + 1))
+    heads = np.flatnonzero(new) if len(at) else np.zeros(0, int)
+    tails = np.append(heads[1:], len(at)) - 1 if len(at) else heads
+    return np.stack([x.astype(np.int64) for x in (ids[heads], texts[heads], at[heads], at[tails])])
 
-    The entries must be ordered by document and place.
-    """
-    if not len(at):
-        return []
-    document = np.append(True, (ids[1:] != ids[:-1]) | (texts[1:] != texts[:-1]))
-    heads = np.flatnonzero(document | np.append(True, at[1:] != at[:-1] + 1))
-    tails = np.append(heads[1:], len(at)) - 1
-    pairs = np.stack([at[heads], at[tails]], axis=1).astype(np.int32)
-    cuts = np.flatnonzero(document[heads])
-    ends = np.append(cuts[1:], len(heads))
-    return [
-        (int(ids[heads[a]]), int(texts[heads[a]]), pairs[a:b].tobytes())
-        for a, b in zip(cuts.tolist(), ends.tolist(), strict=True)
-    ]
+
+def _pack_runs(runs: np.ndarray) -> bytes:
+    return _PACK.compress(np.ascontiguousarray(np.diff(runs, axis=1, prepend=0)).tobytes())
+
+
+def _unpack_runs(blob: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(_UNPACK.decompress(blob), np.int64).reshape(4, -1), axis=1)
 
 
 def _fold(width: int, first: np.ndarray, spread: np.ndarray, groups: int):
@@ -158,8 +159,8 @@ def _fold(width: int, first: np.ndarray, spread: np.ndarray, groups: int):
         owner = ids[document]
         later = (owner > owner[head]) | ((owner == owner[head]) & (at > at[head]))
         gone = np.flatnonzero(later)
-        known = _covers(owner[gone], texts[document[gone]], at[gone])
-        rows = [(turn % groups, False, a, b, c) for a, b, c in known]
+        known = _runs(owner[gone], texts[document[gone]], at[gone])
+        rows = [(turn % groups, False, _pack_runs(known))] if known.shape[1] else []
         stay = np.flatnonzero(~later)
         cell, hashes = cell[stay], hashes[stay]
         group = first[cell] + ((mix64(hashes) >> np.uint64(1)).astype(np.int64) % spread[cell])
@@ -168,11 +169,11 @@ def _fold(width: int, first: np.ndarray, spread: np.ndarray, groups: int):
         for g in np.flatnonzero(np.diff(cuts)).tolist():
             mine = order[cuts[g] : cuts[g + 1]]
             doc = document[stay[mine]]
-            rows.append((g, True, 0, 0, _packed(hashes[mine], ids[doc], texts[doc], at[stay[mine]])))
-        columns = list(zip(*rows, strict=True)) or [()] * 5
+            rows.append((g, True, _packed(hashes[mine], ids[doc], texts[doc], at[stay[mine]])))
+        group, packed, blobs = list(zip(*rows, strict=True)) or [()] * 3
         return pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()), strict=True)],
-            ["group", "packed", "__id", "__th", "blob"],
+            [pa.array(group, pa.int64()), pa.array(packed, pa.bool_()), pa.array(blobs, pa.binary())],
+            ["group", "packed", "blob"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,25 +191,55 @@ def _fold(width: int, first: np.ndarray, spread: np.ndarray, groups: int):
     return run
 
 
-def _later(rows: pd.DataFrame) -> pd.DataFrame:
-    """The later occurrences among the suffixes of a group."""
-    packed = rows["packed"].to_numpy().astype(bool)
-    known = rows.loc[~packed, ["__id", "__th", "blob"]]
-    parts = [_unpacked(x) for x in rows.loc[packed, "blob"]]
-    if not parts:
-        return known
-    hashes, ids, texts, at = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.argsort(hashes)
-    ordered = hashes[order]
-    same = np.append(False, ordered[1:] == ordered[:-1])
-    shared = order[same | np.append(same[1:], False)]
-    hashes, ids, texts, at = (x[shared] for x in (hashes, ids, texts, at))
-    order = np.lexsort((at, texts, ids))
-    hashes, ids, texts, at = (x[order] for x in (hashes, ids, texts, at))
-    head = _firsts(hashes)
-    gone = np.flatnonzero((ids > ids[head]) | ((ids == ids[head]) & (at > at[head])))
-    found = _covers(ids[gone], texts[gone], at[gone])
-    return pd.concat([known, pd.DataFrame(found, columns=["__id", "__th", "blob"])])
+def _later(buckets: int):
+    """The later occurrences among the suffixes of a group, packed by document."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        packed = rows["packed"].to_numpy().astype(bool)
+        runs = [_unpack_runs(x) for x in rows.loc[~packed, "blob"]]
+        parts = [_unpacked(x) for x in rows.loc[packed, "blob"]]
+        if parts:
+            hashes, ids, texts, at = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.argsort(hashes)
+            ordered = hashes[order]
+            same = np.append(False, ordered[1:] == ordered[:-1])
+            shared = order[same | np.append(same[1:], False)]
+            hashes, ids, texts, at = (x[shared] for x in (hashes, ids, texts, at))
+            order = np.lexsort((at, texts, ids))
+            hashes, ids, texts, at = (x[order] for x in (hashes, ids, texts, at))
+            head = _firsts(hashes)
+            gone = np.flatnonzero((ids > ids[head]) | ((ids == ids[head]) & (at > at[head])))
+            runs.append(_runs(ids[gone], texts[gone], at[gone]))
+        found = np.concatenate(runs, axis=1)
+        bucket = (mix64(found[0].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((found[2], found[1], found[0], bucket))
+        found, bucket = found[:, order], bucket[order]
+        cuts = np.searchsorted(bucket, np.arange(buckets + 1))
+        used = np.flatnonzero(np.diff(cuts)).tolist()
+        return pd.DataFrame({
+            "bucket": np.array(used, np.int64),
+            "blob": [_pack_runs(found[:, cuts[k] : cuts[k + 1]]) for k in used],
+        })
+
+    return run
+
+
+def _by_document(rows: pd.DataFrame) -> pd.DataFrame:
+    """One row per document with its covered starts, as packed (first, last) pairs."""
+    ids, texts, first, last = np.concatenate([_unpack_runs(x) for x in rows["blob"]], axis=1)
+    order = np.lexsort((first, texts, ids))
+    ids, texts, first, last = (x[order] for x in (ids, texts, first, last))
+    document = np.append(True, (ids[1:] != ids[:-1]) | (texts[1:] != texts[:-1]))
+    # Runs of different groups touch but do not overlap.
+    heads = np.flatnonzero(document | np.append(True, first[1:] > last[:-1] + 1))
+    tails = np.append(heads[1:], len(first)) - 1
+    pairs = np.stack([first[heads], last[tails]], axis=1).astype(np.int32)
+    cuts = np.flatnonzero(document[heads])
+    ends = np.append(cuts[1:], len(heads)).tolist()
+    return pd.DataFrame({
+        "__id": ids[heads[cuts]], "__th": texts[heads[cuts]],
+        "covers": [pairs[a:b].tobytes() for a, b in zip(cuts.tolist(), ends, strict=True)],
+    })
 
 
 def _cut(width: int):
@@ -219,7 +250,7 @@ def _cut(width: int):
                 parts = (text.as_py() or "").encode().split()
                 totals.append(len(parts))
                 if covers.is_valid:
-                    runs = np.frombuffer(b"".join(covers.as_py()), np.int32).reshape(-1, 2)
+                    runs = np.frombuffer(covers.as_py(), np.int32).reshape(-1, 2)
                     step = np.zeros(len(parts) + 1, np.int64)
                     np.add.at(step, runs[:, 0], 1)
                     np.add.at(step, runs[:, 1] + width, -1)
@@ -237,18 +268,21 @@ def _cut(width: int):
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, group: int = GROUP) -> DataFrame:
     """``(doc_id, n_words, n_removed, text)``; text: the kept words, one space apart."""
-    keyed = docs.select("doc_id", *document_key(), "text")
+    number, digest = document_key()
+    # Ids tell documents apart; the digest does so for rows that share one.
+    keyed = docs.select("doc_id", number, F.pmod(digest, F.lit(2**32)).alias("__th"), "text")
+    parts = shuffle_partitions(docs.sparkSession)
     # One row per cell: 4,096 at most.
     tally = keyed.select("text").mapInArrow(_count(width), "cell bigint, n bigint")
     counts = np.zeros(1 << CELL_BITS, np.int64)
     for cell, n in tally.groupBy("cell").agg(F.sum("n")).collect():
         counts[cell] = n
-    plan = plan_groups(counts, group, shuffle_partitions(docs.sparkSession))
+    plan = plan_groups(counts, group, parts)
     suffixes = keyed.select("__id", "__th", "text").mapInArrow(
-        _fold(width, *plan), "group bigint, packed boolean, __id bigint, __th bigint, blob binary"
+        _fold(width, *plan), "group bigint, packed boolean, blob binary"
     )
-    covers = suffixes.groupBy("group").applyInPandas(_later, "__id bigint, __th bigint, blob binary")
-    merged = covers.groupBy("__id", "__th").agg(F.collect_list("blob").alias("covers"))
+    later = suffixes.groupBy("group").applyInPandas(_later(parts), "bucket bigint, blob binary")
+    merged = later.groupBy("bucket").applyInPandas(_by_document, "__id bigint, __th bigint, covers binary")
     return (
         keyed.join(merged.hint("shuffle_hash"), ["__id", "__th"], "left")
         .select("doc_id", "text", "covers")
