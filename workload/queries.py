@@ -605,10 +605,28 @@ ORACLE["second_log"] = with_log(
     **{"other": _SECOND.pop("other"), **_SECOND})
 
 # -- inductive discovery ------------------------------------------------------------------------------------
-register("inductive_tree", "conv_log",
-         lambda log: inductive.discover_log_tree(log).to_table(log.sparkSession))
+# Where every activity follows every other one, starts cases, ends cases and is missing
+# from some, the tree is a parallel of optional loops: nodes by level, activities by name.
+_FLOWER = """SELECT * FROM (
+  SELECT 0::BIGINT AS node, NULL::BIGINT AS parent, 0 AS ordinal, '+' AS operator, NULL::VARCHAR AS activity
+  UNION ALL SELECT 1 + i, 0, i, 'X', NULL FROM acts
+  UNION ALL SELECT 1 + n + 2 * i, 1 + i, 0, 'tau', NULL FROM acts
+  UNION ALL SELECT 2 + n + 2 * i, 1 + i, 1, '*', NULL FROM acts
+  UNION ALL SELECT 1 + 3 * n + 2 * i, 2 + n + 2 * i, 0, 'activity', a FROM acts
+  UNION ALL SELECT 2 + 3 * n + 2 * i, 2 + n + 2 * i, 1, 'tau', NULL FROM acts)
+WHERE (SELECT count(*) FROM flows) = (SELECT any_value(n * n + 2 * n) FROM acts)"""
 register("inductive_tree_days", "evt_log",
-         lambda log: inductive.discover_log_tree(log).to_table(log.sparkSession))
+         lambda log: inductive.discover_log_tree(log).to_table(log.sparkSession), _FLOWER, **G,
+         acts="SELECT ACTIVITY AS a, row_number() OVER (ORDER BY ACTIVITY) - 1 AS i, count(*) OVER () AS n "
+              "FROM (SELECT DISTINCT ACTIVITY FROM log)")
+# Conversations open with an optional first role; the other two take turns, again and again.
+register("inductive_tree", "conv_log",
+         lambda log: inductive.discover_log_tree(log).to_table(log.sparkSession),
+         "SELECT v.node::BIGINT AS node, v.parent::BIGINT AS parent, v.ordinal, v.operator, r.a AS activity FROM (VALUES "
+         "(0, NULL, 0, '->', NULL), (1, 0, 0, 'X', NULL), (2, 0, 1, '*', NULL), (3, 1, 0, 'tau', NULL), "
+         "(4, 1, 1, 'activity', 1), (5, 2, 0, '->', NULL), (6, 2, 1, 'tau', NULL), (7, 5, 0, 'activity', 2), "
+         "(8, 5, 1, 'activity', 3)) v(node, parent, ordinal, operator, k) LEFT JOIN roles r ON r.k = v.k",
+         roles="SELECT ACTIVITY AS a, row_number() OVER (ORDER BY min(EVENT_ID), count(*)) AS k FROM log GROUP BY ACTIVITY")
 register("inductive_net", "conv_log",
          lambda log: plans.normative_net_from_log(log).arcs)
 register("inductive_net_quality", "conv_log",
