@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import scale
 from ..functions import as_timestamp, period_bucket, period_step
 from ..schema import ACTIVITY, CASE, START, require
-from .cases import case_durations, variants_table
+from .cases import case_durations, first_variants, variants_table
 
 BINS = 10
 
@@ -64,16 +64,18 @@ def distinct_activities(log: DataFrame) -> DataFrame:
     )
 
 
+def _frame_order() -> list:
+    return [F.desc("frequency"), "length", "variant_id"]
+
+
 def variant_frames(log: DataFrame, ignore_syst: bool = True) -> DataFrame:
     """All variants: frequent first, then short, then by id as text."""
-    return variants_table(log, ignore_syst).select(
-        "variant_id", "variant", "frequency", "length"
-    ).orderBy(F.desc("frequency"), "length", "variant_id")
+    return variants_table(log, ignore_syst).drop("trace").orderBy(*_frame_order())
 
 
 def top_variants(log: DataFrame, top_n: int = 10, ignore_syst: bool = True) -> DataFrame:
     """The first ``top_n`` rows of :func:`variant_frames`."""
-    return variant_frames(log, ignore_syst).limit(top_n)
+    return first_variants(log, top_n, _frame_order(), ignore_syst)
 
 
 def duration_describe(log: DataFrame) -> DataFrame:

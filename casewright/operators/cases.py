@@ -111,6 +111,29 @@ def variants_table(
     )
 
 
+def first_variants(
+    log: DataFrame,
+    n: int,
+    by: list[Column | str],
+    ignore_syst: bool = False,
+    joiner: str = ">",
+    order: EventOrder = BY_START,
+) -> DataFrame:
+    """The first ``n`` variants in any order of their figures, without their traces' array.
+
+    All variants are ranked by their figures alone; only the ``n`` that are wanted are
+    written out, from one case each.
+    """
+    found = CaseGroups.of(log, ignore_syst, order)
+    few = scale.checkpointed(_ranked(found.groups.drop("trace")).orderBy(*by).limit(n))
+    chosen = F.broadcast(few.select(F.col("first_case").alias(CASE)))
+    traces = case_traces(found.log.join(chosen, CASE, "left_semi"), order)
+    written = few.join(traces.withColumnRenamed(CASE, "first_case"), "first_case")
+    return written.select(
+        "variant_id", join_trace(F.col("trace"), joiner).alias("variant"), "frequency", "length"
+    ).orderBy(*by)
+
+
 def variant_events(
     log: DataFrame, ignore_syst: bool = False, order: EventOrder = BY_START
 ) -> DataFrame:
