@@ -9,6 +9,7 @@ rounds are as many as the tree is deep.
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,8 +38,8 @@ def discover_tree(traces: DataFrame, noise_threshold: float = DEFAULT_NOISE) ->
 
     A cut is looked for in the full flow graph and then in the one without flows
     below ``noise_threshold`` times the strongest of their kind. Without a cut,
-    the activity occurring once per trace, a silent restart, or finally a model
-    allowing everything is used.
+    the activity occurring once per trace, one without which the rest has a cut, a
+    silent restart, or finally a model allowing everything is used.
     """
     if not 0.0 <= noise_threshold <= 1.0:
         raise ValueError("noise_threshold lies between 0 and 1")
@@ -53,7 +54,7 @@ def discover_tree(traces: DataFrame, noise_threshold: float = DEFAULT_NOISE) ->
         routes: list[tuple] = []
         for node in open_nodes:
             flow = summaries.get(node, FlowSummary())
-            route = _decide(tree, node, flow, noise_threshold)
+            route = _decide(tree, node, flow, noise_threshold, lambda acts, n=node: _without_each(sub, n, acts))
             if route:
                 routes.append(route)
         open_nodes = [child for r in routes for child in r[2]]
@@ -121,9 +122,29 @@ def _summaries(sub: DataFrame) -> dict[int, FlowSummary]:
     return found
 
 
+def _without_each(sub: DataFrame, node: int, acts: list[str]) -> dict[int, FlowSummary]:
+    """Flow counts of one sub-log without the first activity, the second, and so on.
+
+    One more pass over the sub-log, needed only where it has no cut.
+    """
+    each = F.array(*[F.struct(F.lit(i).cast("bigint").alias("left_out"), F.lit(a).alias("gone")) for i, a in enumerate(acts)])
+    rows = sub.where(F.col("node") == node).select("trace", "frequency", F.inline(each))
+    kept = F.filter("trace", lambda x: x != F.col("gone"))
+    return _summaries(rows.select(F.col("left_out").alias("node"), kept.alias("trace"), "frequency"))
+
+
 # -- deciding -----------------------------------------------------------------------
-def _decide(tree: ProcessTree, node: int, flow: FlowSummary, noise: float) -> tuple | None:
-    """Settle ``node``: a leaf (None) or an operator and the route of its traces."""
+def _decide(
+    tree: ProcessTree,
+    node: int,
+    flow: FlowSummary,
+    noise: float,
+    without: Callable[[list[str]], dict[int, FlowSummary]],
+) -> tuple | None:
+    """Settle ``node``: a leaf (None) or an operator and the route of its traces.
+
+    ``without`` counts the flows of the sub-log with each activity left out in turn.
+    """
     acts = flow.activities
     if not acts:
         tree.leaf(node, None)
@@ -149,6 +170,15 @@ def _decide(tree: ProcessTree, node: int, flow: FlowSummary, noise: float) -> tu
     if solo is not None and len(acts) > 1:
         alone, rest = tree.inner(node, PARALLEL, 2)
         return _route(node, PROJECT, [alone, rest], {a: alone if a == solo else rest for a in acts})
+    if len(acts) > 2:
+        # An activity without which the others can be cut runs beside them.
+        rest_of = without(acts)
+        beside = next(
+            (a for i, a in enumerate(acts) if i in rest_of and find_cut(rest_of[i], rest_of[i].activities)), None
+        )
+        if beside is not None:
+            alone, rest = tree.inner(node, PARALLEL, 2)
+            return _route(node, PROJECT, [alone, rest], {a: alone if a == beside else rest for a in acts})
     strict = any(a in flow.ends and b in flow.starts for a, b in flow.edges)
     loose = any(b in flow.starts for _, b in flow.edges)
     if strict or loose:

@@ -150,6 +150,9 @@ TREES = [
     ([("a a a", 1), ("a", 1)], "*('a', tau)"),
     ([("a b c d", 3), ("a c b d", 4), ("a e d", 1)], "->('a', X(+('b', 'c'), 'e'), 'd')"),
     ([("a b", 2), ("a b a b", 2)], "*(->('a', 'b'), tau)"),
+    # Only without x is there a cut.
+    ([("a c", 1), ("b c", 1), ("b c x x", 1), ("x a b", 1)],
+     "+(X(tau, *('x', tau)), ->(X(tau, 'a'), X(tau, 'b'), X(tau, 'c')))"),
 ]
 
 
