@@ -25,6 +25,8 @@ HEADLINE = (
     "log_overview", "duration_describe", "duration_histogram", "events_weekly", "resource_counts",
     "resource_trend_weekly", "activity_resource_matrix", "resource_dfg", "user_variants_table",
     "quality_metrics", "token_replay", "replay_report", "alignment_report", "inductive_tree",
+    # The route of cases too large for a task.
+    "hot_user_dfg_edges", "hot_user_variants_table", "hot_user_follows",
 )
 
 
