@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..scale import checkpointed, shuffle_partitions
 
 __all__ = [
-    "WORD", "carried", "checkpointed", "components", "document_key", "lowered", "mix64", "numbered",
+    "WORD", "carried", "checkpointed", "components", "computed", "document_key", "lowered", "mix64", "numbered",
     "restored", "rolling", "shuffle_partitions", "span_hashes", "text_bytes", "word_hashes", "words",
 ]
 
@@ -46,6 +46,17 @@ def restored(df: DataFrame, columns: list[str], *names: str) -> DataFrame:
     return df.select(*[F.col(c) if c in names else F.col("__rest")[c].alias(c) for c in columns])
 
 
+def computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns by a generator, so that they are computed once per row.
+
+    An array that other expressions use inside a lambda has to be a column in its own
+    right: were its expression merged into theirs, as happens to plain projections
+    below a filter, it would be computed again for every element.
+    """
+    row = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.select("*", F.inline(F.array(row)))
+
+
 def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """Add a row number over the whole of ``df`` without sorting in one task.
 

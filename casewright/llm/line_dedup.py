@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, document_key
+from .common import checkpointed, computed, document_key
 
 WINDOW = 3
 
@@ -84,15 +84,12 @@ def dedup_lines(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     # Places of non-blank lines; those not covered are kept along with blank ones.
     everything = F.sequence(F.lit(0), F.size("__l") - 1)
     solid = F.filter(everything, lambda i: _solid(F.get("__l", i)))
+    split = computed(lines, __l=_lines())
+    cut = computed(split, __cover=covered, __solid=F.when(F.col("__starts").isNotNull(), solid))
     gone = F.transform("__cover", lambda i: F.get("__solid", i))
-    cut = (
-        lines.withColumn("__l", _lines())
-        .withColumn("__cover", covered)
-        .withColumn("__solid", F.when(F.col("__starts").isNotNull(), solid))
-        .withColumn("__kept", F.array_except(everything, gone))
-    )
+    kept = F.array_except(everything, gone)
     text = F.when(F.col("__starts").isNull(), F.col("text")).otherwise(
-        F.array_join(F.transform("__kept", lambda i: F.get("__l", i)), "\n")
+        F.array_join(F.transform(kept, lambda i: F.get("__l", i)), "\n")
     )
     lost = F.coalesce(F.size("__cover"), F.lit(0))
     return (
