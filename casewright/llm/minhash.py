@@ -259,7 +259,9 @@ def _within_stars(compared: DataFrame, percent: int) -> DataFrame:
         "p", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
         "x", "n", "diff", "linked",
     )
-    return tiles.groupBy("p", "i", "j").applyInPandas(_tile(percent), "a bigint, b bigint")
+    # By all three keys: the rows come dealt by pivot, which keeps a star in one task.
+    dealt = tiles.repartition("p", "i", "j")
+    return dealt.groupBy("p", "i", "j").applyInPandas(_tile(percent), "a bigint, b bigint")
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
