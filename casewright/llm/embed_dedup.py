@@ -129,8 +129,10 @@ def near_vectors(vectors: DataFrame, limit: float = LIMIT, block: int = BLOCK) -
     tiles = spread.select("vec_id", "embedding", "label", "dim", "block", other).withColumns(
         {"i": F.least("block", "other"), "j": F.greatest("block", "other")}
     )
+    # By all keys: the rows may come dealt by label, which keeps a label in one task.
+    dealt = tiles.repartition("label", "dim", "i", "j")
     found = checkpointed(
-        tiles.groupBy("label", "dim", "i", "j").applyInPandas(_tile(limit), "vec_id bigint, links bigint, root bigint")
+        dealt.groupBy("label", "dim", "i", "j").applyInPandas(_tile(limit), "vec_id bigint, links bigint, root bigint")
     )
     links = found.groupBy("vec_id").agg(F.sum("links").alias("n_links"))
     joined = components(found.where("root <> vec_id"), "root", "vec_id")
