@@ -57,8 +57,10 @@ def is_true(c: Column) -> Column:
 
 
 # -- time ---------------------------------------------------------------------
-# A time of day followed by an offset from UTC.
-OFFSET = r"\d:\d{2}(?::\d{2}(?:\.\d+)?)?\s*(?:Z|UTC|[+-]\d{2}(?::?\d{2})?)$"
+def has_offset(text: Column) -> Column:
+    """Whether a trimmed timestamp ends in an offset from UTC, told by what follows the date."""
+    time = F.substring(text, 11, 64)
+    return time.contains("+") | time.contains("-") | time.endswith("Z") | time.endswith("UTC")
 
 
 def utc(instant: Column) -> Column:
@@ -83,7 +85,7 @@ def parse_timestamp(text: Column, strict: bool, pattern: str | None = None) -> C
         instant, plain = trimmed.cast("timestamp"), text.cast("timestamp_ntz")
     else:
         instant, plain = trimmed.try_cast("timestamp"), text.try_cast("timestamp_ntz")
-    return F.when(trimmed.rlike(OFFSET), utc(instant)).otherwise(plain)
+    return F.when(has_offset(trimmed), utc(instant)).otherwise(plain)
 
 
 def as_timestamp(log: DataFrame, name: str, strict: bool = False, pattern: str | None = None) -> Column:
