@@ -57,10 +57,8 @@ def is_true(c: Column) -> Column:
 
 
 # -- time ---------------------------------------------------------------------
-def has_offset(text: Column) -> Column:
-    """Whether a trimmed timestamp ends in an offset from UTC, told by what follows the date."""
-    time = F.substring(text, 11, 64)
-    return time.contains("+") | time.contains("-") | time.endswith("Z") | time.endswith("UTC")
+# A time of day followed by an offset from UTC.
+OFFSET = r"\d:\d{2}(?::\d{2}(?:\.\d+)?)?\s*(?:Z|UTC|[+-]\d{2}(?::?\d{2})?)\s*$"
 
 
 def utc(instant: Column) -> Column:
@@ -68,13 +66,16 @@ def utc(instant: Column) -> Column:
     return F.convert_timezone(F.current_timezone(), F.lit("UTC"), instant.cast("timestamp_ntz"))
 
 
-def parse_timestamp(text: Column, strict: bool, pattern: str | None = None) -> Column:
+def parse_timestamp(
+    text: Column, strict: bool, pattern: str | None = None, written: Column | None = None
+) -> Column:
     """Text as UTC wall-clock time, ``timestamp_ntz``.
 
     Text that carries an offset is an instant and moves to UTC; text without one is
     taken as it stands. Strict parsing fails the job on a malformed value, lenient
     parsing yields null. ``pattern`` is a Spark datetime pattern; without one, ISO
-    dates and times are read.
+    dates and times are read. ``written`` is the text before it was tidied, where that is
+    cheaper to look at.
     """
     if pattern is not None:
         instant = F.to_timestamp(text, pattern) if strict else F.try_to_timestamp(text, F.lit(pattern))
@@ -85,7 +86,7 @@ def parse_timestamp(text: Column, strict: bool, pattern: str | None = None) -> C
         instant, plain = trimmed.cast("timestamp"), text.cast("timestamp_ntz")
     else:
         instant, plain = trimmed.try_cast("timestamp"), text.try_cast("timestamp_ntz")
-    return F.when(has_offset(trimmed), utc(instant)).otherwise(plain)
+    return F.when((text if written is None else written).rlike(OFFSET), utc(instant)).otherwise(plain)
 
 
 def as_timestamp(log: DataFrame, name: str, strict: bool = False, pattern: str | None = None) -> Column:

@@ -23,7 +23,7 @@ def clean_log(log: DataFrame, pattern: str | None = None) -> DataFrame:
     fields = {c: blank_to_null(F.col(c)) for c in (CASE, ACTIVITY)}
     for c in (START, END):
         if kinds[c] == "string":
-            fields[c] = parse_timestamp(blank_to_null(F.col(c)), True, pattern)
+            fields[c] = parse_timestamp(blank_to_null(F.col(c)), True, pattern, F.col(c))
         else:
             fields[c] = as_timestamp(log, c, strict=True)
     return log.drop(DERIVED_COLUMN).withColumns(fields).dropna("any", subset=list(REQUIRED))
