@@ -176,28 +176,42 @@ def _hash(text: str) -> int:
     return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=7).digest(), "little")
 
 
+#: Stands for the pages of a slot that was seen on ``SUPPORT`` different ones.
+ENOUGH = frozenset(range(SUPPORT))
+
+
+def _either(a: frozenset[int], b: frozenset[int]) -> frozenset[int]:
+    """Different pages of two slots, as far as they need to be told apart."""
+    if a is b or a is ENOUGH or b is ENOUGH:
+        return b if b is ENOUGH else a
+    both = a | b
+    return both if len(both) < SUPPORT else ENOUGH
+
+
 class Wrapper:
-    """Merged tree of pages: pages seen, texts on all of them, children.
+    """Merged tree of pages: different pages seen, texts on all of them, children.
 
-    ``nodes`` are the elements of the one page that a fresh tree comes from.
+    Copies of a page count once in every slot. ``nodes`` are the elements of the one
+    page that a fresh tree comes from.
     """
 
-    __slots__ = ("label", "pages", "common", "kids", "shape", "nodes")
+    __slots__ = ("label", "seen", "common", "kids", "shape", "nodes")
 
-    def __init__(self, label: str, pages: int, common: set[int], kids: list[Wrapper], nodes: list[Node] = ()):
-        self.label, self.pages, self.common, self.kids, self.nodes = label, pages, common, kids, nodes
+    def __init__(self, label: str, seen: frozenset[int], common: set[int], kids: list[Wrapper], nodes: list[Node] = ()):
+        self.label, self.seen, self.common, self.kids, self.nodes = label, seen, common, kids, nodes
         self.shape = f"{label}({','.join(k.shape for k in kids)})"
 
     def to_list(self) -> list:
-        return [self.label, self.pages, sorted(self.common), [k.to_list() for k in self.kids]]
+        seen = [] if self.seen is ENOUGH else sorted(self.seen)
+        return [self.label, seen, sorted(self.common), [k.to_list() for k in self.kids]]
 
     @classmethod
     def of_list(cls, x: list) -> Wrapper:
-        return cls(x[0], x[1], set(x[2]), [cls.of_list(k) for k in x[3]])
+        return cls(x[0], frozenset(x[1]) or ENOUGH, set(x[2]), [cls.of_list(k) for k in x[3]])
 
 
-def folded(nodes: list[Node]) -> Wrapper:
-    """Like siblings as one node, with all they hold."""
+def folded(nodes: list[Node], seen: frozenset[int]) -> Wrapper:
+    """Like siblings as one node, with all they hold; seen: the page."""
     texts = {_hash(p) for n in nodes for p in n.parts if isinstance(p, str)}
     runs: list[list[Node]] = []
     for p in (p for n in nodes for p in n.parts if isinstance(p, Node)):
@@ -205,7 +219,7 @@ def folded(nodes: list[Node]) -> Wrapper:
             runs[-1].append(p)
         else:
             runs.append([p])
-    return Wrapper(nodes[0].label, 1, texts, [folded(run) for run in runs], nodes)
+    return Wrapper(nodes[0].label, seen, texts, [folded(run, seen) for run in runs], nodes)
 
 
 def aligned(a: Wrapper, b: Wrapper) -> tuple[int, list[tuple[int, int]]]:
@@ -244,32 +258,30 @@ def merged(a: Wrapper, b: Wrapper) -> Wrapper:
         if x < len(a.kids):
             kids.append(merged(a.kids[x], b.kids[y]))
         i, j = x + 1, y + 1
-    return Wrapper(a.label, a.pages + b.pages, a.common & b.common, kids)
+    return Wrapper(a.label, _either(a.seen, b.seen), a.common & b.common, kids)
 
 
 class Host:
-    """A wrapper and a few different pages of its host."""
+    """The wrapper of a host's pages."""
 
-    def __init__(self, wrapper: Wrapper, seen: set[int]):
-        self.wrapper, self.seen = wrapper, seen
+    def __init__(self, wrapper: Wrapper):
+        self.wrapper = wrapper
 
     @classmethod
     def of_page(cls, page: str) -> Host:
-        return cls(folded([parse(page)]), {_hash(page)})
+        return cls(folded([parse(page)], frozenset([_hash(page)])))
 
     def add(self, other: Host) -> None:
-        if len(self.seen | other.seen) == len(self.seen) == 1:
+        if self.wrapper.seen == other.wrapper.seen and len(self.wrapper.seen) == 1:
             return  # the same page again
         self.wrapper = merged(self.wrapper, other.wrapper)
-        self.seen = set(sorted(self.seen | other.seen)[:SUPPORT])
 
     def dumps(self) -> bytes:
-        return json.dumps([self.wrapper.to_list(), sorted(self.seen)]).encode()
+        return json.dumps(self.wrapper.to_list()).encode()
 
     @classmethod
     def loads(cls, data: bytes) -> Host:
-        wrapper, seen = json.loads(data)
-        return cls(Wrapper.of_list(wrapper), set(seen))
+        return cls(Wrapper.of_list(json.loads(data)))
 
 
 def _aside(node: Node, inside: bool) -> bool:
@@ -306,13 +318,13 @@ def main_text(page: str, host: Host | None) -> str:
     chosen: set[int] = set()
     for tag in ("article", "main"):
         chosen = chosen or {id(n) for n in _regions(root, tag)}
-    known = host is not None and len(host.seen) >= SUPPORT
-    slots = _slots(folded([root]), host.wrapper, {}) if known else {}
+    known = host is not None and host.wrapper.seen is ENOUGH
+    slots = _slots(folded([root], ENOUGH), host.wrapper, {}) if known else {}
     out: list[str] = []
 
     def walk(node: Node, inside: bool) -> None:
         slot = slots.get(id(node))
-        template = slot.common if slot is not None and slot.pages >= SUPPORT else ()
+        template = slot.common if slot is not None and slot.seen is ENOUGH else ()
         for p in node.parts:
             if isinstance(p, Node):
                 here = inside or id(p) in chosen
@@ -348,7 +360,7 @@ def _induce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _merge(rows: pd.DataFrame) -> pd.DataFrame:
     parts = [Host.loads(x) for x in rows["wrapper"]]
-    parts.sort(key=lambda h: (-h.wrapper.pages, h.wrapper.shape))
+    parts.sort(key=lambda h: (-len(h.wrapper.seen), -len(h.wrapper.shape), h.wrapper.shape))
     for other in parts[1:]:
         parts[0].add(other)
     return pd.DataFrame({"host": [rows["host"].iloc[0]], "wrapper": [parts[0].dumps()]})

@@ -81,6 +81,21 @@ def test_texts_on_every_page_are_template(spark):
     assert hx.extract_text(pages_of(spark, [])).collect() == []
 
 
+def test_copies_are_one_page_in_every_slot(spark):
+    page = "<body><p>Our site</p><article><h1>{0}</h1><p>{0} body</p>{1}</article></body>"
+    rows = [(i, "http://h/%d" % i, page.format(f"Title {i}", "")) for i in range(5)]
+    rows += [(20 + i, "http://h/copy", page.format("Copy", "<ul><li>only here</ul>")) for i in range(6)]
+    got = {r.page_id: r.text for r in hx.extract_text(pages_of(spark, rows).coalesce(1)).collect()}
+    assert all(got[20 + i] == "Copy\nCopy body\nonly here" for i in range(6))
+    assert all(got[i] == f"Title {i}\nTitle {i} body" for i in range(5))
+    # Copies that meet in one merged wrapper count once too, and so do they after a round trip.
+    host = hx.Host.of_page(rows[0][2])
+    for r in rows[1:]:
+        host.add(hx.Host.loads(hx.Host.of_page(r[2]).dumps()))
+    host = hx.Host.loads(host.dumps())
+    assert hx.main_text(rows[5][2], host) == "Copy\nCopy body\nonly here"
+
+
 def test_pages_table(spark):
     if not pathlib.Path(SF).exists():
         pytest.skip("no test tables here")
