@@ -14,6 +14,8 @@ Wrappers merge in any order, so each task folds its own pages first, and a host
 with a third of all pages sends a wrapper per task. Wrappers meet the pages by a
 broadcast if they are small together, by a join on the host if not.
 
+Trees may be of any depth: nothing here calls itself.
+
 Defined results: a null or empty page has an empty text; a null url is a host of its
 own; a host with fewer than ``SUPPORT`` different pages has no template texts; rows
 that repeat are extracted alike; an empty table gives an empty result; other columns
@@ -23,8 +25,10 @@ are ignored.
 from __future__ import annotations
 
 import html
+import itertools
 import json
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -39,8 +43,6 @@ from .common import checkpointed
 SUPPORT = 5
 #: Wrappers of all hosts together are broadcast up to so many bytes.
 BROADCAST_BYTES = 16 * 1024 * 1024
-#: Elements nested deeper than this count as lying side by side on this level.
-DEPTH = 300
 #: A task passes on its wrappers when it holds so many hosts.
 HELD_HOSTS = 5_000
 
@@ -52,7 +54,7 @@ _BLOCKS = frozenset(
 )
 _VOID = frozenset(["hr"])
 _SILENT = frozenset(
-    "applet audio button canvas datalist embed head iframe map math noframes noscript object option select svg "
+    "applet audio button canvas datalist embed iframe map math noframes noscript object option select svg "
     "template video".split()
 )
 _CLOSES = {
@@ -108,9 +110,13 @@ class Node:
 
 
 def parse(page: str) -> Node:
-    """Tree of block elements; texts are decoded, white space is one space."""
+    """Tree of block elements; texts are decoded, white space is one space.
+
+    A head has no texts of its own but titles, scripts and styles, so it needs no end.
+    """
     root = Node("root")
     stack = [root]
+    opened: dict[str, list[int]] = defaultdict(list)  # places in the stack by tag
     held: list[str] = []
     silent, depth = "", 0
     last = 0
@@ -121,6 +127,11 @@ def parse(page: str) -> Node:
         if text:
             stack[-1].parts.append(text)
 
+    def close(place: int) -> None:
+        for node in reversed(stack[place:]):
+            opened[node.tag].pop()
+        del stack[place:]
+
     for m in _TOKEN.finditer(page):
         if not silent and m.start() > last:
             held.append(page[last : m.start()])
@@ -133,12 +144,7 @@ def parse(page: str) -> Node:
             if tag == silent and not (m[4] or "").endswith("/"):
                 depth += -1 if m[2] else 1
                 silent = silent if depth else ""
-            elif silent == "head" and tag == "body":
-                silent, depth = "", 0
-            else:
-                continue
-            if silent or tag != "body":
-                continue
+            continue
         if tag in _SILENT:
             if not m[2] and tag != "embed" and not m[4].endswith("/"):
                 silent, depth = tag, 1
@@ -149,22 +155,20 @@ def parse(page: str) -> Node:
             continue
         flush()
         if m[2]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
+            if opened[tag]:
+                close(opened[tag][-1])
             continue
         if stack[-1].tag == "p":
-            stack.pop()
+            close(len(stack) - 1)
         if tag in _CLOSES:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in _HOLDS[tag]:
-                    break
-                if stack[i].tag in _CLOSES[tag]:
-                    del stack[i:]
+            holder = max((opened[t][-1] for t in _HOLDS[tag] if opened[t]), default=0)
+            ended = [i for t in _CLOSES[tag] for i in itertools.takewhile(holder.__lt__, reversed(opened[t]))]
+            if ended:
+                close(min(ended))
         node = Node(tag, m[4])
         stack[-1].parts.append(node)
-        if tag not in _VOID and len(stack) < DEPTH:
+        if tag not in _VOID:
+            opened[tag].append(len(stack))
             stack.append(node)
     if not silent:
         held.append(page[last:])
@@ -172,6 +176,10 @@ def parse(page: str) -> Node:
     return root
 
 
+def _digest(text: str) -> str:
+    return blake2b(text.encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
+
+
 def _hash(text: str) -> int:
     return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=7).digest(), "little")
 
@@ -195,70 +203,120 @@ class Wrapper:
     page that a fresh tree comes from.
     """
 
-    __slots__ = ("label", "seen", "common", "kids", "shape", "nodes")
+    __slots__ = ("label", "seen", "common", "kids", "shape", "size", "nodes")
 
     def __init__(self, label: str, seen: frozenset[int], common: set[int], kids: list[Wrapper], nodes: list[Node] = ()):
         self.label, self.seen, self.common, self.kids, self.nodes = label, seen, common, kids, nodes
-        self.shape = f"{label}({','.join(k.shape for k in kids)})"
+        self.size = 1 + sum(k.size for k in kids)
+        self.shape = label if not kids else _digest("\n".join((label, *(k.shape for k in kids))))
+
+    @classmethod
+    def built(cls, rows: list) -> Wrapper:
+        """Tree of rows, parents first: (place of the parent, ready tree or its label, seen, common, nodes)."""
+        kids: list[list[Wrapper]] = [[] for _ in rows]
+        for k in range(len(rows) - 1, -1, -1):
+            above, *own = rows[k]
+            made = own[0] if len(own) == 1 else cls(*own[:3], kids[k][::-1], own[3])
+            kids[above].append(made)
+        return made
 
     def to_list(self) -> list:
-        seen = [] if self.seen is ENOUGH else sorted(self.seen)
-        return [self.label, seen, sorted(self.common), [k.to_list() for k in self.kids]]
+        rows, queue = [], [(0, self)]
+        for k, (above, x) in enumerate(queue):
+            rows.append([above, x.label, [] if x.seen is ENOUGH else sorted(x.seen), sorted(x.common)])
+            queue += [(k, kid) for kid in x.kids]
+        return rows
 
     @classmethod
-    def of_list(cls, x: list) -> Wrapper:
-        return cls(x[0], frozenset(x[1]) or ENOUGH, set(x[2]), [cls.of_list(k) for k in x[3]])
+    def of_list(cls, rows: list) -> Wrapper:
+        return cls.built([(a, label, frozenset(seen) or ENOUGH, set(common), ()) for a, label, seen, common in rows])
 
 
 def folded(nodes: list[Node], seen: frozenset[int]) -> Wrapper:
     """Like siblings as one node, with all they hold; seen: the page."""
-    texts = {_hash(p) for n in nodes for p in n.parts if isinstance(p, str)}
-    runs: list[list[Node]] = []
-    for p in (p for n in nodes for p in n.parts if isinstance(p, Node)):
-        if runs and runs[-1][0].label == p.label:
-            runs[-1].append(p)
-        else:
-            runs.append([p])
-    return Wrapper(nodes[0].label, seen, texts, [folded(run, seen) for run in runs], nodes)
+    rows, queue = [], [(0, nodes)]
+    for k, (above, group) in enumerate(queue):
+        texts = {_hash(p) for n in group for p in n.parts if isinstance(p, str)}
+        rows.append((above, group[0].label, seen, texts, group))
+        runs: list[list[Node]] = []
+        for p in (p for n in group for p in n.parts if isinstance(p, Node)):
+            if runs and runs[-1][0].label == p.label:
+                runs[-1].append(p)
+            else:
+                runs.append([p])
+        queue += [(k, run) for run in runs]
+    return Wrapper.built(rows)
+
+
+class Alignment:
+    """Simple tree matching of two trees whose roots have equal labels."""
+
+    def __init__(self, a: Wrapper, b: Wrapper):
+        self.known: dict[tuple[int, int], tuple[int, list[tuple[int, int]]]] = {}
+        todo = [(a, b)]
+        while todo:
+            x, y = todo[-1]
+            inner = [
+                (p, q) for p in x.kids for q in y.kids
+                if p.label == q.label and p.shape != q.shape and (id(p), id(q)) not in self.known
+            ] if x.shape != y.shape and (id(x), id(y)) not in self.known else []
+            if inner:
+                todo += inner
+            else:
+                todo.pop()
+                if x.shape != y.shape and (id(x), id(y)) not in self.known:
+                    self.known[id(x), id(y)] = self._children(x, y)
+
+    def score(self, a: Wrapper, b: Wrapper) -> int:
+        """Matching nodes of two nodes with equal labels."""
+        return a.size if a.shape == b.shape else self.known[id(a), id(b)][0]
+
+    def pairs(self, a: Wrapper, b: Wrapper) -> list[tuple[int, int]]:
+        """Their matching children."""
+        return [(i, i) for i in range(len(a.kids))] if a.shape == b.shape else self.known[id(a), id(b)][1]
+
+    def _children(self, a: Wrapper, b: Wrapper) -> tuple[int, list[tuple[int, int]]]:
+        n, m = len(a.kids), len(b.kids)
+        best = [[0] * (m + 1) for _ in range(n + 1)]
+        weight = [[0] * m for _ in range(n)]
+        for i in range(n):
+            for j in range(m):
+                if a.kids[i].label == b.kids[j].label:
+                    weight[i][j] = self.score(a.kids[i], b.kids[j])
+                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + weight[i][j])
+        pairs, i, j = [], n, m
+        while i and j:
+            if weight[i - 1][j - 1] and best[i][j] == best[i - 1][j - 1] + weight[i - 1][j - 1]:
+                pairs.append((i - 1, j - 1))
+                i, j = i - 1, j - 1
+            elif best[i][j] == best[i - 1][j]:
+                i -= 1
+            else:
+                j -= 1
+        return 1 + best[n][m], pairs[::-1]
 
 
 def aligned(a: Wrapper, b: Wrapper) -> tuple[int, list[tuple[int, int]]]:
-    """Simple tree matching of two nodes with equal labels: (matching nodes, child pairs)."""
-    n, m = len(a.kids), len(b.kids)
-    if a.shape == b.shape:
-        return 1, [(i, i) for i in range(n)]
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    weight = [[0] * m for _ in range(n)]
-    for i in range(n):
-        for j in range(m):
-            if a.kids[i].label == b.kids[j].label:
-                weight[i][j] = _matching(a.kids[i], b.kids[j])
-            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + weight[i][j])
-    pairs, i, j = [], n, m
-    while i and j:
-        if weight[i - 1][j - 1] and best[i][j] == best[i - 1][j - 1] + weight[i - 1][j - 1]:
-            pairs.append((i - 1, j - 1))
-            i, j = i - 1, j - 1
-        elif best[i][j] == best[i - 1][j]:
-            i -= 1
-        else:
-            j -= 1
-    return 1 + best[n][m], pairs[::-1]
-
-
-def _matching(a: Wrapper, b: Wrapper) -> int:
-    return a.shape.count("(") if a.shape == b.shape else aligned(a, b)[0]
+    """(matching nodes, child pairs) of two nodes with equal labels."""
+    found = Alignment(a, b)
+    return found.score(a, b), found.pairs(a, b)
 
 
 def merged(a: Wrapper, b: Wrapper) -> Wrapper:
     """Both wrappers in one; children without a partner stay as optional ones."""
-    kids, i, j = [], 0, 0
-    for x, y in [*aligned(a, b)[1], (len(a.kids), len(b.kids))]:
-        kids += a.kids[i:x] + b.kids[j:y]
-        if x < len(a.kids):
-            kids.append(merged(a.kids[x], b.kids[y]))
-        i, j = x + 1, y + 1
-    return Wrapper(a.label, _either(a.seen, b.seen), a.common & b.common, kids)
+    found, rows, queue = Alignment(a, b), [], [(0, a, b)]
+    for k, (above, v, w) in enumerate(queue):
+        if w is None:
+            rows.append((above, v))
+            continue
+        rows.append((above, v.label, _either(v.seen, w.seen), v.common & w.common, ()))
+        i = j = 0
+        for x, y in [*found.pairs(v, w), (len(v.kids), len(w.kids))]:
+            queue += [(k, kid, None) for kid in v.kids[i:x] + w.kids[j:y]]
+            if x < len(v.kids):
+                queue.append((k, v.kids[x], w.kids[y]))
+            i, j = x + 1, y + 1
+    return Wrapper.built(rows)
 
 
 class Host:
@@ -295,20 +353,23 @@ def _aside(node: Node, inside: bool) -> bool:
     return bool(_ASIDE_WORDS.intersection(node.words))
 
 
-def _regions(node: Node, tag: str, inside: bool = False) -> list[Node]:
+def _regions(root: Node, tag: str) -> list[Node]:
     """Outermost elements of a tag outside of what is not content."""
-    found = []
-    for p in node.parts:
-        if isinstance(p, Node) and not _aside(p, inside):
-            found += [p] if p.tag == tag else _regions(p, tag, inside)
+    found, todo = [], [root]
+    while todo:
+        for p in todo.pop().parts:
+            if isinstance(p, Node) and not _aside(p, False):
+                (found if p.tag == tag else todo).append(p)
     return found
 
 
-def _slots(own: Wrapper, slot: Wrapper, out: dict[int, Wrapper]) -> dict[int, Wrapper]:
+def _slots(own: Wrapper, slot: Wrapper) -> dict[int, Wrapper]:
     """Which wrapper node each element of a page belongs to."""
-    out.update((id(n), slot) for n in own.nodes)
-    for i, j in aligned(own, slot)[1]:
-        _slots(own.kids[i], slot.kids[j], out)
+    found, out, todo = Alignment(own, slot), {}, [(own, slot)]
+    while todo:
+        a, b = todo.pop()
+        out.update((id(n), b) for n in a.nodes)
+        todo += [(a.kids[i], b.kids[j]) for i, j in found.pairs(a, b)]
     return out
 
 
@@ -319,21 +380,26 @@ def main_text(page: str, host: Host | None) -> str:
     for tag in ("article", "main"):
         chosen = chosen or {id(n) for n in _regions(root, tag)}
     known = host is not None and host.wrapper.seen is ENOUGH
-    slots = _slots(folded([root], ENOUGH), host.wrapper, {}) if known else {}
+    slots = _slots(folded([root], ENOUGH), host.wrapper) if known else {}
     out: list[str] = []
 
-    def walk(node: Node, inside: bool) -> None:
+    def opened(node: Node, inside: bool) -> tuple:
         slot = slots.get(id(node))
-        template = slot.common if slot is not None and slot.seen is ENOUGH else ()
-        for p in node.parts:
+        return iter(node.parts), inside, slot.common if slot is not None and slot.seen is ENOUGH else ()
+
+    stack = [opened(root, not chosen)]
+    while stack:
+        parts, inside, template = stack[-1]
+        for p in parts:
             if isinstance(p, Node):
                 here = inside or id(p) in chosen
                 if not _aside(p, here):
-                    walk(p, here)
+                    stack.append(opened(p, here))
+                    break
             elif inside and not (template and _hash(p) in template):
                 out.append(p)
-
-    walk(root, not chosen)
+        else:
+            stack.pop()
     return "\n".join(out)
 
 
@@ -360,7 +426,7 @@ def _induce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _merge(rows: pd.DataFrame) -> pd.DataFrame:
     parts = [Host.loads(x) for x in rows["wrapper"]]
-    parts.sort(key=lambda h: (-len(h.wrapper.seen), -len(h.wrapper.shape), h.wrapper.shape))
+    parts.sort(key=lambda h: (-len(h.wrapper.seen), -h.wrapper.size, h.wrapper.shape))
     for other in parts[1:]:
         parts[0].add(other)
     return pd.DataFrame({"host": [rows["host"].iloc[0]], "wrapper": [parts[0].dumps()]})

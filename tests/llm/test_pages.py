@@ -34,6 +34,32 @@ def test_main_text(page, text):
     assert hx.main_text(page, None) == text
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<div id=page><article>" + "<div>" * 310 + "</div>" * 310 + "<p>text</p></article></div>", "text"),
+    ("<div>" * 400 + "<article><p>t<p>u</article>", "t\nu"),
+    ("<p>t</p>" + "<div>" * 400 + "<aside>x<p>y</aside><nav>z</nav>", "t"),
+    ("<head><title>t</title><meta name=a><p>q", "q"),
+    ("<head><link rel=x><script>s</script>words<p>q", "words\nq"),
+    ("<div>" * 100_000 + "<li>a<li>b" + "</section>" * 100_000 + "</div>" * 100_000 + "<p>end", "a\nb\nend"),
+])
+def test_deep_pages_and_open_heads(page, text):
+    assert hx.main_text(page, None) == text
+    hosts = [hx.Host.loads(hx.Host.of_page(page + f"<p>{i}").dumps()) for i in range(6)]
+    for other in hosts[1:]:
+        hosts[0].add(other)
+    assert hosts[0].wrapper.seen is hx.ENOUGH
+    assert hx.main_text("<ul><li>other</ul>" + page, hosts[0]).startswith("other" if "<article" not in page else "")
+
+
+def test_deep_templates():
+    pages = ["<div>" * 2000 + f"<p>Our site</p><h1>Title {i}</h1>" + "<ul></ul>" * (i % 2) for i in range(6)]
+    host = hx.Host.of_page(pages[0])
+    for page in pages[1:]:
+        host.add(hx.Host.of_page(page))
+    host = hx.Host.loads(host.dumps())
+    assert [hx.main_text(page, host) for page in pages] == [f"Title {i}" for i in range(6)]
+
+
 def tree(x):
     """Wrapper from nested tuples (label, *children)."""
     return hx.Wrapper(x[0], 1, set(), [tree(k) for k in x[1:]])
