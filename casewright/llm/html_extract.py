@@ -6,9 +6,11 @@ matching: nodes with equal labels match, and the children of matching nodes are
 aligned in order so that the number of matching nodes is greatest. The aligned
 trees merge into the host's wrapper. A text that stands at the same node on every
 page is template; slots whose texts vary hold content. Slots can also vary without
-being content (links, adverts), so regions that the markup names as menus,
-headers, footers, sidebars, forms, notices, adverts or comments are left out, and
-where a page marks its article, only that is taken.
+being content (links, adverts), and there markup decides. Elements whose whole class
+token, id or role names a menu, header, sidebar, form, notice, advert or comments are
+left out, unless they hold over four fifths of the page's varying text, or half of it
+with the only article or main region. A page's articles or main regions are taken
+alone if they hold at least half of its varying text; if not, all of it is taken.
 
 Wrappers merge in any order, so each task folds its own pages first, and a host
 with a third of all pages sends a wrapper per task. Wrappers meet the pages by a
@@ -30,6 +32,7 @@ import json
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 from hashlib import blake2b
 
 import pandas as pd
@@ -72,6 +75,8 @@ _ASIDE_WORDS = frozenset(
     "social sponsor sponsored subscribe tagcloud toolbar topbar widget".split()
 )
 _HEAD_WORDS = frozenset(["header"])
+#: How much an element is left out: what its name says, if it does not hold the page's text, and always.
+_HEAD, _NAMED, _ALWAYS = 1, 2, 3
 
 _TOKEN = re.compile(
     r"<!--(?:.*?-->|.*\Z)"
@@ -83,6 +88,9 @@ _TOKEN = re.compile(
 _ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/]|$)""", re.IGNORECASE)
 _NAME = re.compile(r"[A-Za-z]+")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+_SINGLE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff"
+#: Words, or characters where words stand without spaces.
+_COUNTED = re.compile(rf"[{_SINGLE}]|[^\s{_SINGLE}]+")
 _SPACE = re.compile(r"\s+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 
@@ -90,12 +98,13 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECAS
 class Node:
     """A block element: its texts, and its children with the texts between them."""
 
-    __slots__ = ("label", "tag", "words", "hidden", "parts")
+    __slots__ = ("label", "tag", "names", "hidden", "parts")
 
     def __init__(self, tag: str, attrs: str = ""):
-        self.tag, self.hidden, self.words = tag, False, ()
+        self.tag, self.hidden, self.names = tag, False, ()
+        words: tuple[str, ...] = ()
         if attrs:
-            words = []
+            found, names = [], []
             for name, value in _ATTR.findall(attrs):
                 name, value = name.lower(), value.strip("\"'")
                 if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
@@ -103,9 +112,10 @@ class Node:
                 elif name == "style":
                     self.hidden |= bool(_HIDDEN.search(value))
                 else:
-                    words += [w.lower() for w in _NAME.findall(value) + _WORD.findall(value)]
-            self.words = tuple(sorted(set(words)))
-        self.label = ".".join((tag, *self.words))
+                    found += [w.lower() for w in _NAME.findall(value) + _WORD.findall(value)]
+                    names += value.split()
+            words, self.names = tuple(sorted(set(found))), tuple(names)
+        self.label = ".".join((tag, *words))
         self.parts: list = []
 
 
@@ -342,25 +352,28 @@ class Host:
         return cls(Wrapper.of_list(json.loads(data)))
 
 
-def _aside(node: Node, inside: bool) -> bool:
-    """Whether the markup says that a node is not content."""
-    if node.hidden or node.tag in _ASIDE_TAGS:
-        return True
-    if node.tag in ("body", "html", "root", "article", "main"):
-        return bool(_ASIDE_WORDS.intersection(node.words)) and node.tag == "article"
-    if not inside and (node.tag == "header" or _HEAD_WORDS.intersection(node.words)):
-        return True
-    return bool(_ASIDE_WORDS.intersection(node.words))
+@lru_cache(10_000)
+def _says(token: str) -> int:
+    """What a whole class token, id or role says about an element."""
+    parts = [w.lower() for w in _WORD.findall(token)]
+    for name in ("".join(parts), token.lower()):
+        if name in _ASIDE_WORDS:
+            return _NAMED
+        if name in _HEAD_WORDS:
+            return _HEAD
+    return _NAMED if parts and all(w in _ASIDE_WORDS for w in parts) else 0
 
 
-def _regions(root: Node, tag: str) -> list[Node]:
-    """Outermost elements of a tag outside of what is not content."""
-    found, todo = [], [root]
-    while todo:
-        for p in todo.pop().parts:
-            if isinstance(p, Node) and not _aside(p, False):
-                (found if p.tag == tag else todo).append(p)
-    return found
+def _aside(node: Node) -> int:
+    """What the markup says about an element that is not content."""
+    if node.tag in ("body", "html", "root"):
+        return 0
+    if node.hidden or node.tag in _ASIDE_TAGS and node.tag != "form":
+        return _ALWAYS
+    if node.tag == "main":
+        return 0
+    said = max(map(_says, node.names), default=0)
+    return max(said, _NAMED if node.tag == "form" else _HEAD if node.tag == "header" else 0)
 
 
 def _slots(own: Wrapper, slot: Wrapper) -> dict[int, Wrapper]:
@@ -376,31 +389,83 @@ def _slots(own: Wrapper, slot: Wrapper) -> dict[int, Wrapper]:
 def main_text(page: str, host: Host | None) -> str:
     """The page's content blocks, one to a line."""
     root = parse(page)
-    chosen: set[int] = set()
-    for tag in ("article", "main"):
-        chosen = chosen or {id(n) for n in _regions(root, tag)}
     known = host is not None and host.wrapper.seen is ENOUGH
     slots = _slots(folded([root], ENOUGH), host.wrapper) if known else {}
-    out: list[str] = []
+    # Elements in order, parents first, and the texts that are not template, with their element.
+    nodes, above, texts, sizes = [root], [0], [], []
 
-    def opened(node: Node, inside: bool) -> tuple:
-        slot = slots.get(id(node))
-        return iter(node.parts), inside, slot.common if slot is not None and slot.seen is ENOUGH else ()
+    def opened(k: int) -> tuple:
+        slot = slots.get(id(nodes[k]))
+        return k, iter(nodes[k].parts), slot.common if slot is not None and slot.seen is ENOUGH else ()
 
-    stack = [opened(root, not chosen)]
+    stack = [opened(0)]
     while stack:
-        parts, inside, template = stack[-1]
+        k, parts, template = stack[-1]
         for p in parts:
             if isinstance(p, Node):
-                here = inside or id(p) in chosen
-                if not _aside(p, here):
-                    stack.append(opened(p, here))
-                    break
-            elif inside and not (template and _hash(p) in template):
-                out.append(p)
+                nodes.append(p)
+                above.append(k)
+                stack.append(opened(len(nodes) - 1))
+                break
+            if not (template and _hash(p) in template):
+                texts.append((k, p))
+                sizes.append(p.count(" ") + 1 if p.isascii() else len(_COUNTED.findall(p)))
         else:
             stack.pop()
-    return "\n".join(out)
+
+    # An element that holds the page's text is not left out for its name.
+    says = [_aside(n) for n in nodes]
+    gone = [False] * len(nodes)
+    named = [False] * len(nodes)
+    inside = [False] * len(nodes)
+    for k, n in enumerate(nodes):
+        a = above[k]
+        gone[k] = gone[a] or says[k] == _ALWAYS
+        inside[k] = inside[a] or n.tag in ("article", "main")
+        if says[k] == _HEAD and inside[a]:
+            says[k] = 0
+        named[k] = named[a] or says[k] != 0
+    held = [0] * len(nodes)
+    for (k, _), size in zip(texts, sizes, strict=True):
+        held[k] += 0 if gone[k] else size
+    marks = [n.tag in ("article", "main") and not g for n, g in zip(nodes, gone, strict=True)]
+    outside = any(m and not x for m, x in zip(marks, named, strict=True))
+    for k in range(len(nodes) - 1, 0, -1):
+        held[above[k]] += held[k]
+        marks[above[k]] |= marks[k]
+    left = [0] * len(nodes)
+    for k in range(1, len(nodes)):
+        holds = held[k] * 5 > held[0] * 4 or marks[k] and not outside and held[k] * 2 >= held[0]
+        left[k] = max(left[above[k]], 0 if holds and says[k] != _ALWAYS else says[k])
+
+    # Outermost regions of each kind; a main region is narrowed to the articles that hold its text.
+    article, main = [0] * len(nodes), [0] * len(nodes)
+    for k in range(1, len(nodes)):
+        for tag, region in (("article", article), ("main", main)):
+            region[k] = region[above[k]] or (k if nodes[k].tag == tag and not left[k] else 0)
+    rest = in_article = in_main = both = 0
+    for (k, _), size in zip(texts, sizes, strict=True):
+        if not left[k]:
+            rest += size
+            in_article += size if article[k] else 0
+            in_main += size if main[k] else 0
+            both += size if article[k] and main[k] else 0
+    region = None
+    if any(main) and any(article):
+        if both and both * 2 >= in_main:
+            region, most = ([a and m for a, m in zip(article, main, strict=True)], both)
+        else:
+            region, most = main, in_main
+        lone = in_article - both
+        if lone > most * 2:
+            region, most = article, in_article
+        elif lone * 2 >= most and lone:
+            region, most = [a or m for a, m in zip(article, region, strict=True)], most + lone
+    elif any(main) or any(article):
+        region, most = (main, in_main) if any(main) else (article, in_article)
+    if region is not None and most * 2 < rest:
+        region = None
+    return "\n".join(p for k, p in texts if (region[k] and not left[k] if region else left[k] <= _HEAD))
 
 
 def _induce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -34,6 +34,31 @@ def test_main_text(page, text):
     assert hx.main_text(page, None) == text
 
 
+LONG = "many words of the page itself that vary " * 5
+
+
+@pytest.mark.parametrize("page, text", [
+    ("<div class='content has-sidebar'><article><p>t</article></div>", "t"),
+    ("<div class='no-sidebar'><h1>h</h1><p>t</div>", "h\nt"),
+    ("<article class='post category-social tag-login'><p>t</article><p>o", "t"),
+    ("<div class=widget><main><p>t</main></div>", "t"),
+    ("<form id=aspnetForm><nav>m</nav><div class=dialog><p>" + LONG + "</div><div class=share>s</div></form>", LONG.strip()),
+    ("<article>teaser</article><div><p>" + LONG + "</div>", "teaser\n" + LONG.strip()),
+    ("<main><p>" + LONG + "</main><article>teaser</article>", LONG.strip()),
+    ("<main><article>teaser</article><p>" + LONG + "</main>", "teaser\n" + LONG.strip()),
+    ("<main><p>by</p><article>" + LONG + "</article></main>", LONG.strip()),
+    ("<article>" + LONG + "</article><div id=comments><article>c one</article></div>", LONG.strip()),
+    ("<p>" + LONG + "</p><div class='nav-menu'>m</div><div class=comments><article>c</article></div>", LONG.strip()),
+])
+def test_names_do_not_outweigh_the_text(page, text):
+    assert hx.main_text(page, None) == text
+    # So it is where the wrapper shows what varies.
+    host = hx.Host.of_page(page.replace(LONG, "0"))
+    for i in range(1, 7):
+        host.add(hx.Host.of_page(re.sub(r">(\w[^<]*)", rf">\1 {i}", page)))
+    assert hx.main_text(page, host) == text
+
+
 @pytest.mark.parametrize("page, text", [
     ("<div id=page><article>" + "<div>" * 310 + "</div>" * 310 + "<p>text</p></article></div>", "text"),
     ("<div>" * 400 + "<article><p>t<p>u</article>", "t\nu"),
