@@ -119,7 +119,7 @@ def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for _, _, data, offsets in text_bytes(batch.column(0)):
+        for first, end, data, offsets in text_bytes(batch.column(0)):
             texts = Texts(data, offsets)
             votes = texts.votes() + 1
             code = votes @ (3 ** np.arange(votes.shape[1]))
@@ -129,9 +129,9 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ends = np.searchsorted(owner, np.arange(len(code) + 1))
             weight = n / (texts.count + FEW)[owner]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(code), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(pairs % FEATURES)),
+                [pa.array(code), batch.column(1).slice(first, end - first), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(pairs % FEATURES)),
                  pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(weight))],
-                ["pattern", "features", "weights"],
+                ["pattern", "times", "features", "weights"],
             )
 
 
@@ -175,20 +175,40 @@ def labeller_rates(votes: np.ndarray, n: np.ndarray, rounds: int = 200) -> tuple
     return good, rates, post
 
 
-def fit_linear(row, feature, weight, target, steps: int = 300) -> tuple[np.ndarray, float]:
-    """Logistic regression on sparse rows and soft targets."""
+def fit_linear(row, feature, weight, target, times=None, steps: int = 300) -> tuple[np.ndarray, float]:
+    """Logistic regression on sparse rows and soft targets; times: how often each row counts."""
     n = len(target)
+    part = np.full(n, 1 / n) if times is None else times / times.sum()
     w, rate = np.zeros(FEATURES + 1), 0.5
     first, second = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, steps + 1):
         z = np.bincount(row, w[feature] * weight, n) + w[-1]
-        miss = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - target) / n
+        miss = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - target) * part
         grad = np.append(np.bincount(feature, weight * miss[row], FEATURES), miss.sum()) + 1e-5 * w
         first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad**2
         w -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
     return w[:-1], float(w[-1])
 
 
+def chosen(docs: DataFrame, share: float) -> DataFrame:
+    """``(text, times)``: a share of the rows, each of those that agree in id and text once.
+
+    A row that stands c times counts c * share times, rounded up or down by a hash so
+    that it does so on average. Rows of many copies are thus neither left out nor sent
+    more than once, and no row decides about more than its share.
+    """
+    key = F.xxhash64(F.lit("fit"), F.col("doc_id").isNull(), *[F.col(c) for c in ("doc_id", "text")])
+    keyed = docs.where(F.col("text").isNotNull()).select(key.alias("__key"), "text")
+    want = F.col("n") * F.lit(share)
+    draw = F.shiftrightunsigned(F.xxhash64(F.lit("draw"), "__key"), 11) / F.lit(2.0**53)
+    times = F.floor(want) + (draw < want - F.floor(want)).cast("bigint")
+    counted = keyed.groupBy("__key").agg(F.count(F.lit(1)).alias("n"))
+    picked = counted.select("__key", times.alias("times")).where("times > 0")
+    # About SAMPLE rows at most; copies fold before they are shuffled.
+    found = keyed.join(F.broadcast(picked), "__key")
+    return found.groupBy("__key", "text", "times").agg(F.count(F.lit(1)).alias("n")).select("text", "times")
+
+
 def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
     """Weights and bias of the scorer for these documents."""
     texts = docs.select("text")
@@ -202,16 +222,17 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
     _, _, post = labeller_rates(votes, n)
     label = dict(zip(patterns.tolist(), post.tolist(), strict=True))
     share = min(1.0, sample / n.sum())
-    key = F.xxhash64(F.lit("fit"), *[F.col(c) for c in ("doc_id", "text")])
-    chosen = docs.where((F.pmod(key, 1_000_000) < share * 1_000_000) & F.col("text").isNotNull()).select("text")
-    rows = chosen.mapInArrow(_sampled, "pattern bigint, features array<bigint>, weights array<double>").collect()
+    rows = chosen(docs, share).mapInArrow(
+        _sampled, "pattern bigint, times bigint, features array<bigint>, weights array<double>"
+    ).collect()
     rows = [r for r in rows if r["features"]]
     if not rows:
         return np.zeros(FEATURES), 0.0
     row = np.repeat(np.arange(len(rows)), [len(r["features"]) for r in rows])
     feature = np.array([x for r in rows for x in r["features"]])
     weight = np.array([x for r in rows for x in r["weights"]])
-    return fit_linear(row, feature, weight, np.array([label[r["pattern"]] for r in rows]))
+    times = np.array([r["times"] for r in rows], float)
+    return fit_linear(row, feature, weight, np.array([label[r["pattern"]] for r in rows]), times)
 
 
 def judged(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:

@@ -50,6 +50,21 @@ def test_quality_odd_rows(docs, prose):
     assert quality.keep_good(docs([(1, None)])).collect() == []
 
 
+def test_sample_of_repeated_rows(docs, monkeypatch):
+    rows = [(i, f"text {i}.") for i in range(3000)] + [(None, "again and again.")] * 2000 + [(7, "text 7.")]
+    got = {r.text: r.times for r in quality.chosen(docs(rows), 0.01).collect()}
+    # The copies travel once and count as their share.
+    assert got["again and again."] == 20 and 10 < len(got) < 60
+    assert sum(got.values()) == pytest.approx(50, abs=25)
+    everything = {(r.text, r.times) for r in quality.chosen(docs(rows), 1.0).collect()}
+    assert ("again and again.", 2000) in everything and len(everything) == 3001
+    sizes = []
+    linear = quality.fit_linear
+    monkeypatch.setattr(quality, "fit_linear", lambda *x: sizes.append(len(x[3])) or linear(*x))
+    quality.fit(docs(rows), 50)
+    assert sizes[0] < 60
+
+
 BASE = [
     ("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""),
     ("access", "AKIA[A-Z0-9]+"), ("hex", "[0-9a-f]+"),
