@@ -1,14 +1,13 @@
-"""Remove repeated substrings with prefix-partitioned suffix trees.
-
-A suffix begins at every word. Suffixes are split by prefixes of variable
-length: the first two words give a cell, and where a cell is too large for a
-task's memory the prefix grows to the whole window. Cells are packed into groups
-of bounded size from exact counts, one task builds the tree of a group, and the
-tree's nodes at the depth of the window are the repeated substrings. Only what
-happens at that depth decides the result, so a group orders its suffixes by a
-hash of the first ``width`` words instead of word by word: equal neighbours are
-the leaves below one deep node. The first leaf stays; the windows at all others
-are covered by an earlier copy, and their words go.
+"""Remove repeated substrings by hashed windows in prefix groups.
+
+This stands in for prefix-partitioned suffix trees and builds none: see the README. A
+window of ``width`` words begins at every word that has so many after it. Windows are
+split by a hash of their first two words into cells, and a cell that is too large for
+a task's memory is split by the hash of the whole window. Cells are packed into groups
+of bounded size from exact counts, and one task sorts the window hashes of a group.
+Equal neighbours are the leaves that a suffix tree has below one node of that depth.
+The first leaf stays; the windows at all others are covered by an earlier copy, and
+their words go. Longer repeats are covered by their windows; they are not listed.
 
 A task of the scan first folds the suffixes it has itself: of equal windows only
 the first one travels, the others are decided on the spot. A passage that a third
@@ -44,7 +43,7 @@ from .common import (
 WIDTH = 20
 #: Prefix cells: so many bits of a hash of the first words.
 CELL_BITS = 12
-#: Suffixes that one task orders at a time.
+#: Suffixes whose hashes one task sorts at a time.
 GROUP = 2_000_000
 #: Bytes of text folded together before suffixes travel.
 FOLD = 8_000_000
