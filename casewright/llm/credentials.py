@@ -37,7 +37,7 @@ _IDENTIFIER_WORDS = ("user", "login", "account", "client", "access")
 
 #: Weak parts: what names a caller, what may be a key, where it is used.
 _IDENTIFIER = re.compile(
-    r"""(?:user(?:name)?|login|account|client_?id|access_?key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]{3,64})""",
+    r"""(?:user(?:name)?|login|account|client_?id|access_?key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]{3,})""",
     re.IGNORECASE | re.ASCII,
 )
 _OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")

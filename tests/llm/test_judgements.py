@@ -108,6 +108,11 @@ def test_linked_parts():
     assert spans("user=bob password=correcthorse1") == [("identifier", "user=bob")]
 
 
+def test_long_identifiers_are_whole():
+    name = "svc-" + "a" * 90 + "@example.com"
+    assert spans(f"user={name} password=correcthorse1") == [("identifier", f"user={name}")]
+
+
 def test_links_against_all_pairs(rng):
     key = "aB3" * 8
     bits = ["user: bob ", key + " ", "https://h.example/p ", "AKIA" + "Z" * 16 + " ", "token=" + "q" * 12 + " ", "\n\n", "- " * 60, "word "]
