@@ -10,7 +10,9 @@ from . import (
     minhash,
     mixing,
     packing,
+    periodic,
     quality,
+    search,
     substring,
     topk,
 )
@@ -26,6 +28,8 @@ QUERIES = {
     "op8_substring": substring.op8,
     "op9_quality": quality.op9,
     "op10_credentials": credentials.op10,
+    "op12_periodic": periodic.op12,
+    "op13_search": search.op13,
 }
 ORACLE = {
     "op1_line_dedup": line_dedup.OP1_SQL,
@@ -34,4 +38,6 @@ ORACLE = {
     "op5_embed_dedup": embed_dedup.OP5_SQL,
     "op6_mixing": mixing.OP6_SQL,
     "op8_substring": substring.OP8_SQL,
+    "op12_periodic": periodic.OP12_SQL,
+    "op13_search": search.OP13_SQL,
 }
