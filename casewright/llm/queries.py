@@ -15,6 +15,7 @@ from . import (
     search,
     substring,
     topk,
+    warc,
 )
 
 QUERIES = {
@@ -28,6 +29,7 @@ QUERIES = {
     "op8_substring": substring.op8,
     "op9_quality": quality.op9,
     "op10_credentials": credentials.op10,
+    "op11_warc": warc.op11,
     "op12_periodic": periodic.op12,
     "op13_search": search.op13,
 }
@@ -38,6 +40,7 @@ ORACLE = {
     "op5_embed_dedup": embed_dedup.OP5_SQL,
     "op6_mixing": mixing.OP6_SQL,
     "op8_substring": substring.OP8_SQL,
+    "op11_warc": warc.OP11_SQL,
     "op12_periodic": periodic.OP12_SQL,
     "op13_search": search.OP13_SQL,
 }
