@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from dataclasses import dataclass
 
@@ -15,8 +16,10 @@ from .sequence import (
     BY_END,
     BY_START,
     EventOrder,
+    case_keys,
     case_traces,
     join_on_case,
+    traces_of,
     with_position,
 )
 
@@ -46,35 +49,35 @@ def case_variants(
 class CaseGroups:
     """The cases of a log and the groups of cases with equal traces.
 
-    ``per_case`` has CASE_ID and ``key``; ``groups`` has ``key``, ``frequency``,
-    ``first_case``, ``length`` and ``trace``.
+    ``per_case`` has CASE_ID and ``key``, the fingerprint of the case's trace (see
+    ``case_keys``); ``groups`` has ``key``, ``frequency``, ``first_case`` and ``length``.
 
-    The key is a fingerprint of the trace, 128 bits and the length. Equal traces
-    are combined before the shuffle, so a trace shared by a large part of all
-    cases costs no more than a rare one, and one copy of it travels per task.
-    Where no trace is asked for, none is moved.
+    No trace is built to tell cases apart: fingerprints are combined from the
+    events, so a very long case costs partial sums, and cases are counted before
+    the shuffle. Where traces are asked for, ``written`` adds one per group.
     """
 
     log: DataFrame
+    order: EventOrder
     per_case: DataFrame
     groups: DataFrame
 
     @classmethod
-    def of(cls, log: DataFrame, ignore_syst: bool, order: EventOrder) -> CaseGroups:
+    def of(cls, log: DataFrame, ignore_syst: bool, order: EventOrder, stored: bool = False) -> CaseGroups:
+        """``stored`` writes the cases' keys down, for plans that read them in several jobs."""
         require(log, (CASE, ACTIVITY))
         events = without_system(log) if ignore_syst else log
-        key = F.struct(
-            F.xxhash64("trace").alias("h1"),
-            F.xxhash64(F.lit("second"), "trace").alias("h2"),
-            F.size("trace").alias("length"),
+        per_case = case_keys(events, order)
+        if stored:
+            per_case = scale.checkpointed(per_case)
+        groups = per_case.groupBy("key").agg(
+            F.count(F.lit(1)).alias("frequency"), F.min(CASE).alias("first_case")
         )
-        keyed = case_traces(events, order).withColumn("key", key)
-        groups = keyed.groupBy("key").agg(
-            F.count(F.lit(1)).alias("frequency"),
-            F.min(CASE).alias("first_case"),
-            F.first("trace").alias("trace"),
-        )
-        return cls(events, keyed.select(CASE, "key"), groups.withColumn("length", F.col("key.length")))
+        return cls(events, order, per_case, groups.withColumn("length", F.col("key.length")))
+
+    def written(self, groups: DataFrame | None = None) -> DataFrame:
+        """Groups with ``trace``, that of the first case of each."""
+        return traces_of(self.log, self.groups if groups is None else groups, "first_case", self.order)
 
 
 def variant_order() -> list[Column]:
@@ -105,7 +108,7 @@ def variants_table(
     returned, which needs no ranking of the others.
     """
     found = CaseGroups.of(log, ignore_syst, order)
-    return _ranked(found.groups, top).select(
+    return found.written(_ranked(found.groups, top)).select(
         "variant_id", join_trace(F.col("trace"), joiner).alias("variant"), "trace",
         "frequency", "length",
     )
@@ -125,11 +128,8 @@ def first_variants(
     written out, from one case each.
     """
     found = CaseGroups.of(log, ignore_syst, order)
-    few = scale.checkpointed(_ranked(found.groups.drop("trace")).orderBy(*by).limit(n))
-    chosen = F.broadcast(few.select(F.col("first_case").alias(CASE)))
-    traces = case_traces(found.log.join(chosen, CASE, "left_semi"), order)
-    written = few.join(traces.withColumnRenamed(CASE, "first_case"), "first_case")
-    return written.select(
+    few = scale.checkpointed(_ranked(found.groups).orderBy(*by).limit(n))
+    return found.written(few).select(
         "variant_id", join_trace(F.col("trace"), joiner).alias("variant"), "frequency", "length"
     ).orderBy(*by)
 
@@ -139,7 +139,7 @@ def variant_events(
 ) -> DataFrame:
     """``(variant_id, position, activity)``: every variant as rows, of any length."""
     found = CaseGroups.of(log, ignore_syst, order)
-    ids = _ranked(found.groups.drop("trace")).select(F.col("first_case").alias(CASE), "variant_id")
+    ids = _ranked(found.groups).select(F.col("first_case").alias(CASE), "variant_id")
     placed = with_position(found.log, order)
     return join_on_case(placed, ids, "inner", base=found.log).select(
         "variant_id", "position", F.col(ACTIVITY).alias("activity")
@@ -152,38 +152,45 @@ def log_traces(log: DataFrame, order: EventOrder = BY_END) -> DataFrame:
     For operators that walk through a trace event by event.
     """
     found = CaseGroups.of(log, False, order)
-    return found.groups.select("trace", "frequency")
+    return found.written().select("trace", "frequency")
 
 
 def variant_labels(log: DataFrame, order: EventOrder = BY_START) -> DataFrame:
     """Distinct traces as ``A -> B`` labels with their frequency."""
     found = CaseGroups.of(log, False, order)
-    return found.groups.orderBy(*variant_order()).select(
+    return found.written().orderBy(*variant_order()).select(
         join_trace(F.col("trace")).alias("variant"), "frequency"
     )
 
 
 def case_variant_info(log: DataFrame, ignore_syst: bool = False, joiner: str = ">") -> DataFrame:
     """Every case with the record of its variant."""
-    found = CaseGroups.of(log, ignore_syst, BY_START)
-    return found.per_case.join(_ranked(found.groups), "key").select(
-        CASE, "variant_id", join_trace(F.col("trace"), joiner).alias("variant"), "trace",
-        "frequency", "length",
+    found = CaseGroups.of(log, ignore_syst, BY_START, stored=True)
+    variants = found.written(_ranked(found.groups)).select(
+        "key", "variant_id", join_trace(F.col("trace"), joiner).alias("variant"), "trace", "frequency", "length"
     )
+    return found.per_case.join(variants, "key").drop("key")
 
 
 def cases_per_variant(log: DataFrame, ignore_syst: bool = False) -> DataFrame:
     """``(variant_id, CASE_ID)`` rows: which cases follow which variant."""
-    found = CaseGroups.of(log, ignore_syst, BY_START)
-    ranked = _ranked(found.groups.drop("trace")).select("key", "variant_id")
+    found = CaseGroups.of(log, ignore_syst, BY_START, stored=True)
+    ranked = _ranked(found.groups).select("key", "variant_id")
     return found.per_case.join(ranked, "key").select("variant_id", CASE)
 
 
+#: Ranks up to here are taken by a top-k, beyond by ranking all variants.
+TOP_RANKS = 10_000
+
+
 def cases_of_variants(log: DataFrame, variant_ids: Iterable[str]) -> DataFrame:
     """Case ids of the chosen variants of the whole log."""
     ids = sorted(set(variant_ids))
-    found = CaseGroups.of(log, False, BY_START)
-    chosen = _ranked(found.groups.drop("trace")).where(F.col("variant_id").isin(ids))
+    ranks = [int(m[1]) for m in (re.fullmatch(r"variant ([1-9][0-9]{0,17})", i) for i in ids) if m]
+    top = max(ranks, default=0)
+    few = top <= TOP_RANKS
+    found = CaseGroups.of(log, False, BY_START, stored=not few)
+    chosen = _ranked(found.groups, max(top, 1) if few else None).where(F.col("rank").isin(ranks))
     return found.per_case.join(chosen.select("key"), "key", "left_semi").select(CASE)
 
 

@@ -12,6 +12,8 @@ from dataclasses import dataclass, field
 from .trees import CHOICE, LOOP, PARALLEL, SEQUENCE
 
 Groups = list[list[str]]
+#: By activity: how often its runs stand between which two others; None is a rim.
+Bridges = dict[str, dict[tuple[str | None, str | None], int]]
 
 
 @dataclass
@@ -51,6 +53,26 @@ class FlowSummary:
             self.empty,
         )
 
+    def without(self, activity: str, bridges: dict[tuple[str | None, str | None], int]) -> FlowSummary:
+        """The same sub-log with an activity left out of its traces."""
+        rest = FlowSummary(
+            {pair: n for pair, n in self.edges.items() if activity not in pair},
+            {a: n for a, n in self.starts.items() if a != activity},
+            {a: n for a, n in self.ends.items() if a != activity},
+            {a: n for a, n in self.once.items() if a != activity},
+            self.empty,
+        )
+        for (before, after), n in bridges.items():
+            if before is None and after is None:
+                rest.empty += n
+            elif before is None:
+                rest.starts[after] = rest.starts.get(after, 0) + n
+            elif after is None:
+                rest.ends[before] = rest.ends.get(before, 0) + n
+            else:
+                rest.edges[before, after] = rest.edges.get((before, after), 0) + n
+        return rest
+
 
 def components(nodes: Iterable[str], links: Iterable[tuple[str, str]]) -> Groups:
     """Connected components, each sorted, in order of their smallest member."""

@@ -9,14 +9,13 @@ rounds are as many as the tree is deep.
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import scale
 from .cases import log_traces
-from .cuts import FlowSummary, find_cut
+from .cuts import Bridges, FlowSummary, Groups, find_cut
 from .dfg import ENDS, FOLLOWS, STARTS
 from .sequence import BY_END, EventOrder
 from .trees import CHOICE, LOOP, PARALLEL, SEQUENCE, ProcessTree
@@ -51,12 +50,16 @@ def discover_tree(traces: DataFrame, noise_threshold: float = DEFAULT_NOISE) ->
     open_nodes = [0]
     while open_nodes:
         summaries = _summaries(sub)
-        routes: list[tuple] = []
-        for node in open_nodes:
-            flow = summaries.get(node, FlowSummary())
-            route = _decide(tree, node, flow, noise_threshold, lambda acts, n=node: _without_each(sub, n, acts))
-            if route:
-                routes.append(route)
+        found = {node: summaries.get(node, FlowSummary()) for node in open_nodes}
+        cuts = {node: _cut(flow, noise_threshold) for node, flow in found.items()}
+        # One more pass serves all sub-logs of the level that have no cut.
+        stuck = [n for n, flow in found.items() if cuts[n] is None and _may_run_beside(flow, noise_threshold)]
+        bridges = _bridges(sub, stuck) if stuck else {}
+        decided = [
+            _decide(tree, node, flow, noise_threshold, cuts[node], bridges.get(node))
+            for node, flow in found.items()
+        ]
+        routes = [route for route in decided if route]
         open_nodes = [child for r in routes for child in r[2]]
         if open_nodes:
             sub = scale.checkpointed(_split(sub, routes))
@@ -122,28 +125,61 @@ def _summaries(sub: DataFrame) -> dict[int, FlowSummary]:
     return found
 
 
-def _without_each(sub: DataFrame, node: int, acts: list[str]) -> dict[int, FlowSummary]:
-    """Flow counts of one sub-log without the first activity, the second, and so on.
+def _bridges(sub: DataFrame, nodes: list[int]) -> dict[int, Bridges]:
+    """What closes up in the sub-logs ``nodes`` when an activity is left out.
 
-    One more pass over the sub-log, needed only where it has no cut.
+    Each run of one activity stands between two others, or a rim of the trace. The
+    flow between these two is what leaving the activity out adds. A trace gives a
+    row per run, so the pass is linear in the log, whatever the number of activities.
     """
-    each = F.array(*[F.struct(F.lit(i).cast("bigint").alias("left_out"), F.lit(a).alias("gone")) for i, a in enumerate(acts)])
-    rows = sub.where(F.col("node") == node).select("trace", "frequency", F.inline(each))
-    kept = F.filter("trace", lambda x: x != F.col("gone"))
-    return _summaries(rows.select(F.col("left_out").alias("node"), kept.alias("trace"), "frequency"))
+    changes = F.filter("trace", lambda a, i: (i == 0) | ~a.eqNullSafe(F.get("trace", i - 1)))
+    runs = F.transform(
+        "runs",
+        lambda a, i: F.struct(a.alias("gone"), F.get("runs", i - 1).alias("before"), F.get("runs", i + 1).alias("after")),
+    )
+    counted = (
+        sub.where(F.col("node").isin(nodes))
+        .withColumn("runs", changes)
+        .select("node", "frequency", F.inline(runs))
+        .groupBy("node", "gone", "before", "after")
+        .agg(F.sum("frequency").alias("n"))
+    )
+    found: dict[int, Bridges] = defaultdict(lambda: defaultdict(dict))
+    for node, gone, before, after, n in scale.collect_bounded(counted, "the bridged flows"):
+        found[node][gone][before, after] = n
+    return found
 
 
 # -- deciding -----------------------------------------------------------------------
+def _cut(flow: FlowSummary, noise: float) -> tuple[str, Groups] | None:
+    acts = flow.activities
+    return find_cut(flow, acts) or (find_cut(flow.without_noise(noise), acts) if noise else None)
+
+
+def _solo(flow: FlowSummary, acts: list[str]) -> str | None:
+    """An activity that occurs once in every trace that has events."""
+    traces = flow.traces - flow.empty
+    return next((a for a in acts if flow.once.get(a) == traces), None)
+
+
+def _may_run_beside(flow: FlowSummary, noise: float) -> bool:
+    """Whether ``_decide`` asks for an activity without which the rest has a cut."""
+    acts = flow.activities
+    skipped = flow.empty and flow.empty >= noise * flow.traces
+    return len(acts) > 2 and not skipped and _solo(flow, acts) is None
+
+
 def _decide(
     tree: ProcessTree,
     node: int,
     flow: FlowSummary,
     noise: float,
-    without: Callable[[list[str]], dict[int, FlowSummary]],
+    cut: tuple[str, Groups] | None,
+    bridges: Bridges | None,
 ) -> tuple | None:
     """Settle ``node``: a leaf (None) or an operator and the route of its traces.
 
-    ``without`` counts the flows of the sub-log with each activity left out in turn.
+    ``bridges`` tells what closes up when an activity is left out, where that can matter.
     """
     acts = flow.activities
     if not acts:
@@ -158,27 +194,22 @@ def _decide(
         if (only, only) not in flow.without_noise(noise).edges:
             tree.leaf(node, only)
             return None
-    cut = find_cut(flow, acts) or (find_cut(flow.without_noise(noise), acts) if noise else None)
     if cut:
         operator, groups = cut
         children = tree.inner(node, operator, len(groups))
         child_of = {a: c for c, g in zip(children, groups) for a in g}
         action = {CHOICE: BEST, SEQUENCE: PROJECT, PARALLEL: PROJECT, LOOP: SWITCH}[operator]
         return _route(node, action, children, child_of)
-    traces = flow.traces - flow.empty
-    solo = next((a for a in acts if flow.once.get(a) == traces), None)
+    solo = _solo(flow, acts)
     if solo is not None and len(acts) > 1:
         alone, rest = tree.inner(node, PARALLEL, 2)
         return _route(node, PROJECT, [alone, rest], {a: alone if a == solo else rest for a in acts})
-    if len(acts) > 2:
-        # An activity without which the others can be cut runs beside them.
-        rest_of = without(acts)
-        beside = next(
-            (a for i, a in enumerate(acts) if i in rest_of and find_cut(rest_of[i], rest_of[i].activities)), None
-        )
-        if beside is not None:
-            alone, rest = tree.inner(node, PARALLEL, 2)
-            return _route(node, PROJECT, [alone, rest], {a: alone if a == beside else rest for a in acts})
+    # An activity without which the others can be cut runs beside them.
+    rest_of = ((a, flow.without(a, bridges[a])) for a in acts) if bridges else ()
+    beside = next((a for a, rest in rest_of if find_cut(rest, rest.activities)), None)
+    if beside is not None:
+        alone, rest = tree.inner(node, PARALLEL, 2)
+        return _route(node, PROJECT, [alone, rest], {a: alone if a == beside else rest for a in acts})
     strict = any(a in flow.ends and b in flow.starts for a, b in flow.edges)
     loose = any(b in flow.starts for _, b in flow.edges)
     if strict or loose:

@@ -175,9 +175,11 @@ def _lead_in_pieces(hot, order, following, first, last):
     return joined.withColumns(result).drop(*helpers)
 
 
-def with_position(log: DataFrame, order: EventOrder, name: str = "position") -> DataFrame:
-    """Number the events of each case from zero."""
-    ordinary, hot = _split(log)
+def with_position(
+    log: DataFrame, order: EventOrder, name: str = "position", view: DataFrame | None = None
+) -> DataFrame:
+    """Number the events of each case from zero. ``view``: the log that ``log`` came from."""
+    ordinary, hot = _split(log, view)
     keys = order.columns(log)
     whole = Window.partitionBy(CASE).orderBy(*keys)
     out = ordinary.withColumn(name, F.row_number().over(whole) - 1)
@@ -244,6 +246,45 @@ def case_traces(log: DataFrame, order: EventOrder = BY_START) -> DataFrame:
     return out.unionByName(_join_pieces(hot, order))
 
 
+def case_keys(log: DataFrame, order: EventOrder = BY_START) -> DataFrame:
+    """``(CASE_ID, key)``: a fingerprint of each case's trace.
+
+    The key has the trace's length and two xors, over the events, of 64-bit hashes of
+    position and activity. These combine in any order and from any pieces, so no
+    trace is put together and a hot case is summed up where its events lie.
+    """
+    placed = with_position(log.select(*_needed(log, order)), order, "__at", view=log)
+    return (
+        placed.groupBy(CASE)
+        .agg(
+            F.bit_xor(F.xxhash64("__at", ACTIVITY)).alias("h1"),
+            F.bit_xor(F.xxhash64(ACTIVITY, "__at", F.lit("second"))).alias("h2"),
+            F.count(F.lit(1)).cast("int").alias("length"),
+        )
+        .select(CASE, F.struct("h1", "h2", "length").alias("key"))
+    )
+
+
+def traces_of(log: DataFrame, cases: DataFrame, case: str, order: EventOrder = BY_START) -> DataFrame:
+    """``cases``, one row for each case in column ``case``, with their traces.
+
+    Only events of these cases are put together. Where the same log was dealt by
+    case just before, Spark reuses that exchange.
+    """
+    ordinary, hot = _split(log.select(*_needed(log, order)), log)
+    names = [F.col(c) for c in cases.columns]
+    members = ordinary.join(cases, F.col(CASE) == F.col(case))
+    in_order = F.array_sort(F.collect_list(order.struct(ordinary)))
+    out = members.groupBy(CASE, *names).agg(F.transform(in_order, lambda e: e["activity"]).alias("trace")).drop(CASE)
+    if hot is None:
+        return out
+    ids = hot_cases(log)
+    few = F.broadcast(cases.join(F.broadcast(ids), F.col(case) == F.col(CASE), "left_semi"))
+    chosen = hot.join(F.broadcast(few.select(F.col(case).alias(CASE))), CASE, "left_semi")
+    traces = _join_pieces(chosen, order)
+    return out.unionByName(traces.join(few, F.col(CASE) == F.col(case)).drop(CASE))
+
+
 def _join_pieces(hot: DataFrame, order: EventOrder) -> DataFrame:
     """Traces of hot cases: pieces are sorted by themselves, then put in a row."""
     pieces = _sorted_traces(_pieces(hot, order), order, [CASE, "__piece"], "__run")

@@ -12,6 +12,8 @@ from .nets import SINK, SOURCE, PetriNet
 SEQUENCE, CHOICE, PARALLEL, LOOP = "->", "X", "+", "*"
 ACTIVITY_LEAF, SILENT_LEAF = "activity", "tau"
 
+RELATIONS = {SEQUENCE: "after", CHOICE: "exclusive", PARALLEL: "parallel", LOOP: "loop"}
+
 TREE = "node bigint, parent bigint, ordinal int, operator string, activity string"
 
 
@@ -56,6 +58,29 @@ class ProcessTree:
             return f"'{at.activity}'"
         return f"{at.operator}({', '.join(self.text(c) for c in at.children)})"
 
+    def relations(self, spark: SparkSession) -> DataFrame:
+        """``(a, b, relation)`` for each two activities, ``a`` the smaller name.
+
+        The operator that joins them: exclusive, parallel, loop, or for a sequence
+        before or after. A row for each pair of activities of the model.
+        """
+        path: dict[str, list[int]] = {}
+        for n in self.nodes.values():
+            if n.operator == ACTIVITY_LEAF:
+                way = [n.node]
+                while (parent := self.nodes[way[-1]].parent) is not None:
+                    way.append(parent)
+                path[n.activity] = way[::-1]
+        rows = []
+        names = sorted(path)
+        for i, a in enumerate(names):
+            for b in names[i + 1 :]:
+                k = next(k for k, (x, y) in enumerate(zip(path[a], path[b])) if x != y)
+                operator = self.nodes[path[a][k - 1]].operator
+                first = self.nodes[path[a][k]].ordinal < self.nodes[path[b][k]].ordinal
+                rows.append((a, b, "before" if operator == SEQUENCE and first else RELATIONS[operator]))
+        return spark.createDataFrame(rows, "a string, b string, relation string")
+
     def to_table(self, spark: SparkSession) -> DataFrame:
         rows = [
             (n.node, n.parent, n.ordinal, n.operator, n.activity) for n in self.nodes.values()

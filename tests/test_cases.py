@@ -183,3 +183,24 @@ def test_equal_durations_share_a_middle_bin(make_log):
     log = make_log([(c, "0", "x", d + "10:00:00", d + "10:10:00", None) for c in "AB"], *FULL)
     assert [b[3] for b in rows(analytics.duration_histogram(log))] == [0, 0, 0, 0, 2, 0, 0, 0, 0, 0]
     assert rows(analytics.duration_histogram(log.limit(0))) == []
+
+
+def test_no_trace_is_built_to_tell_cases_apart(trace_log, both_sizes):
+    """Keys come from counted hashes; only one case of each group is put together."""
+    log = trace_log({"1": "abc", "2": "acb", "3": "abc", "4": "ab", "5": "aabb", "6": "abab"})
+    found = cases.CaseGroups.of(log, False, cases.BY_START)
+    keys = {r.CASE_ID: r.key for r in found.per_case.collect()}
+    assert keys["1"] == keys["3"] and len(set(keys.values())) == 5
+    plan = found.per_case._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "bit_xor" in plan
+    written = {r.first_case: ("".join(r.trace), r.frequency) for r in found.written().collect()}
+    assert written == {"1": ("abc", 2), "2": ("acb", 1), "4": ("ab", 1), "5": ("aabb", 1), "6": ("abab", 1)}
+
+
+def test_chosen_ranks_need_no_ranking_of_all(trace_log, monkeypatch):
+    log = trace_log({str(i): "ab" if i % 2 else "a" + "b" * i for i in range(9)})
+    ids = ["variant 1", "variant 3", "variant 99", "variant 0", "variant x", "other"]
+    few = rows(cases.cases_of_variants(log, ids), "CASE_ID")
+    monkeypatch.setattr(cases, "TOP_RANKS", 1)
+    assert rows(cases.cases_of_variants(log, ids), "CASE_ID") == few == [("1",), ("2",), ("3",), ("5",), ("7",)]
+    assert rows(cases.cases_of_variants(log, ["nothing"])) == []

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from casewright import plans, scale, session
-from casewright.operators import agents, cases, conformance, dfg, nets, quality, sequence
+from casewright.operators import agents, cases, conformance, dfg, inductive, nets, quality, sequence, trees
 
 COLUMNS = ("CASE_ID", "EVENT_ID", "ACTIVITY", "START_TIMESTAMP", "END_TIMESTAMP")
 
@@ -304,3 +304,45 @@ def test_resource_graph(tooled, both_sizes):
     assert flows == {("start", None, "kb"): 1, ("start", None, "crm"): 1, ("edge", "kb", "web"): 2,
                      ("edge", "web", "kb"): 1,
                      ("edge", "crm", "web"): 1, ("end", "web", None): 2}
+
+
+def test_bridged_flows_are_those_of_traces_without_the_activity(spark, traces):
+    rng = random.Random(3)
+    bag = Counter("".join(rng.choice("abcd") for _ in range(rng.randrange(0, 9))) for _ in range(80))
+    bag.update({"aaa": 4, "": 2, "abba": 1})
+    table = traces(*[(" ".join(t), n) for t, n in bag.items()]).selectExpr("2L AS node", "trace", "frequency")
+    whole = inductive._summaries(table)[2]
+    bridges = inductive._bridges(table, [2])[2]
+    for gone in "abcd":
+        shorter = table.selectExpr("2L AS node", f"filter(trace, x -> x <> '{gone}') AS trace", "frequency")
+        want = inductive._summaries(shorter)[2]
+        assert whole.without(gone, bridges[gone]) == want
+
+
+def test_activity_beside_everything_else_is_found_for_all_nodes_of_a_level(spark, traces, monkeypatch):
+    """Two sub-logs of one level need bridges; one pass serves both."""
+    base = [a + b for a in "st" for b in "uv"]
+    noted = base + ["n" + t for t in base] + [t[0] + t[1] + "n" for t in base]
+    upper = [t.upper() for t in noted]
+    calls = []
+    real = inductive._bridges
+    monkeypatch.setattr(inductive, "_bridges", lambda sub, nodes: calls.append(nodes) or real(sub, nodes))
+    tree = inductive.discover_tree(traces(*[(" ".join(t), 5) for t in noted + upper]))
+    assert all(len(c) == 2 for c in calls) and len(calls) <= 1
+    shown = {(r.a, r.b): r.relation for r in tree.relations(spark).collect()}
+    assert shown["s", "t"] == "exclusive" and shown["s", "u"] == "before" and shown["N", "n"] == "exclusive"
+    assert shown["n", "s"] == "parallel" and shown["n", "v"] == "parallel"
+
+
+def test_relations_of_a_tree(spark):
+    tree = trees.ProcessTree()
+    tree.add()
+    first, second, rest = tree.inner(0, trees.SEQUENCE, 3)
+    tree.leaf(first, "z")
+    for node, name in zip(tree.inner(second, trees.LOOP, 2), "ab"):
+        tree.leaf(node, name)
+    for node, name in zip(tree.inner(rest, trees.PARALLEL, 3), ("c", None, "d")):
+        tree.leaf(node, name)
+    assert {tuple(r) for r in tree.relations(spark).collect()} == {
+        ("a", "b", "loop"), ("a", "c", "before"), ("a", "d", "before"), ("a", "z", "after"), ("b", "c", "before"),
+        ("b", "d", "before"), ("b", "z", "after"), ("c", "d", "parallel"), ("c", "z", "after"), ("d", "z", "after")}

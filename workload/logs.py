@@ -4,10 +4,16 @@
 ``evt_log``   events: one case per user and day, with agents and resources.
 ``user_log``  events: one case per user (long cases).
 ``item_log``  lineitem: one case per order, flag and status as activity.
+``plan_log``  orders: one case per order, its activities by a process of sequences,
+              choices, parallels and a loop, decided by its key.
+``note_log``  orders: the same with three choices in a row and a note anywhere but
+              before the second of them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,6 +81,49 @@ def item_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Activities of an order by its key ``k``; ``A`` makes an array in either dialect.
+PROCESSES = {
+    "plan_log": """A('receive')
+  || CASE k % 3 WHEN 0 THEN A('approve') WHEN 1 THEN A('review', 'grant') ELSE A('review', 'refuse') END
+  || CASE floor(k / 3) % 3 WHEN 0 THEN A('pack', 'invoice', 'pay') WHEN 1 THEN A('invoice', 'pack', 'pay')
+                           ELSE A('invoice', 'pay', 'pack') END
+  || CASE floor(k / 9) % 3 WHEN 0 THEN A('ship') WHEN 1 THEN A('ship', 'delay', 'ship')
+                           ELSE A('ship', 'delay', 'ship', 'delay', 'ship') END
+  || A('close')""",
+    "note_log": """CASE WHEN floor(k / 8) % 4 = 1 THEN A('note', 'x') ELSE A('x') END
+  || A(CASE WHEN k % 2 = 0 THEN 'shop' ELSE 'web' END, CASE WHEN floor(k / 2) % 2 = 0 THEN 'card' ELSE 'cash' END)
+  || CASE WHEN floor(k / 8) % 4 = 2 THEN A('note', 'x') ELSE A('x') END
+  || A(CASE WHEN floor(k / 4) % 2 = 0 THEN 'rail' ELSE 'truck' END)
+  || CASE WHEN floor(k / 8) % 4 = 3 THEN A('note', 'x') ELSE A('x') END""",
+}
+
+
+def _process_log(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    def log(spark: SparkSession, sf_dir: str) -> DataFrame:
+        acts = F.expr(PROCESSES[name].replace("A(", "array("))
+        at = F.col("o_orderdate").cast("timestamp_ntz") + F.make_dt_interval(mins=F.col("EVENT_ID"))
+        return (
+            _table(spark, sf_dir, "orders").withColumn("k", F.col("o_orderkey"))
+            .select(F.col("o_orderkey").cast("string").alias("CASE_ID"), "o_orderdate",
+                    F.posexplode(acts).alias("EVENT_ID", "ACTIVITY"))
+            .where("ACTIVITY <> 'x'")
+            .select("CASE_ID", "EVENT_ID", "ACTIVITY", at.alias("START_TIMESTAMP"), at.alias("END_TIMESTAMP"))
+        )
+
+    return log
+
+
+plan_log, note_log = _process_log("plan_log"), _process_log("note_log")
+
+_PROCESS_SQL = """
+  SELECT CASE_ID, EVENT_ID, ACTIVITY, began + to_minutes(EVENT_ID) AS START_TIMESTAMP,
+         began + to_minutes(EVENT_ID) AS END_TIMESTAMP
+  FROM (SELECT CASE_ID, began, unnest(acts) AS ACTIVITY, generate_subscripts(acts, 1) - 1 AS EVENT_ID FROM (
+    SELECT cast(o_orderkey AS VARCHAR) AS CASE_ID, o_orderdate AS began, {acts} AS acts
+    FROM (SELECT *, o_orderkey AS k FROM orders)))
+  WHERE ACTIVITY <> 'x'
+"""
+
 _EVENTS_SQL = """
   SELECT {case} AS CASE_ID, event_id AS EVENT_ID, event_type AS ACTIVITY,
          ts AS START_TIMESTAMP,
@@ -106,6 +155,8 @@ SQL = {
 """,
 }
 
+SQL |= {name: _PROCESS_SQL.format(acts=acts.replace("A(", "list_value(")) for name, acts in PROCESSES.items()}
+
 # Logs derived from these: events of the AI and the system; resources as activities.
 SQL["ai_log"] = f"SELECT * FROM ({SQL['evt_log']}) WHERE lower(AGENTE) IN ('ai', 'syst')"
 SQL["resource_log"] = f"""

@@ -20,12 +20,13 @@ from casewright.operators import quality as rating
 from casewright.operators import synthetic
 
 from . import sql as q
-from .logs import SQL, conv_log, evt_log, item_log, user_log, with_log
+from .logs import SQL, conv_log, evt_log, item_log, note_log, plan_log, user_log, with_log
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
-LOGS = {"evt_log": evt_log, "conv_log": conv_log, "item_log": item_log, "user_log": user_log}
+LOGS = {"evt_log": evt_log, "conv_log": conv_log, "item_log": item_log, "user_log": user_log,
+        "plan_log": plan_log, "note_log": note_log}
 
 
 def register(name: str, log: str, build: Callable[[DataFrame], DataFrame], sql: str | None = None,
@@ -646,6 +647,21 @@ register("inductive_fits", "evt_log",
          f"(SELECT t, n, unnest(t) AS a, unnest(range(len(t))) AS k FROM (SELECT t, count(*) AS n FROM "
          f"(SELECT list(ACTIVITY ORDER BY {q.BY_END}) AS t FROM log GROUP BY CASE_ID) GROUP BY t)) GROUP BY t, n")
 
+# How any two activities of a discovered tree relate, held against what the cases show.
+_SHOWN = """SELECT x.a, y.a AS b,
+  CASE WHEN t.n IS NULL THEN 'exclusive' WHEN t.n = t.ab THEN 'before' WHEN t.n = t.ba THEN 'after'
+       WHEN t.again THEN 'loop' ELSE 'parallel' END AS relation
+FROM (SELECT DISTINCT ACTIVITY AS a FROM log) x JOIN (SELECT DISTINCT ACTIVITY AS a FROM log) y ON x.a < y.a
+LEFT JOIN (
+  SELECT p.a, r.a AS b, count(*) AS n, count(*) FILTER (p.z < r.f) AS ab, count(*) FILTER (r.z < p.f) AS ba,
+         max(p.n) > 1 AND max(r.n) > 1 AS again
+  FROM spans p JOIN spans r ON p.CASE_ID = r.CASE_ID AND p.a < r.a GROUP BY ALL) t ON t.a = x.a AND t.b = y.a"""
+_SPANS = """SELECT CASE_ID, ACTIVITY AS a, min(EVENT_ID) AS f, max(EVENT_ID) AS z, count(*) AS n
+  FROM log GROUP BY CASE_ID, ACTIVITY"""
+for _name in ("plan_log", "note_log"):
+    register(f"inductive_relations_{_name[:4]}", _name,
+             lambda log: inductive.discover_log_tree(log).relations(log.sparkSession), _SHOWN, spans=_SPANS)
+
 
 def variant_net(log: DataFrame) -> DataFrame:
     """Net of the three first variants and of all traces written out by hand."""
