@@ -80,24 +80,17 @@ def top_variants(log: DataFrame, top_n: int = 10, ignore_syst: bool = True) -> D
 
 def duration_describe(log: DataFrame) -> DataFrame:
     """count, mean, std, min, quartiles and max of case minutes, in one row."""
-    # One number per case, written once for the figures and the quartiles.
-    minutes = scale.checkpointed(case_durations(log).select("minutes"))
-    figures = minutes.agg(
-        F.count("minutes").alias("count"),
-        F.avg("minutes").alias("mean"),
-        F.stddev_samp("minutes").alias("std"),
-        F.min("minutes").alias("min"),
-        F.max("minutes").alias("max"),
-    )
-    quartiles = scale.exact_percentiles(
-        minutes, [], "minutes", {"p25": 0.25, "p50": 0.5, "p75": 0.75}
-    )
-    # One row each: attached as scalar subqueries.
-    return figures.select(
-        "count", "mean", "std", "min",
-        *[quartiles.select(p).scalar().alias(p) for p in ("p25", "p50", "p75")],
-        "max",
-    )
+    minutes = F.col("minutes")
+    figures = [
+        F.count(minutes).alias("count"),
+        F.avg(minutes).alias("mean"),
+        F.stddev_samp(minutes).alias("std"),
+        F.min(minutes).alias("min"),
+        F.max(minutes).alias("max"),
+    ]
+    quartiles = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
+    found = scale.exact_percentiles(case_durations(log).select("minutes"), [], "minutes", quartiles, figures)
+    return found.select("count", "mean", "std", "min", *quartiles, "max")
 
 
 def duration_histogram(log: DataFrame, bins: int = BINS) -> DataFrame:

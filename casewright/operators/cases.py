@@ -108,7 +108,9 @@ def variants_table(
     returned, which needs no ranking of the others.
     """
     found = CaseGroups.of(log, ignore_syst, order)
-    return found.written(_ranked(found.groups, top)).select(
+    # Of all variants, traces are written along with the ranks, off the same shuffle of the log.
+    ranked = _ranked(found.written()) if top is None else found.written(_ranked(found.groups, top))
+    return ranked.select(
         "variant_id", join_trace(F.col("trace"), joiner).alias("variant"), "trace",
         "frequency", "length",
     )

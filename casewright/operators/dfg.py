@@ -147,6 +147,5 @@ def performance_edges(
         F.stddev_samp("seconds").alias("stdev"),
     ]
     names = ["src", "dst", "frequency", "mean", "median", "min", "max", "sum", "stdev"]
-    medians = scale.exact_percentiles(steps, ["src", "dst"], "seconds", {"median": 0.5})
-    plain = steps.groupBy("src", "dst").agg(*figures)
-    return scale.same_keys(plain, medians, ["src", "dst"], "left").select(*names)
+    found = scale.exact_percentiles(steps, ["src", "dst"], "seconds", {"median": 0.5}, figures)
+    return found.select(*names)

@@ -71,68 +71,91 @@ def global_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     )
 
 
+#: A sketch of a group's values errs by the group's size through this, in ranks.
+SKETCH = 10_000
+#: Groups whose values are bracketed, the largest ones. The rest are smaller than this
+#: part of all rows, and all their distinct values are counted.
+BRACKETED = 50_000
+
+
 def exact_percentiles(
-    df: DataFrame, keys: list[str], value: str, probabilities: dict[str, float]
+    df: DataFrame, keys: list[str], value: str, probabilities: dict[str, float], figures: list[Column] | None = None
 ) -> DataFrame:
     """Exact, linearly interpolated percentiles of ``value`` per group.
 
     One row per combination of ``keys`` (one row overall without keys), one
-    column per entry of ``probabilities``. Equal values are counted first; the
-    counts are range-partitioned on (keys, value), so that one big group spans
-    many tasks, and the wanted ranks are read off.
+    column per entry of ``probabilities``; with ``figures``, further aggregates
+    are computed on the way and groups without values get a row as well.
+
+    A first pass sketches each group's quantiles, which brackets the wanted ranks.
+    A second one, off the same shuffle of whatever ``df`` shuffles, counts the values
+    between the brackets and keeps, with their counts, only those inside: some
+    thousandth of a group at most. The ranks are read off these. Brackets are four times as
+    wide as a sketch can err; should a rank still lie outside, the query fails.
     """
-    known = df.where(F.col(value).isNotNull())
-    tally = known.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
-    sort = [F.col(k) for k in keys] + [F.col(value)]
-    placed = checkpointed(
-        tally.repartitionByRange(shuffle_partitions(df.sparkSession), *sort).withColumn(
-            "__part", F.spark_partition_id()
-        )
-    )
-    # Rows before each piece of a group; one row per (group, piece).
-    groups = Window.partitionBy(*keys).orderBy("__part")
-    pieces = (
-        placed.groupBy(*keys, "__part")
-        .agg(F.sum("__n").alias("__size"))
-        .withColumn("__upto", F.sum("__size").over(groups))
-        .withColumn("__before", F.col("__upto") - F.col("__size"))
-        .withColumn("__total", F.sum("__size").over(Window.partitionBy(*keys)))
-    )
-    ranks = F.array(
-        *[
-            F.struct(
-                F.lit(name).alias("name"),
-                (F.lit(float(p)) * (F.col("__total") - 1)).alias("at"),
-            )
-            for name, p in probabilities.items()
-        ]
-    )
-    # Each percentile needs the values at ranks floor(at) and ceil(at).
-    targets = (
-        pieces.select("*", F.inline(ranks))
-        .withColumn("__rank", F.explode(F.array_distinct(F.array(F.floor("at"), F.ceil("at")))))
-        .where((F.col("__rank") >= F.col("__before")) & (F.col("__rank") < F.col("__upto")))
-        .select(*keys, "__part", "__before", "name", "at", "__rank")
-    )
-    running = Window.partitionBy(*keys, "__part").orderBy(value)
-    counted = placed.withColumn("__end", F.sum("__n").over(running)).withColumn(
-        "__begin", F.col("__end") - F.col("__n")
+    wanted = sorted(probabilities.items(), key=lambda x: x[1])
+    accuracy = SKETCH if keys else 10 * SKETCH
+    cuts = [min(1.0, max(0.0, p + side * 4 / accuracy)) for _, p in wanted for side in (-1, 1)]
+    # Of a group no larger than that, all values are kept.
+    sketch = F.when(F.count(value) > accuracy, F.percentile_approx(value, cuts, F.lit(accuracy))).alias("__cuts")
+    groups = df.groupBy(*keys).agg(*(figures or []), F.count(value).alias("__total"), sketch)
+    known = df.where(F.col(value).isNotNull()).select(*keys, value)
+    if keys:
+        largest = groups.orderBy(F.desc("__total"), *keys).limit(BRACKETED).select(*keys, "__cuts")
+        placed = same_keys(known, F.broadcast(largest), keys, "left")
+    else:
+        placed = known.withColumn("__cuts", groups.select("__cuts").scalar())
+    solved = _at_ranks(_tally(placed, keys, value), keys, value, probabilities)
+    kept = groups.drop("__cuts") if figures else groups.drop("__cuts").where(F.col("__total") > 0)
+    if keys:
+        joined = same_keys(kept, solved, keys, "left")
+    else:  # one row each
+        joined = kept.select("*", *[solved.select(name).scalar().alias(name) for name in probabilities])
+    lost = (F.col("__total") > 0) & F.array_contains(F.array(*[F.col(p).isNull() for p in probabilities]), True)
+    checked = {
+        p: F.when(lost, F.raise_error(F.lit("a quantile sketch erred beyond its bound")).cast("double")).otherwise(F.col(p))
+        for p in probabilities
+    }
+    return joined.withColumns(checked).drop("__total")
+
+
+def _tally(placed: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """``(keys, __zone, value, __n)``: values inside brackets, and counts between them.
+
+    Zones are in order of the values: odd ones are brackets, in which the values are
+    kept; even ones lie between and have one row, without a value. Without brackets
+    all values are kept.
+    """
+    number = F.col(value)
+    # Brackets whose upper end is below the value lie before it.
+    before = 2 * F.size(F.filter("__cuts", lambda c, i: (i % 2 == 1) & (c < number)))
+    inside = F.coalesce(F.get("__cuts", before) <= number, F.col("__cuts").isNull())
+    zone = F.when(F.col("__cuts").isNull(), 1).otherwise(before + inside.cast("int"))
+    return (
+        placed.select(*keys, zone.alias("__zone"), F.when(inside, number).alias(value))
+        .groupBy(*keys, "__zone", value)
+        .agg(F.count(F.lit(1)).alias("__n"))
     )
-    hit = (
-        same_keys(counted, targets, [*keys, "__part"])
-        .where(
-            (F.col("__rank") >= F.col("__before") + F.col("__begin"))
-            & (F.col("__rank") < F.col("__before") + F.col("__end"))
-        )
+
+
+def _at_ranks(tally: DataFrame, keys: list[str], value: str, probabilities: dict[str, float]) -> DataFrame:
+    """The values at the wanted ranks of counted values; null where they were not kept."""
+    group = Window.partitionBy(*(keys or [F.lit(0)]))
+    running = group.orderBy("__zone", value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = tally.select(
+        "*", F.sum("__n").over(running).alias("__end"), (F.sum("__n").over(group) - 1).alias("__last")
     )
-    low = F.min(F.when(F.col("__rank") == F.floor("at"), F.col(value)))
-    high = F.max(F.when(F.col("__rank") == F.ceil("at"), F.col(value)))
-    part = F.max("at") - F.floor(F.max("at"))
-    solved = hit.groupBy(*keys, "name").agg((low + (high - low) * part).alias("__v"))
-    columns = [
-        F.max(F.when(F.col("name") == name, F.col("__v"))).alias(name) for name in probabilities
-    ]
-    return solved.groupBy(*keys).agg(*columns)
+
+    def at(rank: Column) -> Column:
+        here = (rank < F.col("__end")) & (rank >= F.col("__end") - F.col("__n"))
+        return F.max(F.when(here, F.col(value)))
+
+    def solved(p: float) -> Column:
+        rank = F.lit(float(p)) * F.col("__last")
+        low, high = at(F.floor(rank)), at(F.ceil(rank))
+        return low + (high - low) * (F.max(rank) - F.floor(F.max(rank)))
+
+    return ranked.groupBy(*keys).agg(*[solved(p).alias(name) for name, p in probabilities.items()])
 
 
 def same_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:

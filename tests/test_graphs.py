@@ -264,6 +264,32 @@ def test_percentiles(spark, both_sizes):
         assert got[k] == pytest.approx((q[0], q[1], v[-1]))
 
 
+@pytest.mark.parametrize("bracketed", [1, 100])
+def test_percentiles_of_large_groups_are_read_off_brackets(spark, monkeypatch, bracketed):
+    """Sketches are coarse here, so that most values lie outside of the brackets."""
+    monkeypatch.setattr(scale, "SKETCH", 100)
+    monkeypatch.setattr(scale, "BRACKETED", bracketed)
+    rng = random.Random(bracketed)
+    data = {"big": [rng.gauss(0, 9) for _ in range(20_000)], "ties": [float(rng.randrange(4)) for _ in range(5000)],
+            "small": [rng.random() for _ in range(90)], "one": [3.0]}
+    df = spark.createDataFrame([(k, v) for k, vs in data.items() for v in vs], "k string, v double").repartition(6)
+    at = {"low": 0.0, "q": 0.25, "m": 0.5, "near": 0.501, "top": 1.0}
+    rows = {r.k: r for r in scale.exact_percentiles(df, ["k"], "v", at, [F.count("v").alias("n"), F.sum("v").alias("s")]).collect()}
+    for k, vs in data.items():
+        vs.sort()
+        assert rows[k].n == len(vs) and rows[k].s == pytest.approx(sum(vs))
+        for name, p in at.items():
+            i = int(p * (len(vs) - 1))
+            want = vs[i] + (vs[min(i + 1, len(vs) - 1)] - vs[i]) * (p * (len(vs) - 1) - i)
+            assert rows[k][name] == pytest.approx(want), (k, name)
+    cuts = df.groupBy("k").agg(F.percentile_approx("v", [0.21, 0.29], 100).alias("__cuts")).where("k = 'big'")
+    kept = scale._tally(scale.same_keys(df, cuts, ["k"]), ["k"], "v")
+    assert kept.where("v IS NOT NULL").count() < 0.15 * 20_000 and kept.agg(F.sum("__n")).first()[0] == 20_000
+    whole = scale.exact_percentiles(df, [], "v", {"m": 0.5}).collect()
+    assert [r.m for r in whole] == [pytest.approx(statistics.median(v for vs in data.values() for v in vs))]
+    assert scale.exact_percentiles(df.limit(0), [], "v", {"m": 0.5}).collect() == []
+
+
 # -- resources ---------------------------------------------------------------------
 @pytest.fixture
 def tooled(make_log):
