@@ -2,16 +2,15 @@
 
 A case usually has a handful of events, and sorting it inside one task is the
 cheapest plan there is: one shuffle by case. But a single case may also hold a
-large share of the log. Such *hot* cases are found by counting events, and only
-their events take a second route: they are range-partitioned on (case, order),
-worked on piece by piece, and the pieces are stitched at their edges. Both routes
-give the same rows.
+large share of the log. Such *hot* cases are found first, and only their events
+take a second route: they are range-partitioned on (case, order), worked on piece
+by piece, and the pieces are stitched at their edges. Both routes give the same rows.
 """
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from dataclasses import dataclass
-from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -70,28 +69,56 @@ BY_START = EventOrder((START,))
 BY_END = EventOrder((END, START))
 
 
-# What is known of log views, as long as they live: hot cases by the limit.
-_HOT: WeakKeyDictionary[DataFrame, dict[int, DataFrame | None]] = WeakKeyDictionary()
+#: Items a sketch of frequent cases may track; beyond, cases are counted in full.
+MOST_TRACKED = 500_000
+#: Logs whose hot cases are remembered.
+_REMEMBERED = 64
+_HOT: OrderedDict[tuple[int, int], list[tuple[DataFrame, DataFrame | None]]] = OrderedDict()
 
 
 def hot_cases(log: DataFrame) -> DataFrame | None:
     """``(CASE_ID)``: the cases with very many events, None if there are none.
 
-    All of them are found, by counts. A log of fewer events than make a case hot
-    needs no count by case. The table has at most one row for each
-    ``hotCaseEvents`` events of the log, which bounds its broadcasts.
+    All of them are found. A log of fewer events than make a case hot is only
+    counted. Otherwise one pass over the case column collects sketches of frequent
+    items, merged by buckets of cases. They track six items for each ``hotCaseEvents``
+    events of the log, which is enough for none of the wanted to be missed, and
+    the few that they name are counted exactly. Logs with the same cases are looked at
+    once. The table has at most one row for each ``hotCaseEvents`` events of
+    the log, which bounds its broadcasts.
     """
     limit = session.setting(
         log.sparkSession, session.HOT_CASE_EVENTS, session.HOT_CASE_EVENTS_DEFAULT
     )
-    known = _HOT.setdefault(log, {})
-    if limit not in known:
-        known[limit] = None
-        if log.count() >= limit:
-            sizes = log.where(F.col(CASE).isNotNull()).groupBy(CASE).agg(F.count(F.lit(1)).alias("n"))
-            found = scale.checkpointed(sizes.where(F.col("n") >= limit).select(CASE))
-            known[limit] = None if found.isEmpty() else found
-    return known[limit]
+    ids = log.select(CASE)
+    known = _HOT.setdefault((limit, ids.semanticHash()), [])
+    _HOT.move_to_end((limit, ids.semanticHash()))
+    for seen, found in known:
+        if seen.sparkSession is ids.sparkSession and seen.sameSemantics(ids):
+            return found
+    found = None
+    events = log.count()
+    if events >= limit:
+        found = scale.checkpointed(_frequent(ids.where(F.col(CASE).isNotNull()), events, limit))
+        found = None if found.isEmpty() else found
+    known.append((ids, found))
+    while len(_HOT) > _REMEMBERED:
+        _HOT.popitem(last=False)
+    return found
+
+
+def _frequent(ids: DataFrame, events: int, limit: int) -> DataFrame:
+    """The cases with at least ``limit`` of the given ``events``."""
+    few = ids
+    tracked = 6 * events // limit
+    if tracked <= MOST_TRACKED:
+        # A sketch that tracks m items names all that occur more often than 5.25 / m of the time.
+        bucket = F.pmod(F.xxhash64(CASE), F.lit(scale.shuffle_partitions(ids.sparkSession)))
+        top = F.call_function("approx_top_k", F.col(CASE), F.lit(tracked), F.lit(tracked))
+        named = ids.groupBy(bucket.alias("b")).agg(top.alias("top")).select(F.inline("top"))
+        frequent = scale.checkpointed(named.where(F.col("count") >= limit).select(F.col("item").alias(CASE)))
+        few = ids.join(F.broadcast(frequent), CASE, "left_semi")
+    return few.groupBy(CASE).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= limit).select(CASE)
 
 
 def _split(log: DataFrame, view: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:

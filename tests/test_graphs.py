@@ -153,6 +153,36 @@ def test_joins_on_case_keep_every_event(make_log, spark, both_sizes):
     assert [r.EVENT_ID for r in dated.where("CASE_DATE IS NULL").collect()] == ["999"]
 
 
+@pytest.mark.parametrize("tracked", [500_000, 0])
+def test_frequent_cases_are_those_of_an_exact_count(spark, monkeypatch, tracked):
+    """Sketches that track few cases, on logs of many, lose none of the frequent ones."""
+    monkeypatch.setattr(sequence, "MOST_TRACKED", tracked)
+    rng = random.Random(5)
+    sizes = [400, 200, 101, 100, 100, 99, 99, 60] + [rng.randrange(1, 40) for _ in range(900)]
+    ids = [(f"c{i}",) for i, n in enumerate(sizes) for _ in range(n)] + [(None,)] * 300
+    rng.shuffle(ids)
+    log = spark.createDataFrame(ids, "CASE_ID string").repartition(7)
+    events = log.where("CASE_ID IS NOT NULL")
+    got = {r.CASE_ID for r in sequence._frequent(events, events.count(), 100).collect()}
+    assert got == {f"c{i}" for i in range(5)}
+
+
+def test_logs_with_the_same_cases_are_looked_at_once(make_log, spark, monkeypatch):
+    log = make_log(random_rows(11), *COLUMNS)
+    spark.conf.set(session.HOT_CASE_EVENTS, "3")
+    try:
+        asked = []
+        real = sequence._frequent
+        monkeypatch.setattr(sequence, "_frequent", lambda *a: asked.append(a) or real(*a))
+        first = sequence.hot_cases(log)
+        assert sequence.hot_cases(log.select(*log.columns)).count() == first.count()
+        quiet = [cases.without_system(log.withColumn("AGENTE", F.lit("ai"))) for _ in range(2)]
+        assert sequence.hot_cases(quiet[0]) is sequence.hot_cases(quiet[1])
+        assert len(asked) <= 3
+    finally:
+        spark.conf.unset(session.HOT_CASE_EVENTS)
+
+
 def test_hot_cases_are_cut_into_pieces(make_log, both_sizes):
     if both_sizes == "small":
         pytest.skip("small logs are not cut")
