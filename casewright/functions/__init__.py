@@ -6,6 +6,7 @@ from .scalar import (
     blank_to_null,
     combination_label,
     day_bucket,
+    finite_number,
     is_true,
     join_trace,
     micros_between,
@@ -25,6 +26,7 @@ __all__ = [
     "blank_to_null",
     "combination_label",
     "day_bucket",
+    "finite_number",
     "is_true",
     "join_trace",
     "micros_between",

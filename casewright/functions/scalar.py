@@ -51,6 +51,12 @@ def parse_manual_trace(line: Column) -> Column:
 
 
 # -- truth --------------------------------------------------------------------
+def finite_number(c: Column) -> Column:
+    """A number from any value; null for what is none, and for NaN and infinities."""
+    n = c.try_cast("double")
+    return F.when(F.abs(n) < float("inf"), n)
+
+
 def is_true(c: Column) -> Column:
     """Two-valued truth: an unknown comparison counts as false."""
     return F.coalesce(c, F.lit(False))

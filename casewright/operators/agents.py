@@ -92,6 +92,24 @@ def resource_combinations(log: DataFrame) -> DataFrame:
     )
 
 
+# What a row of the matrix's figures is about.
+CELL, ROW_TOTAL, COLUMN_TOTAL = "cell", "activity", "resource"
+
+
+def activity_resource_margins(log: DataFrame) -> DataFrame:
+    """``(level, activity, resource, frequency)``: cells and both margins of the matrix.
+
+    All three come from one aggregation over grouping sets, so the log is read
+    and shuffled once.
+    """
+    used = exploded_resources(log).where(F.col(ACTIVITY).isNotNull()).select(F.col(ACTIVITY).alias("activity"), "resource")
+    both = ["activity", "resource"]
+    level = F.when(F.grouping("resource") == 1, ROW_TOTAL).when(F.grouping("activity") == 1, COLUMN_TOTAL).otherwise(CELL)
+    return used.groupingSets([both, both[:1], both[1:]], *both).agg(
+        level.alias("level"), F.count(F.lit(1)).alias("frequency")
+    ).select("level", *both, "frequency")
+
+
 def activity_resource_counts(
     log: DataFrame,
     activities: Sequence[str] = (),
@@ -102,16 +120,12 @@ def activity_resource_counts(
     An empty selection keeps everything. The margins are those of the whole
     matrix; they order its rows and columns.
     """
-    cells = (
-        exploded_resources(log)
-        .where(F.col(ACTIVITY).isNotNull())
-        .groupBy(F.col(ACTIVITY).alias("activity"), "resource")
-        .agg(F.count(F.lit(1)).alias("frequency"))
-    )
-    cells = scale.checkpointed(cells)
-    by_activity = cells.groupBy("activity").agg(F.sum("frequency").alias("activity_total"))
-    by_resource = cells.groupBy("resource").agg(F.sum("frequency").alias("resource_total"))
-    out = cells.join(by_activity, "activity").join(by_resource, "resource")
+    figures = activity_resource_margins(log)
+    cells = figures.where(F.col("level") == CELL).drop("level")
+    # Three readings of one aggregation, which Spark shuffles once.
+    rows = figures.where(F.col("level") == ROW_TOTAL).select("activity", F.col("frequency").alias("activity_total"))
+    columns = figures.where(F.col("level") == COLUMN_TOTAL).select("resource", F.col("frequency").alias("resource_total"))
+    out = cells.join(rows, "activity").join(columns, "resource")
     if activities:
         out = out.where(F.col("activity").isin(list(activities)))
     if resources:

@@ -17,6 +17,7 @@ from datetime import date
 from functools import reduce
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +27,10 @@ from ..schema import ACTIVITY, AGENT, CASE, END, START, require
 from .sequence import BY_START, EventOrder, join_on_case, with_next
 
 NEXT = "__next_activity"
+#: Ids up to this number stand in the plan, where a scan can use them.
+LITERAL_CASES = 50
+#: Lists of cases and of rules up to this number are broadcast.
+BROADCAST_CASES = 500_000
 
 
 class MaskPlan:
@@ -35,7 +40,7 @@ class MaskPlan:
         self.log = log
         self._plain: list[tuple[str, Column, Column]] = []
         self._paired: list[tuple[str, Column, Column]] = []
-        self._sets: list[tuple[str, DataFrame]] = []
+        self._sets: list[tuple[str, DataFrame, bool]] = []
 
     def _name(self) -> str:
         return f"__fact_{len(self._plain) + len(self._paired) + len(self._sets)}"
@@ -50,10 +55,13 @@ class MaskPlan:
         (self._paired if paired else self._plain).append((name, aggregate, relevant))
         return F.col(name)
 
-    def case_in(self, cases: DataFrame) -> Column:
-        """Membership of the case in a (possibly large) table of cases."""
+    def case_in(self, cases: DataFrame, few: bool = False) -> Column:
+        """Membership of the case in a (possibly large) table of cases, compared as text.
+
+        ``few``: there are at most ``BROADCAST_CASES``, so they can be broadcast.
+        """
         name = self._name()
-        self._sets.append((name, cases))
+        self._sets.append((name, cases, few))
         return F.col(name)
 
     def attach(self) -> DataFrame:
@@ -64,9 +72,13 @@ class MaskPlan:
             out = join_on_case(out, _facts(pairs, self._plain + self._paired), base=self.log)
         elif self._plain:
             out = join_on_case(out, _facts(self.log, self._plain), base=self.log)
-        for name, cases in self._sets:
-            members = cases.select(F.col(CASE)).distinct().withColumn(name, F.lit(True))
-            out = join_on_case(out, members, base=self.log)
+        for name, cases, few in self._sets:
+            if few:
+                members = F.broadcast(cases.select(F.col(CASE).alias("__member"), F.lit(True).alias(name)))
+                out = out.join(members, F.col(CASE).cast("string") == F.col("__member"), "left").drop("__member")
+            else:
+                members = cases.select(F.col(CASE)).distinct().withColumn(name, F.lit(True))
+                out = join_on_case(out, members, base=self.log)
         return out
 
 
@@ -237,7 +249,12 @@ class CaseFilter(EventFilter):
         if not self.cases:
             return F.lit(False)
         # Ids compare as text, however many there are.
-        return F.col(CASE).cast("string").isin(self.cases)
+        if len(self.cases) <= LITERAL_CASES:
+            return F.col(CASE).cast("string").isin(self.cases)
+        table = plan.log.sparkSession.createDataFrame(pa.table({CASE: pa.array(self.cases, pa.string())}))
+        if CASE in plan.log.columns and len(self.cases) > BROADCAST_CASES:
+            table = table.select(F.col(CASE).try_cast(plan.log.schema[CASE].dataType).alias(CASE))
+        return plan.case_in(table, few=len(self.cases) <= BROADCAST_CASES)
 
 
 class _FollowsFilter(EventFilter):
@@ -286,23 +303,77 @@ EVENTUALLY = "Eventually Follows"
 DIRECTLY = "Directly Follows"
 
 
+class FollowsRuleSet(EventFilter):
+    """Cases in which every one of a set of rules holds.
+
+    ``rules`` are distinct (predecessor, successor, kind). The steps that a case takes
+    are joined to the table of rules, and the rules met are counted: a case passes if
+    it meets as many as there are. The plan is the same for ten rules and ten thousand.
+    """
+
+    required_columns = (CASE, ACTIVITY, START)
+
+    def __init__(self, rules: Iterable[tuple[str, str, str]], order: EventOrder = BY_START) -> None:
+        self.rules = sorted(set(rules))
+        self.order = order
+
+    def mask(self, plan: MaskPlan) -> Column:
+        return plan.case_in(self.passing_cases(plan.log)) if self.rules else F.lit(True)
+
+    def met(self, log: DataFrame) -> DataFrame:
+        """``(CASE_ID, rule)``: the rules that each case meets, by their number, each once."""
+        met = []
+        for kind, find in ((DIRECTLY, self._steps), (EVENTUALLY, self._spans)):
+            chosen = [(i, p, s) for i, (p, s, k) in enumerate(self.rules) if k == kind]
+            if chosen:
+                columns = [pa.array([r[c] for r in chosen]) for c in range(3)]
+                table = log.sparkSession.createDataFrame(pa.table(columns, names=["rule", "pred", "succ"]))
+                met.append(find(log, F.broadcast(table) if len(chosen) <= BROADCAST_CASES else table))
+        return reduce(lambda a, b: a.unionByName(b), met)
+
+    def passing_cases(self, log: DataFrame) -> DataFrame:
+        counted = self.met(log).groupBy(CASE).agg(F.count(F.lit(1)).alias("n"))
+        return counted.where(F.col("n") == len(self.rules)).select(CASE)
+
+    def _steps(self, log: DataFrame, rules: DataFrame) -> DataFrame:
+        pairs = with_next(log, self.order, {ACTIVITY: NEXT})
+        hit = (F.col(ACTIVITY) == F.col("pred")) & (F.col(NEXT) == F.col("succ"))
+        return pairs.join(rules, hit).select(CASE, "rule").distinct()
+
+    def _spans(self, log: DataFrame, rules: DataFrame) -> DataFrame:
+        """First and last place of each activity of a case; a row per two of them and rule."""
+        named = rules.select(F.explode(F.array("pred", "succ")).alias(ACTIVITY)).distinct()
+        at = self.order.struct(log)
+        spans = (
+            log.where(F.col(CASE).isNotNull()).join(named, ACTIVITY, "left_semi").groupBy(CASE, ACTIVITY)
+            .agg(F.min(at).alias("first"), F.max(at).alias("last"))
+        )
+        begun = spans.join(rules, F.col(ACTIVITY) == F.col("pred")).select(CASE, "rule", "succ", "first")
+        ended = spans.select(F.col(CASE).alias("__case"), F.col(ACTIVITY).alias("__succ"), "last")
+        same = (F.col(CASE) == F.col("__case")) & (F.col("succ") == F.col("__succ"))
+        return begun.join(ended, same & (F.col("first") < F.col("last"))).select(CASE, "rule")
+
+
+#: Rule sets up to this size are facts of the pass that other filters take as well.
+FEW_RULES = 8
+
+
 def follows_rules(rules: Iterable[Sequence[str | None]]) -> list[EventFilter]:
     """Filters for (predecessor, successor, kind) rules, all of which must hold.
 
     Incomplete rules, repetitions and rules relating an activity to itself are
     left out.
     """
-    filters: list[EventFilter] = []
+    kept: list[tuple[str, str, str]] = []
     for pred, succ, kind in dict.fromkeys(tuple(r) for r in rules):
         if pred is None or succ is None or kind is None or pred == succ:
             continue
-        if kind == EVENTUALLY:
-            filters.append(EventuallyFollowsFilter(pred, succ))
-        elif kind == DIRECTLY:
-            filters.append(DirectlyFollowsFilter(pred, succ))
-        else:
+        if kind not in (EVENTUALLY, DIRECTLY):
             raise FilterError(f"unknown relation {kind!r}")
-    return filters
+        kept.append((_FollowsFilter._name(pred), _FollowsFilter._name(succ), kind))
+    if len(kept) > FEW_RULES:
+        return [FollowsRuleSet(kept)]
+    return [(EventuallyFollowsFilter if k == EVENTUALLY else DirectlyFollowsFilter)(p, s) for p, s, k in kept]
 
 
 class VariantFilter(EventFilter):

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import scale, session
-from ..functions import as_timestamp, is_true
+from ..functions import as_timestamp, finite_number, is_true
 from ..schema import ACTIVITY, CASE, END, EVENT, START, require
 
 @dataclass(frozen=True)
@@ -39,7 +39,7 @@ class EventOrder:
             require(log, self.timestamps[:1])
         keys = [as_timestamp(log, c) for c in stamps]
         if EVENT in present:
-            keys.append(F.col(EVENT).try_cast("double"))
+            keys.append(finite_number(F.col(EVENT)))
         keys.extend(F.col(c) for c in self.extra if c in present)
         if ACTIVITY in present:
             keys.append(F.col(ACTIVITY))

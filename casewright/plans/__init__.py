@@ -4,9 +4,11 @@ from .aggregation import (
     AGGREGATORS,
     AggregatorRegistry,
     CaseChain,
+    MergeableSteps,
     case_date,
     case_duration,
     case_expressions,
+    case_steps,
     case_variant,
     needs,
     normalized_timestamps,
@@ -30,6 +32,7 @@ __all__ = [
     "CaseChain",
     "DFGModel",
     "EventLogView",
+    "MergeableSteps",
     "PerformanceDFGModel",
     "PetriNetModel",
     "ProcessModel",
@@ -38,6 +41,7 @@ __all__ = [
     "case_date",
     "case_duration",
     "case_expressions",
+    "case_steps",
     "case_variant",
     "generate_process_model",
     "needs",

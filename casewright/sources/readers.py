@@ -111,6 +111,11 @@ def read_parquet_log(
     return clean_log(log) if clean else log
 
 
+def read_log_table(spark: SparkSession, name: str) -> DataFrame:
+    """A log written by ``write_log_table``; Spark knows how its cases are dealt."""
+    return LogSchema().conform(spark.table(name))
+
+
 def load_log(spark: SparkSession, path: str, **options) -> DataFrame:
     """Load and clean a log by the suffix of its name.
 

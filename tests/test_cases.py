@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from casewright import AggregationError, MissingColumnsError, RegistryError, plans
 from casewright.operators import analytics, cases
+from casewright.plans import aggregation
 from casewright.sources import normalize_timestamps
 
 FULL = ("CASE_ID", "EVENT_ID", "ACTIVITY", "START_TIMESTAMP", "END_TIMESTAMP", "AGENTE")
@@ -204,3 +205,24 @@ def test_chosen_ranks_need_no_ranking_of_all(trace_log, monkeypatch):
     monkeypatch.setattr(cases, "TOP_RANKS", 1)
     assert rows(cases.cases_of_variants(log, ids), "CASE_ID") == few == [("1",), ("2",), ("3",), ("5",), ("7",)]
     assert rows(cases.cases_of_variants(log, ["nothing"])) == []
+
+
+def test_python_steps_see_pieces_of_a_case_and_never_all_of_it(spark, monkeypatch):
+    monkeypatch.setattr(aggregation, "HELD_CASES", 3)
+    n = 60_000
+    log = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("c"), (F.col("id") % 700).cast("string"))).alias("CASE_ID"),
+        F.col("id").alias("EVENT_ID"), F.lit("a").alias("ACTIVITY")).repartition(6)
+    log = log.unionByName(log.limit(5).withColumn("CASE_ID", F.lit(None).cast("string")))
+    # Sum, and the most events that a step has seen at a time.
+    steps = plans.MergeableSteps(
+        init=lambda: (0, 0), update=lambda s, e: (s[0] + int(e["EVENT_ID"].sum()), max(s[1], len(e))),
+        merge=lambda a, b: (a[0] + b[0], max(a[1], b[1])), finish=lambda s: list(s),
+        returns="array<bigint>", columns=("EVENT_ID",))
+    got = {r.CASE_ID: r["value"] for r in plans.CaseChain(log).per_case(plans.case_steps, steps=steps).compute().collect()}
+    assert max(most for _, most in got.values()) <= 10_000 < n // 3
+    want = {}
+    for i in range(n):
+        case = "hot" if i % 3 == 0 else f"c{i % 700}"
+        want[case] = want.get(case, 0) + i
+    assert {c: total for c, (total, _) in got.items()} == want

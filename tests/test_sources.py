@@ -1,10 +1,12 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from casewright import LogSchema, MissingColumnsError, functions, plans, sources, verify_format
-from casewright.operators import dfg, filters
+from casewright.functions import finite_number
+from casewright.operators import cases, dfg, filters, sequence
 
 CSV = """CASE_ID;EVENT_ID;ACTIVITY;START_TIMESTAMP;END_TIMESTAMP;AGENTE;duration_seconds
 1;1;start;2024-01-01 10:00:00;2024-01-01 10:01:00;ai;60
@@ -160,3 +162,38 @@ def test_xes_keeps_all_attributes(spark, tmp_path):
     assert set(log.columns) >= {"org:resource", "AGENTE", "case:channel"}
     got = {(r.CASE_ID, r.ACTIVITY): (r["org:resource"], r.AGENTE, r["case:channel"]) for r in log.collect()}
     assert got == {("c1", "A"): ("7", "ai", "web"), ("c1", "B"): (None, None, "web"), ("c2", "A"): (None, None, None)}
+
+
+def test_stored_layout_spares_the_shuffle_by_case(spark, tmp_path, make_log):
+    rng = random.Random(1)
+    rows = [(f"c{rng.randrange(40)}", str(i), rng.choice("abc"), f"2024-01-01 00:{i % 60:02d}:00", f"2024-01-01 01:{i % 60:02d}:00")
+            for i in range(400)] + [(None, "400", "a", "2024-01-01 00:00:00", "2024-01-01 00:00:00")]
+    log = make_log(rows, "CASE_ID", "EVENT_ID", "ACTIVITY", "START_TIMESTAMP", "END_TIMESTAMP")
+    sources.write_log_table(log, "dealt_log", 3, str(tmp_path / "dealt"))
+    try:
+        stored = sources.read_log_table(spark, "dealt_log")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        made = {
+            "A1": lambda x: cases.case_variants(x),
+            "A5": lambda x: cases.case_durations(x),
+            "keys": lambda x: cases.CaseGroups.of(x, False, sequence.BY_START).per_case,
+            "F2": lambda x: filters.CaseHasActivityFilter("a").apply(x),
+            "F10": lambda x: filters.EventuallyFollowsFilter("a", "b").apply(x),
+            "F11": lambda x: filters.DirectlyFollowsFilter("a", "b").apply(x),
+            "M1": lambda x: dfg.discover_dfg(x).edges,
+        }
+        for name, make in made.items():
+            plan = make(stored)._jdf.queryExecution().executedPlan().toString()
+            # A graph's counts meet after they are summed up; no event is moved.
+            assert "hashpartitioning(CASE_ID" not in plan and (name == "M1" or "Exchange" not in plan), name
+            assert sorted(make(stored).collect(), key=str) == sorted(make(log).collect(), key=str), name
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE dealt_log")
+
+
+@pytest.mark.parametrize("text, number", [
+    ("7", 7.0), (" 1e3 ", 1000.0), ("NaN", None), ("Infinity", None), ("-inf", None), ("x", None), ("", None), (None, None)])
+def test_numbers_are_finite_or_missing(spark, text, number):
+    df = spark.createDataFrame([(text,)], "v string")
+    assert df.select(finite_number(df.v).alias("n")).first()["n"] == number

@@ -17,7 +17,7 @@ from casewright import plans, scale, session, sources
 from casewright.functions import join_trace
 from casewright.operators import agents, analytics, cases, conformance, dfg, filters, inductive, nets
 from casewright.operators import quality as rating
-from casewright.operators import synthetic
+from casewright.operators import sequence, synthetic
 
 from . import sql as q
 from .logs import SQL, conv_log, evt_log, item_log, note_log, plan_log, user_log, with_log
@@ -110,6 +110,24 @@ register_filter("item_follows", [filters.EventuallyFollowsFilter("AF", "NO"),
                                  ~filters.DirectlyFollowsFilter("RF", "RF")],
                 f"CASE_ID IN {q.eventually('AF', 'NO')} AND CASE_ID NOT IN {q.directly('RF', 'RF')}",
                 log="item_log", **S)
+# Lists too long to be written into a plan: rules on all pairs of activities, ids of all days of some users.
+_PAIRS = [(a, b) for a in ("click", "view", "purchase", "error") for b in ("click", "view", "purchase", "error") if a != b]
+register_filter("filter_rule_set",
+                filters.follows_rules([(a, b, filters.EVENTUALLY) for a, b in _PAIRS[:7]]
+                                      + [(a, b, filters.DIRECTLY) for a, b in _PAIRS[7:9]]),
+                " AND ".join([f"CASE_ID IN {q.eventually(a, b)}" for a, b in _PAIRS[:7]]
+                             + [f"CASE_ID IN {q.directly(a, b)}" for a, b in _PAIRS[7:9]]), log="user_log", **S)
+_USERS, _DAYS = range(0, 2000, 3), [f"2024-01-{d:02d}" for d in range(1, 32)]
+register_filter("filter_many_case_ids", [filters.CaseFilter(f"{u}-{d}" for u in _USERS for d in _DAYS)],
+                "cast(split_part(CASE_ID, '-', 1) AS INTEGER) % 3 = 0 AND cast(split_part(CASE_ID, '-', 1) AS INTEGER) < 2000 "
+                "AND CASE_ID LIKE '%-2024-01-%'")
+register("filter_not_many_case_ids", "evt_log",
+         lambda log: (~filters.CaseFilter(f"{u}-{d}" for u in _USERS for d in _DAYS)).apply(log).select("EVENT_ID"),
+         "SELECT EVENT_ID FROM log WHERE NOT (cast(split_part(CASE_ID, '-', 1) AS INTEGER) % 3 = 0 AND "
+         "cast(split_part(CASE_ID, '-', 1) AS INTEGER) < 2000 AND CASE_ID LIKE '%-2024-01-%')")
+# The first rows of a view: the limit is the feature.
+register("view_head", "evt_log", lambda log: events(plans.EventLogView(log).filter(AI).head(20, "EVENT_ID")),
+         f"SELECT {q.COLUMNS} FROM log WHERE lower(AGENTE) IN ('ai','syst') ORDER BY EVENT_ID LIMIT 20")
 register("filter_date_range_cases", "evt_log",
          lambda log: filters.date_range_filter(date(2024, 1, 3), date(2024, 1, 9)).apply(log)
          .agg(F.count_distinct("CASE_ID").alias("cases")),
@@ -304,6 +322,27 @@ register("case_expression", "evt_log",
              errors=F.count_if(F.col("ACTIVITY") == "error")).compute(),
          "SELECT CASE_ID, count(*) AS events, count(*) FILTER (WHERE ACTIVITY = 'error') AS errors "
          "FROM log GROUP BY CASE_ID")
+# A computation in Python, folded where events lie and merged per case.
+_ACTS = plans.MergeableSteps(
+    init=lambda: (0, frozenset()), update=lambda s, e: (s[0] + len(e), s[1] | frozenset(e["ACTIVITY"])),
+    merge=lambda a, b: (a[0] + b[0], a[1] | b[1]), finish=lambda s: f"{s[0]}:{','.join(sorted(s[1]))}",
+    returns="string", columns=("ACTIVITY",))
+for _prefix, _log in (("", "evt_log"), ("user_", "user_log")):
+    register(f"{_prefix}case_steps", _log,
+             lambda log: plans.CaseChain(log).per_case(plans.case_steps, steps=_ACTS, name="acts").compute(),
+             "SELECT CASE_ID, count(*) || ':' || string_agg(DISTINCT ACTIVITY, ',' ORDER BY ACTIVITY) AS acts "
+             "FROM log GROUP BY CASE_ID")
+# Event ids of which some are no numbers, or none that are finite, come last.
+_ODD_ID = ("CASE WHEN EVENT_ID % 7 = 0 THEN 'NaN' WHEN EVENT_ID % 11 = 0 THEN '-Infinity' "
+           "WHEN EVENT_ID % 13 = 0 THEN 'x' ELSE cast(EVENT_ID AS {text}) END")
+register("positions_of_odd_ids", "user_log",
+         lambda log: sequence.with_position(
+             log.select("CASE_ID", F.col("EVENT_ID").alias("number"), F.expr(_ODD_ID.format(text="string")).alias("EVENT_ID"),
+                        "ACTIVITY", F.date_trunc("day", "START_TIMESTAMP").cast("timestamp_ntz").alias("START_TIMESTAMP")),
+             sequence.EventOrder(("START_TIMESTAMP",), extra=("number",))).select("number", "position"),
+         "SELECT EVENT_ID AS number, row_number() OVER (PARTITION BY CASE_ID ORDER BY date_trunc('day', START_TIMESTAMP), "
+         "CASE WHEN EVENT_ID % 7 <> 0 AND EVENT_ID % 11 <> 0 AND EVENT_ID % 13 <> 0 THEN EVENT_ID END NULLS LAST, "
+         "EVENT_ID)::INTEGER - 1 AS position FROM log")
 register("distinct_case_dates", "evt_log", cases.distinct_case_dates,
          "SELECT DISTINCT cast(s AS DATE) AS case_date FROM "
          "(SELECT min(START_TIMESTAMP) AS s FROM log GROUP BY CASE_ID)")
@@ -370,6 +409,10 @@ register("activity_resource_counts", "evt_log", agents.activity_resource_counts,
          "cast(sum(count(*)) OVER (PARTITION BY ACTIVITY) AS BIGINT) AS activity_total, "
          "cast(sum(count(*)) OVER (PARTITION BY resource) AS BIGINT) AS resource_total "
          "FROM res GROUP BY ACTIVITY, resource", **R)
+register("activity_resource_margins", "evt_log", agents.activity_resource_margins,
+         "SELECT CASE WHEN GROUPING(resource) = 1 THEN 'activity' WHEN GROUPING(ACTIVITY) = 1 THEN 'resource' ELSE 'cell' END "
+         "AS level, ACTIVITY AS activity, resource, count(*) AS frequency FROM res "
+         "GROUP BY GROUPING SETS ((ACTIVITY, resource), (ACTIVITY), (resource))", **R)
 register("activity_resource_selection", "evt_log",
          lambda log: agents.activity_resource_counts(log, activities=["click"], resources=["r0", "r3"]),
          "SELECT * FROM (SELECT ACTIVITY AS activity, resource, count(*) AS frequency, "
@@ -674,6 +717,27 @@ def variant_net(log: DataFrame) -> DataFrame:
 
 register("variant_net", "conv_log", variant_net, "SELECT DISTINCT ACTIVITY AS label FROM log")
 
+# -- stored layout ----------------------------------------------------------------------------------------------
+def _on_table(query: Query, log: str) -> Query:
+    """The query on the log written as a table that is dealt by case."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        scale.ensure_checkpoint_dir(spark)
+        name = f"log_{uuid4().hex}"
+        path = f"{spark.sparkContext.getCheckpointDir()}/{name}"
+        sources.write_log_table(LOGS[log](spark, sf_dir), name, scale.shuffle_partitions(spark), path)
+        return query(sources.read_log_table(spark, name))
+    return run
+
+
+for _name, _log, _query in (
+    ("dfg_edges", "evt_log", lambda log: dfg.discover_dfg(log).edges),
+    ("case_duration", "evt_log", lambda log: rounded("minutes")(cases.case_durations(log).select("CASE_ID", "minutes"))),
+    ("filter_directly_follows", "evt_log", lambda log: events(ERROR_VIEW.apply(log))),
+    ("user_variants_table", "user_log", lambda log: cases.variants_table(log).drop("trace")),
+):
+    QUERIES[f"stored_{_name}"] = _on_table(_query, _log)
+    ORACLE[f"stored_{_name}"] = ORACLE[_name]
+
 # -- hot cases ------------------------------------------------------------------------------------------------
 HOT_EVENTS = 30
 
