@@ -12,7 +12,11 @@ from dataclasses import dataclass, field
 
 
 class UnboundedNet(ValueError):
-    """Silent moves of the net make more and more tokens."""
+    """Moves of the net make more and more tokens."""
+
+
+#: Tokens of a marking that grew on its own path from which the net counts as unbounded.
+MOST_TOKENS = 1_000
 
 
 def refuse_growth(marking, before, previous) -> None:
@@ -22,7 +26,7 @@ def refuse_growth(marking, before, previous) -> None:
     """
     while before is not None:
         if before != marking and all(a <= b for a, b in zip(before, marking)):
-            raise UnboundedNet(f"silent moves lead from {before} to {marking}")
+            raise UnboundedNet(f"moves lead from {before} to {marking}")
         before = previous(before)
 
 
@@ -73,6 +77,25 @@ class CompiledNet:
                 net.by_label.setdefault(m.label, []).append(m)
         return net
 
+    def __post_init__(self) -> None:
+        """Find out which places can ever be marked, and which never lose a token."""
+        marked = {p for p, n in enumerate(self.initial) if n}
+        grown = True
+        while grown:
+            more = {p for m in self.moves if {p for p, _ in m.take} <= marked for p, _ in m.put} - marked
+            grown = bool(more)
+            marked |= more
+        self.can_finish = all(p in marked for p, n in enumerate(self.final) if n)
+        kept = set(range(len(self.places)))
+        for m in self.moves:
+            back = dict(m.put)
+            kept -= {p for p, w in m.take if w > back.get(p, 0)}
+        self.never_drained = sorted(kept)
+
+    def dead(self, marking) -> bool:
+        """Whether a place holds more than in the end and no move takes any away."""
+        return any(marking[p] > self.final[p] for p in self.never_drained)
+
     def missing(self, marking, move) -> int:
         return sum(max(0, w - marking[p]) for p, w in move.take)
 
@@ -205,8 +228,12 @@ def align_trace(net: CompiledNet, trace):
     """Cheapest moves through net and trace: ``(cost, steps)`` or None.
 
     Log and visible model moves cost one, synchronous and silent moves nothing,
-    so a two-ended queue finds the optimum. Exact: nothing is cut off.
+    so a two-ended queue finds the optimum. Exact: markings are left out only where
+    no move can drain what they hold too much. A net of which a final place can
+    never be marked has no alignment.
     """
+    if not net.can_finish:
+        return None
     n = len(trace)
     start = (0, net.initial)
     best = {start: 0}
@@ -214,10 +241,14 @@ def align_trace(net: CompiledNet, trace):
     done = set()
     queue = deque([start])
 
+    def model_before(marking_at):
+        """The marking before a model step, at the same event."""
+        came = back[i, marking_at]
+        return came[0][1] if came is not None and came[0][0] == i else None
+
     def silent_before(marking_at):
-        """The marking before a silent step, at the same event."""
         came = back[i, marking_at]
-        return came[0][1] if came is not None and came[1][2] == "silent" else None
+        return model_before(marking_at) if came is not None and came[1][2] == "silent" else None
 
     while queue:
         state = queue.popleft()
@@ -244,11 +275,15 @@ def align_trace(net: CompiledNet, trace):
         if i < n:
             options.append((1, (i + 1, marking), (trace[i], ">>", "log")))
         for price, to, step in options:
+            if step[2] == "model" and net.dead(to[1]):
+                continue
             if cost + price < best.get(to, float("inf")):
                 best[to] = cost + price
                 back[to] = (state, step)
                 if step[2] == "silent":
                     refuse_growth(to[1], marking, silent_before)
+                elif step[2] == "model" and sum(to[1]) > MOST_TOKENS:
+                    refuse_growth(to[1], marking, model_before)
                 (queue.append if price else queue.appendleft)(to)
     return None
 

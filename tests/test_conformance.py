@@ -221,6 +221,32 @@ def test_nets_that_grow_silently_are_refused():
         align_trace(net, ["B"])
 
 
+@pytest.mark.parametrize("arcs", [
+    [("p", "a", 1), ("a", "p", 1), ("a", "q", 1)],  # the final place is never marked
+    [("p", "a", 1), ("a", "p", 1), ("a", "q", 1), ("q", "b", 1), ("b", "r", 1)],
+    [("p", "a", 1), ("a", "p", 1), ("a", "q", 1), ("a", "o", 1)],  # what a leaves is never taken away
+])
+def test_alignments_on_nets_that_cannot_finish_end(spark, traces, arcs):
+    names = sorted({x for a, b, _ in arcs for x in (a, b)})
+    places = [(x, int(x == "p"), 0) for x in names if x in "pqr"] + [("o", 0, 1)]
+    net = nets.PetriNet.from_rows(spark, places, [(x, x) for x in names if x in "ab"], arcs)
+    got = cf.alignments(traces(("a a", 2), ("", 1)), net).collect()
+    assert sorted((r.status, r.cost) for r in got) == [("none", None)] * 2
+
+
+def test_alignment_may_need_visible_growth(spark):
+    places = [("p", 1, 0), ("q", 0, 0), ("r", 0, 0), ("o", 0, 1)]
+    arcs = [("p", "a", 1), ("a", "p", 1), ("a", "q", 1), ("p", "c", 1), ("c", "r", 1), ("r", "b", 1), ("q", "b", 2), ("b", "o", 1)]
+    net = CompiledNet.build(places, [(x, x) for x in "abc"], arcs)
+    for trace, cost in (("aacb", 0), ("cb", 2), ("aaacb", 1), ("b", 3), ("", 4), ("ba", 4)):
+        assert align_trace(net, trace)[0] == cost, trace
+    hoard = CompiledNet.build(
+        [("p", 1, 0), ("q", 0, 0), ("o", 0, 1)], [("a", "a"), ("b", "b"), ("c", "c")],
+        [("p", "a", 1), ("a", "p", 1), ("a", "q", 1), ("p", "c", 1), ("c", "o", 1), ("c", "q", 1), ("q", "b", 2), ("b", "q", 1)])
+    with pytest.raises(UnboundedNet):
+        align_trace(hoard, ())
+
+
 def test_kinds_of_moves(spark):
     steps = [("a", "a", None, "sync"), ("a", ">>", None, "log"), (">>", "a", None, "model"), (None, "a", None, None),
              ("a", "b", "Log move", "log"), ("a", "a", "catalog", None), (">>", None, "silent", None), ("a", "b", None, None)]
