@@ -16,18 +16,23 @@ def read_csv_log(
     path: str,
     sep: str = ",",
     clean: bool = True,
-    multiline: bool = True,
+    multiline: bool | None = None,
     mode: str = "FAILFAST",
     timestamp_format: str | None = None,
 ) -> DataFrame:
     """Delimited text with a header. All columns are read as text (no extra
     pass to guess types); usual spellings of missing values become null.
 
-    Quoted fields may hold line breaks, so a file is read by one task; turn
-    ``multiline`` off for files known to have none, and large ones are split.
-    Rows of a wrong number of fields fail the job; Spark's other parser modes
-    can be chosen.
+    Quoted fields may hold line breaks. Files with such fields are read by a task
+    each, all others are split. Which kind it is shows in one pass over the plain
+    lines, as a field that goes on leaves an odd number of quotes on its first
+    line; ``multiline`` spares that pass where it is known. Rows of a wrong number of
+    fields fail the job; Spark's other parser modes can be chosen.
     """
+    if multiline is None:
+        line = F.col("value")
+        quotes = F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
+        multiline = not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
     raw = (
         spark.read.option("header", True).option("sep", sep).option("escape", '"')
         .option("multiLine", multiline).option("mode", mode).csv(path)

@@ -197,3 +197,24 @@ def test_stored_layout_spares_the_shuffle_by_case(spark, tmp_path, make_log):
 def test_numbers_are_finite_or_missing(spark, text, number):
     df = spark.createDataFrame([(text,)], "v string")
     assert df.select(finite_number(df.v).alias("n")).first()["n"] == number
+
+
+@pytest.mark.parametrize("note, parts", [("plain", 2), ('two ""quotes""', 2), ("line\nbreak", 1)])
+def test_flat_files_are_split_and_others_read_whole(spark, tmp_path, note, parts):
+    path = tmp_path / "log.csv"
+    head = "CASE_ID,ACTIVITY,START_TIMESTAMP,END_TIMESTAMP,NOTE\n"
+    row = f'1,a,2024-01-01 10:00:00,2024-01-01 11:00:00,"{note}"\n'
+    path.write_text(head + row * 4000)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(path.stat().st_size // 2 + 1))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    spark.conf.set("spark.sql.files.minPartitionNum", "1")
+    try:
+        log = sources.read_csv_log(spark, str(path))
+        assert log.rdd.getNumPartitions() == parts
+        assert {r.NOTE for r in log.select("NOTE").distinct().collect()} == {note.replace('""', '"')}
+        assert log.count() == 4000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+        spark.conf.unset("spark.sql.files.minPartitionNum")
