@@ -44,6 +44,8 @@ from .common import checkpointed
 
 #: Different pages that must agree on a text for it to be template.
 SUPPORT = 5
+#: The share of a page's text that may differ, in its shortest texts, between captures of it.
+REST = 0.15
 #: Wrappers of all hosts together are broadcast up to so many bytes.
 BROADCAST_BYTES = 16 * 1024 * 1024
 #: A task passes on its wrappers when it holds so many hosts.
@@ -57,7 +59,7 @@ _BLOCKS = frozenset(
 )
 _VOID = frozenset(["hr"])
 _SILENT = frozenset(
-    "applet audio button canvas datalist embed iframe map math noframes noscript object option select svg "
+    "applet audio button canvas datalist embed iframe map noframes noscript option select svg "
     "template video".split()
 )
 _CLOSES = {
@@ -82,7 +84,7 @@ _TOKEN = re.compile(
     r"<!--(?:.*?-->|.*\Z)"
     r"|<(script|style|textarea|title|xmp)\b[^>]*+>(?:.*?</\1\s*+>|.*\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
-    r"|<[!?/][^>]*+>",
+    r"|<[!?/a-zA-Z][^>]*+>",  # other markup, and tags with a quote left open
     re.DOTALL | re.IGNORECASE,
 )
 _ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/]|$)""", re.IGNORECASE)
@@ -329,6 +331,29 @@ def merged(a: Wrapper, b: Wrapper) -> Wrapper:
     return Wrapper.built(rows)
 
 
+def identity(root: Node) -> int:
+    """What makes a page another one: its longest texts, those that hold most of it all.
+
+    A page that is stored again with another date, counter or link list beside the
+    same article is no second page.
+    """
+    texts, todo = set(), [root]
+    while todo:
+        for p in todo.pop().parts:
+            if isinstance(p, Node):
+                todo.append(p)
+            else:
+                texts.add(p)
+    left, long = sum(map(len, texts)), []
+    rest = left * REST
+    for p in sorted(texts, key=lambda p: (-len(p), p)):
+        if left <= rest:
+            break
+        long.append(p)
+        left -= len(p)
+    return _hash("\n".join(long))
+
+
 class Host:
     """The wrapper of a host's pages."""
 
@@ -337,7 +362,8 @@ class Host:
 
     @classmethod
     def of_page(cls, page: str) -> Host:
-        return cls(folded([parse(page)], frozenset([_hash(page)])))
+        root = parse(page)
+        return cls(folded([root], frozenset([identity(root)])))
 
     def add(self, other: Host) -> None:
         if self.wrapper.seen == other.wrapper.seen and len(self.wrapper.seen) == 1:

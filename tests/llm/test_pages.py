@@ -147,6 +147,31 @@ def test_copies_are_one_page_in_every_slot(spark):
     assert hx.main_text(rows[5][2], host) == "Copy\nCopy body\nonly here"
 
 
+@pytest.mark.parametrize("copies", [5, 50])
+@pytest.mark.parametrize("others", [0, 20])
+def test_pages_stored_again_with_another_stamp_keep_their_article(spark, copies, others):
+    page = "<body><div><p>Our site</p></div><div><h1>{0}</h1><p>" + LONG + "{0}</p>{1}</div><div>{2}</div></body>"
+    extra = "<blockquote>words said by somebody</blockquote><ul><li>one thing<li>another thing</ul>"
+    rows = [(i, "http://h/%d" % i, page.format(f"Title {i}", "", "")) for i in range(others)]
+    rows += [(100 + i, "http://h/again", page.format("Again", extra, f"session {i}")) for i in range(copies)]
+    got = {r.page_id: r.text for r in hx.extract_text(pages_of(spark, rows).repartition(3)).collect()}
+    whole = f"Again\n{LONG}Again\nwords said by somebody\none thing\nanother thing"
+    site = "" if others else "Our site\n"
+    assert all(got[100 + i] == f"{site}{whole}\nsession {i}" for i in range(copies))
+    assert all(got[i] == f"Title {i}\n{LONG}Title {i}" for i in range(others))
+
+
+@pytest.mark.parametrize("page, text", [
+    ("<article><p>Let <math><mi>x</mi></math> be real.</article>", "Let x be real."),
+    ("<p>see <object data=a.svg>the figure</object> here", "see the figure here"),
+    ('<p>a<a href="x>link tail', "alink tail"),
+    ("<p>k<b class='>l</b>m", "klm"),
+    ("<p>1 < 2 and 3 > 2", "1 < 2 and 3 > 2"),
+])
+def test_formulas_objects_and_open_quotes(page, text):
+    assert hx.main_text(page, None) == text
+
+
 def test_pages_table(spark):
     if not pathlib.Path(SF).exists():
         pytest.skip("no test tables here")
