@@ -172,11 +172,10 @@ def _block(docs: DataFrame, rows: list, k: int) -> DataFrame:
     # The best classes' bags, then their members by document, as many as can count.
     heads = won.select("hash", F.col("id").alias("head")).distinct()
     named = classes.withColumnRenamed("id", "head").join(heads, ["hash", "head"])
-    inside = Window.partitionBy("hash", "head").orderBy("id")
-    expanded = (
-        members.select("id", "hash", *bag).join(named, ["hash", *bag]).select("hash", "head", "id")
-        .withColumn("__n", F.row_number().over(inside)).where(F.col("__n") <= k).select("hash", "head", "id")
-    )
+    # A large class gives no more than k rows of each task to the shuffle.
+    inside = Window.partitionBy("hash", *bag).orderBy("id")
+    first = members.select("id", "hash", *bag).withColumn("__n", F.row_number().over(inside)).where(F.col("__n") <= k)
+    expanded = first.join(named, ["hash", *bag]).select("hash", "head", "id")
     found = won.select("item", "score", "hash", F.col("id").alias("head")).join(expanded, ["hash", "head"])
     final = Window.partitionBy("item").orderBy(F.desc("score"), "id")
     names = spark.createDataFrame([(i, r["item_id"]) for i, r in enumerate(rows)], "item bigint, item_id bigint")
