@@ -705,6 +705,10 @@ for _name in ("plan_log", "note_log"):
     register(f"inductive_relations_{_name[:4]}", _name,
              lambda log: inductive.discover_log_tree(log).relations(log.sparkSession), _SHOWN, spans=_SPANS)
 
+# Each variant once, written out as a trace by itself.
+register("variant_relations", "plan_log",
+         lambda log: inductive.discover_chosen_tree(cases.variants_table(log)).relations(log.sparkSession), _SHOWN, spans=_SPANS)
+
 
 def variant_net(log: DataFrame) -> DataFrame:
     """Net of the three first variants and of all traces written out by hand."""
