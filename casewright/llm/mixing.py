@@ -6,7 +6,8 @@ taken floor(rate) times, and once more with the remaining probability, decided
 by a hash of its id. Only DataFrame functions are used.
 
 Defined results: a null text has size 0; a null source is one source, last in
-order; a null id hashes as the word ``null``; rows that share an id share the
+order; rows without an id draw by their text, so a source of such rows meets its
+target as others do; rows that share an id, or have none and share a text, share the
 draw; an empty table gives an empty result; other columns pass through ``mix``, and
 ``mix_plan`` replaces columns of the names that it adds.
 """
@@ -65,10 +66,11 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float =
     )
 
 
-def draw(key: str = "doc_id", seed: str = "mix") -> Column:
-    """A number in [0, 1) that depends on the seed and the key alone."""
-    text = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("null")))
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") / F.lit(float(2**32))
+def draw(key: str = "doc_id", text: str = "text", seed: str = "mix") -> Column:
+    """A number in [0, 1) that depends on the seed and the key alone, or the text if that is null."""
+    own = F.coalesce(F.col(key).cast("string"), F.md5(F.col(text)), F.lit("null"))
+    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), own)), 1, 8)
+    return F.conv(digits, 16, 10).cast("bigint") / F.lit(float(2**32))
 
 
 def mix_plan(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -104,7 +106,7 @@ def op6(spark, sf_dir: str) -> DataFrame:
 
 OP6_SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source,
+  SELECT doc_id, source, md5(text) AS own,
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size
   FROM documents
 ), totals AS (
@@ -127,7 +129,7 @@ WITH sized AS (
 ), rated AS (
   SELECT s.doc_id, s.size, g.source_size, g.target,
          CASE WHEN g.source_size > 0 THEN g.target / g.source_size ELSE 0.0 END AS rate,
-         ('0x' || substr(md5('mix:' || coalesce(s.doc_id::VARCHAR, 'null')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u
+         ('0x' || substr(md5('mix:' || coalesce(s.doc_id::VARCHAR, s.own, 'null')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u
   FROM sized s JOIN goal g ON s.source IS NOT DISTINCT FROM g.source
 )
 SELECT doc_id, size, source_size, target,

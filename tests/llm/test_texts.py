@@ -258,6 +258,15 @@ def test_mixing_odd_rows(docs):
     assert {(r.size, r.target) for r in got} == {(2, 6.0), (0, 6.0)}
 
 
+def test_rows_without_ids_meet_their_target(docs, prose):
+    rows = [(None, prose(40), "a") for _ in range(600)] + [(i, prose(40), "b") for i in range(600)]
+    planned = mixing.mix_plan(docs(rows)).collect()
+    for source in "ab":
+        own = [r for r in planned if r.source == source]
+        assert sum(r.size * r.copies for r in own) == pytest.approx(own[0].target, rel=0.1)
+    assert len({r.copies for r in planned if r.source == "a"}) == 2
+
+
 # --- packing -------------------------------------------------------------------
 
 
