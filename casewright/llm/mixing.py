@@ -80,13 +80,15 @@ def mix_plan(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float =
     the sources are few enough for its limit, and a join whose hot source
     adaptive execution can split where they are not.
     """
-    sized = docs.withColumn("size", word_count())
+    # Drawn before the join, so that it does not carry texts that nobody asks for.
+    sized = docs.withColumns({"size": word_count(), "__draw": draw()})
     goal = targets(
         sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most
     )
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    extra = F.when(draw() < rate - F.floor(rate), 1).otherwise(0)
-    return same_keys(sized, goal, ["source"]).withColumn("copies", (F.floor(rate) + extra).cast("int"))
+    extra = F.when(F.col("__draw") < rate - F.floor(rate), 1).otherwise(0)
+    joined = same_keys(sized, goal, ["source"])
+    return joined.withColumn("copies", (F.floor(rate) + extra).cast("int")).drop("__draw")
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
