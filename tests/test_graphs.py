@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from casewright import plans, scale, session
+from casewright import plans, scale, session, sources
 from casewright.operators import agents, cases, conformance, dfg, inductive, nets, quality, sequence, trees
 
 COLUMNS = ("CASE_ID", "EVENT_ID", "ACTIVITY", "START_TIMESTAMP", "END_TIMESTAMP")
@@ -167,6 +167,28 @@ def test_frequent_cases_are_those_of_an_exact_count(spark, monkeypatch, tracked)
     assert got == {f"c{i}" for i in range(5)}
 
 
+def test_no_task_puts_more_events_in_order_than_fit(make_log, spark, tmp_path):
+    log = make_log(random_rows(12), *COLUMNS)
+    parts = -(-log.count() // 10)
+    assert parts > 4 == spark.sparkContext.defaultParallelism
+    want = sorted(cases.log_traces(log).collect(), key=str)
+    steps = sorted(dfg.discover_dfg(log).edges.collect(), key=str)
+    sources.write_log_table(log, "large_log", 3, str(tmp_path / "large"))
+    spark.conf.set("spark.casewright.taskEvents", "10")
+    try:
+        keys = sequence.case_keys(log, sequence.BY_END)
+        assert keys.rdd.getNumPartitions() == parts
+        assert sorted(cases.log_traces(log).collect(), key=str) == want
+        assert sorted(dfg.discover_dfg(log).edges.collect(), key=str) == steps
+        # What lies by case already stays where it is.
+        stored = sequence.case_keys(sources.read_log_table(spark, "large_log"), sequence.BY_END)
+        assert "Exchange" not in stored._jdf.queryExecution().executedPlan().toString()
+        assert sorted(stored.collect(), key=str) == sorted(keys.collect(), key=str)
+    finally:
+        spark.conf.unset("spark.casewright.taskEvents")
+        spark.sql("DROP TABLE large_log")
+
+
 def test_logs_with_the_same_cases_are_looked_at_once(make_log, spark, monkeypatch):
     log = make_log(random_rows(11), *COLUMNS)
     spark.conf.set(session.HOT_CASE_EVENTS, "3")
