@@ -189,6 +189,24 @@ def test_no_task_puts_more_events_in_order_than_fit(make_log, spark, tmp_path):
         spark.sql("DROP TABLE large_log")
 
 
+def test_variants_of_a_large_log_come_from_tasks_of_bounded_size(make_log, spark):
+    log = make_log(random_rows(13, 120, 0.1), *COLUMNS)
+
+    def found():
+        table = cases.variants_table(log)
+        tree = inductive.discover_chosen_tree(table)
+        return sorted(table.collect(), key=str), sorted(tree.relations(spark).collect())
+
+    want = found()
+    spark.conf.set("spark.casewright.taskEvents", "10")
+    try:
+        keys = cases.CaseGroups.of(log, False, sequence.BY_START).per_case
+        assert keys.rdd.getNumPartitions() == -(-log.count() // 10) > 4
+        assert found() == want
+    finally:
+        spark.conf.unset("spark.casewright.taskEvents")
+
+
 def test_logs_with_the_same_cases_are_looked_at_once(make_log, spark, monkeypatch):
     log = make_log(random_rows(11), *COLUMNS)
     spark.conf.set(session.HOT_CASE_EVENTS, "3")
