@@ -40,8 +40,10 @@ SIZE, END = 4096, 2
 SENTENCE, INSIDE = 24, 48
 GRAIN = 64
 SPAN = 256
-#: Word parts whose ids a worker remembers.
-MEMORY = 1_500_000
+#: Word parts whose ids a worker remembers, some 40 bytes each.
+MEMORY = 1_000_000
+#: New parts that are tokenized in one go: the tokenizer's answers take some kB each.
+AT_ONCE = 10_000
 
 _STOP = np.zeros(256, bool)
 _STOP[list(b".!?")] = True
@@ -56,7 +58,8 @@ class Vocabulary:
 
     The vocabulary ignores case and splits at white space, and between a letter
     and a punctuation mark, before anything else. So the ids of a text are those
-    of such parts in a row. Parts are remembered by their hash.
+    of such parts in a row. Parts are remembered by their hash, in plain arrays: a
+    worker keeps them beside what other stages need.
     """
 
     def __init__(self, path: str):
@@ -65,10 +68,28 @@ class Vocabulary:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[int, int] = {}
+        # Hashes in ascending order, and the place of each one's ids.
+        self.known, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
         self.begins = np.zeros(1, np.int64)
 
+    def _learn(self, hashes: np.ndarray, data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> None:
+        """Remember parts; hashes ascend."""
+        ids, lengths = [self.ids], []
+        for a in range(0, len(hashes), AT_ONCE):
+            spans = zip(begins[a : a + AT_ONCE].tolist(), ends[a : a + AT_ONCE].tolist(), strict=True)
+            found = self.tokenizer.encode_batch_fast(
+                [data[b:e].tobytes().decode() for b, e in spans], add_special_tokens=False
+            )
+            lists = [x.ids for x in found]
+            lengths.extend(map(len, lists))
+            ids.append(np.array([i for x in lists for i in x], np.uint32))
+        at = np.searchsorted(self.known, hashes)
+        self.place = np.insert(self.place, at, len(self.known) + np.arange(len(hashes)))
+        self.known = np.insert(self.known, at, hashes)
+        self.begins = np.append(self.begins, self.begins[-1] + np.cumsum(lengths))
+        self.ids = np.concatenate(ids)
+
     def parts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         begins, ends, _ = words(data, offsets)
         mark = _MARK[data]
@@ -90,20 +111,10 @@ class Vocabulary:
         )
         if len(self.known) > MEMORY:
             self._forget()
-        known = self.known
-        keys = hashes.tolist()
-        new = [k for k, h in enumerate(keys) if h not in known]
-        if new:
-            raw = data.tobytes()
-            spans = zip(begins[where[new]].tolist(), ends[where[new]].tolist(), strict=True)
-            found = self.tokenizer.encode_batch_fast([raw[a:b].decode() for a, b in spans], add_special_tokens=False)
-            lists = [x.ids for x in found]
-            for k in new:
-                known[keys[k]] = len(known)
-            lengths = np.fromiter(map(len, lists), np.int64, len(lists))
-            self.begins = np.append(self.begins, self.begins[-1] + np.cumsum(lengths))
-            self.ids = np.append(self.ids, np.array([i for x in lists for i in x], np.uint32))
-        rows = np.fromiter((known[h] for h in keys), np.int64, len(keys))[which]
+        new = np.searchsorted(self.known, hashes) == np.searchsorted(self.known, hashes, "right")
+        if new.any():
+            self._learn(hashes[new], data, begins[where[new]], ends[where[new]])
+        rows = self.place[np.searchsorted(self.known, hashes)][which]
         first = self.begins[rows]
         lengths = self.begins[rows + 1] - first
         up_to = np.cumsum(lengths)

@@ -34,6 +34,8 @@ SAMPLE = 20_000
 KEEP = 0.5
 #: Added to a text's word count, so that a few words decide little.
 FEW = 8
+#: Bytes of texts that are looked at in one go, about: each takes some 50 bytes meanwhile.
+PIECE = 1_000_000
 
 _UPPER, _LETTER, _DIGIT, _SYMBOL, _MARK = (np.zeros(256, bool) for _ in range(5))
 _UPPER[65:91] = True
@@ -109,7 +111,7 @@ class Texts:
 
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for _, _, data, offsets in text_bytes(batch.column(0)):
+        for _, _, data, offsets in text_bytes(batch.column(0), PIECE):
             texts = Texts(data, offsets)
             votes = texts.votes()[texts.count > 0] + 1
             code = votes @ (3 ** np.arange(votes.shape[1]))
@@ -119,7 +121,7 @@ def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for first, end, data, offsets in text_bytes(batch.column(0)):
+        for first, end, data, offsets in text_bytes(batch.column(0), PIECE):
             texts = Texts(data, offsets)
             votes = texts.votes() + 1
             code = votes @ (3 ** np.arange(votes.shape[1]))
@@ -139,7 +141,7 @@ def _judge(weights: np.ndarray, bias: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores = []
-            for _, _, data, offsets in text_bytes(batch.column(batch.schema.get_field_index("text"))):
+            for _, _, data, offsets in text_bytes(batch.column(batch.schema.get_field_index("text")), PIECE):
                 texts = Texts(data, offsets)
                 text, feature = texts.features()
                 total = np.bincount(text, weights[feature], len(texts.count)) / (texts.count + FEW)

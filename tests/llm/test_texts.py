@@ -319,6 +319,45 @@ def test_pack_is_a_partition_of_the_ids(docs, prose, monkeypatch):
     assert padding < 0.03 * total
 
 
+def test_vocabulary_holds_parts_in_little_memory(monkeypatch):
+    voc = packing.Vocabulary(packing.TOKENIZER)
+    texts = [" ".join(f"{k:x}y{k * 7919 % 1000:x}" for k in range(a, a + 10_000)) for a in range(0, 40_000, 10_000)]
+    want = [voc.whole(text).tolist() for text in texts]
+    batches = []
+    real = voc.tokenizer
+
+    class Counted:
+        def encode_batch_fast(self, parts, add_special_tokens):
+            batches.append(len(parts))
+            return real.encode_batch_fast(parts, add_special_tokens=add_special_tokens)
+
+    voc.tokenizer = Counted()
+    column = pa.array([*texts, *texts[:1]])
+    got = [ids.tolist() for _, _, data, offsets in common.text_bytes(column, 1) for ids, *_ in [voc(data, offsets)]]
+    assert got == [*want, want[0]]
+    # Each part once, in batches of bounded size, and kept as numbers in a row.
+    assert sum(batches) == 40_000 == len(voc.known) and max(batches) <= packing.AT_ONCE
+    kept = [v for v in vars(voc).values() if v is not voc.tokenizer]
+    assert all(isinstance(v, np.ndarray) for v in kept) and sum(v.nbytes for v in kept) < 64 * 40_000
+    monkeypatch.setattr(packing, "MEMORY", 15_000)
+    assert [voc(data, offsets)[0].tolist() for _, _, data, offsets in common.text_bytes(column, 1)] == [*want, want[0]]
+    assert len(voc.known) <= 20_000
+
+
+def test_spans_are_hashed_in_blocks_alike(monkeypatch):
+    rng = np.random.default_rng(5)
+    data = rng.integers(0, 256, 400_000).astype(np.uint8)
+    places = np.sort(rng.choice(np.arange(1, 400_000), 3_000, replace=False))
+    begins, ends = np.append(0, places), np.append(places, 400_000)
+    # One span is longer than a block.
+    begins, ends = np.append(begins, 0), np.append(ends, 300_000)
+    want = common._block_hashes(data, begins, ends)
+    seen = []
+    monkeypatch.setattr(common, "_block_hashes", lambda d, b, e, real=common._block_hashes: seen.append((len(b), (e - b).sum())) or real(d, b, e))
+    assert (common.span_hashes(data, begins, ends) == want).all()
+    assert len(seen) > 2 and all(n == 1 or size <= common._BLOCK for n, size in seen)
+
+
 def test_pack_empty_and_repeated(docs):
     assert packing.pack(docs([])).collect() == []
     got = packing.pack(docs([(1, "a b"), (1, "a b"), (None, "c")])).collect()
